@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, frequencies, leakage, mixing, neardups, proportions
+from corpusmill.llm import clusters, encoding, frequencies, leakage, mixing, neardups, proportions, vectors
 from corpusmill.shared import strip_ws, ws_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,18 @@ def p1_report(spark, d):
     return report
 
 
+def p2_found(spark, d):
+    return clusters.linked_clusters(_read(spark, d, "pilot_deltas"), 0.33, 10).select(F.col("key").alias("row_id"), "cluster_id")
+
+
+def p2_clusters(spark, d):
+    """Clusters of the condensed hierarchy with core distances of 5 neighbours, and the pos_tag values of their rows."""
+    got = clusters.density_forest(_read(spark, d, "pilot_deltas"), 0.25, min_samples=5)
+    members, found = clusters.condensed_clusters(got[0], 10)
+    tags = _read(spark, d, "pilot_metadata").select(F.col("row_id").alias("key"), F.col("pos_tag").alias("tag"))
+    return clusters.describe(members, found, tags)
+
+
 def _links(spark, d):
     """Sets of 3-word runs at 0.5: 42 bands of 3 rows find a pair at the threshold with probability 0.996."""
     return neardups.near_duplicates(_read(spark, d, "documents"), threshold=0.5, size=3, min_words=20, bands=42, band_rows=3, multiset=False)
@@ -62,6 +74,17 @@ def p3_classes(spark, d):
     return neardups.duplicate_classes(*neardups.near_duplicates(_read(spark, d, "documents")))
 
 
+def p4_found(spark, d):
+    n = vectors.close_neighbours(_read(spark, d, "pilot_deltas"), 5, 0.70)
+    return n.select(F.least("key", "neighbour").alias("row_id_a"), F.greatest("key", "neighbour").alias("row_id_b")).distinct()
+
+
+def p4_neighbours(spark, d):
+    """The 10 most similar rows of every row whose id is divisible by 50."""
+    v = _read(spark, d, "pilot_deltas")
+    return vectors.search(v, v.filter("row_id % 50 = 0"), 10)
+
+
 def _counts(spark, d):
     return frequencies.count_terms(
         [(_read(spark, d, "trigrams"), TRIGRAM_KEY, TRIGRAM_FIELDS), (_read(spark, d, "depgrams"), DEPGRAM_KEY, DEPGRAM_FIELDS)]
