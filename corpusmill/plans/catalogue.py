@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from corpusmill.plans import corpus
+from corpusmill.plans.corpus import flagship
 
+__all__ = ["flagship", "oracle_sql", "queries"]
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+_PARTS = [corpus]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in _PARTS for k, f in p.Q_.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: s for p in _PARTS for k, s in p.SQL.items()}

@@ -9,6 +9,7 @@ import unicodedata
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,45 +50,55 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
-    """Rank (from 0) of each row in its group, without gathering a group in one task.
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rank", weight: str | None = None) -> DataFrame:
+    """Rank (from 0) of each row in its group, or the sum of ``weight`` over the rows before it, without gathering a group in one task.
 
     Rows are range-partitioned on ``group + order``, numbered inside their partition by a streaming pass, and shifted
-    by the counts that earlier partitions hold of the same group (one small row per partition and group).  A group of
-    any size is spread over as many partitions as it fills; ``order`` must be unique inside a group for a fixed result.
+    by what earlier partitions hold of the same group (one small row per partition and group).  A group of any size
+    is spread over as many partitions as it fills; ``order`` must be unique inside a group for a fixed result.  NULL weights
+    count as 0.  The number of groups should be far below the number of rows.
     """
     spark = df.sparkSession
     n = partitions_of(spark)
     keys = [*group, *order]
-    placed = cut(
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()), "ranked"
-    )
-    # files keep their partition's order; the number of each row follows from the sorted order inside _pid and group
-    per = placed.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))
-    starts = {}
+    w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1).cast("long")
+    placed = df.withColumn("_w", w).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = cut(placed.withColumn("_pid", F.spark_partition_id()), "ranked")
+    starts: dict[tuple, int] = {}
     seen: dict[tuple, int] = {}
-    for r in sorted(per.collect(), key=lambda r: r["_pid"]):
+    for r in sorted(placed.groupBy("_pid", *group).agg(F.sum("_w").alias("_n")).collect(), key=lambda r: r["_pid"]):
         g = tuple(r[c] for c in group)
         starts[(r["_pid"], *g)] = seen.get(g, 0)
         seen[g] = seen.get(g, 0) + r["_n"]
-    schema = T.StructType([*[f for f in placed.schema.fields if f.name != "_pid"], T.StructField(out, T.LongType())])
+    schema = T.StructType([*[f for f in placed.schema.fields if f.name not in ("_pid", "_w")], T.StructField(out, T.LongType())])
     cols = [f.name for f in schema.fields[:-1]]
 
     def number(batches):
-        count: dict[tuple, int] = {}
+        last, total = None, 0
         for b in batches:
-            t = pa.table(b) if not isinstance(b, pa.RecordBatch) else pa.Table.from_batches([b])
-            marks = t.select(["_pid", *group]).to_pandas()
-            gid = [tuple(x) for x in marks.itertuples(index=False, name=None)]
-            rank = []
-            for g in gid:
-                k = count.get(g)
-                if k is None:
-                    k = starts.get(g, 0)
-                rank.append(k)
-                count[g] = k + 1
-            t = t.select(cols).append_column(out, pa.array(rank, pa.int64()))
-            yield from t.to_batches()
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            size = t.column("_w").to_numpy()
+            before = np.cumsum(size) - size
+            new = np.zeros(len(size), bool)
+            new[0] = True
+            for c in ("_pid", *group):
+                x = t.column(c).to_pandas()
+                y = x.shift()
+                new |= ((x != y) & ~(x.isna() & y.isna())).to_numpy()
+            at = np.flatnonzero(new)
+            marks = list(zip(*[t.column(c).take(pa.array(at)).to_pylist() for c in ("_pid", *group)]))
+            ends = np.r_[at[1:], len(size)]
+            base = []
+            for k, i, j in zip(marks, at, ends):
+                if k != last:
+                    total = starts.get(k, 0)
+                base.append(total - before[i])
+                total += int(size[i:j].sum())
+                last = k
+            rank = before + np.repeat(np.array(base, np.int64), ends - at)
+            yield from t.select(cols).append_column(out, pa.array(rank, pa.int64())).to_batches()
 
     # one task per (_pid): hash placement keeps a range partition whole, the sort restores its order
     return placed.repartition(n, "_pid").sortWithinPartitions("_pid", *keys).mapInArrow(number, schema)
