@@ -85,7 +85,8 @@ def bag_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows:
         order = np.argsort(-a, kind="stable")  # of several points for a component the smallest is written last
         flat[i[order]] = a[order]
         fsig[i[order]] = s[order]
-        live = at < reg.max(axis=1)[r]
+        # while most rows are open their maxima are taken at once, later only those of open ones
+        live = at < (reg.max(axis=1)[r] if 4 * len(r) > rows else reg[r].max(axis=1))
         r, seed, at, low, width, full = r[live], seed[live], at[live], low[live], width[live], full[live]
     return sig
 
@@ -100,24 +101,21 @@ def _bags(row: np.ndarray, h: np.ndarray, multiset: bool) -> tuple[np.ndarray, n
     return row[at], h[at], count.astype(np.float64) if multiset else np.ones(len(at))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, size: int = 5, min_words: int = 1, bands: int = 16, band_rows: int = 8,
-    multiset: bool = True, key: str = "doc_id", text: str = "text", chunk: int = 512,
+    multiset: bool = True, key: str = "doc_id", text: str = "text", chunk: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the classes of equal texts: (links, copies).
 
     links: key_a, key_b (smaller first), similarity: representatives of two different texts whose multisets (or sets) of
-    ``size``-word runs have a weighted Jaccard similarity of at least ``threshold``, verified exactly.
+    ``size``-word runs have a weighted Jaccard similarity of at least ``threshold``, verified exactly on the whole texts.
     copies: rep, key, for every document of at least ``min_words`` words, rep being the smallest key with that text.
 
     Words are maximal runs of letters or digits after NFC and lower-casing.  Texts that are NULL, empty, or shorter than
-    min_words or ``size`` words are in no link; documents with equal texts are signed once.  A bucket (one band value) of
+    min_words or ``size`` words are in no link; documents with equal texts are compared once.  A bucket (one band value) of
     any size is joined by hash partitions, skewed ones split by AQE; nothing is capped.  A pair at similarity s is found
-    with probability 1 - (1 - s^band_rows)^bands.  Repeated rows of one key count once.
+    with probability 1 - (1 - s^band_rows)^bands.  Candidates whose signatures (four bits a component) put the estimated similarity four
+    standard deviations below the threshold or lower are not read in full.  Repeated rows of one key count once.
     """
     m = bands * band_rows
     every = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
@@ -129,65 +127,77 @@ def near_duplicates(
                 texts = part.column(1).to_pylist()
                 row, h, n = shingle(texts, size)
                 r, e, w = _bags(row, h, multiset)
-                ok = (n >= max(min_words, size)) & (np.bincount(r, minlength=len(texts)) > 0)
-                sig = bag_minhash(r, e, w, len(texts), m).reshape(len(texts), bands, band_rows)
-                value = np.zeros((len(texts), bands), np.uint64)
+                keep = np.flatnonzero((n >= max(min_words, size)) & (np.bincount(r, minlength=len(texts)) > 0))
+                sig = bag_minhash(r, e, w, len(texts), m)[keep]
+                value = np.zeros((len(keep), bands), np.uint64)
                 for j in range(band_rows):
-                    value = mix64(value + _G) ^ sig[:, :, j]
-                value = mix64(value + np.arange(bands, dtype=np.uint64)[None, :])
-                cuts = np.searchsorted(r, np.arange(len(texts) + 1))
-                parts = [_pack(e[a:z], w[a:z], multiset) for a, z in zip(cuts[:-1], cuts[1:])]
-                keep = np.flatnonzero(ok)
-                bag_id = [int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for i in keep]
+                    value = mix64(value + _G) ^ sig[:, j::band_rows]
+                value = mix64(value + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
+                low = (sig & np.uint64(15)).astype(np.uint8)
+                ids = [int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for i in keep]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(part.column(0).to_numpy(zero_copy_only=False)[keep], pa.int64()),
-                        pa.array(bag_id, pa.int64()),
-                        pa.array([_signed(value[i]) for i in keep], pa.list_(pa.int64())),
-                        pa.array([parts[i] for i in keep], pa.binary()),
+                        part.column(0).take(pa.array(keep)),
+                        pa.array(ids, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), pa.array(value.ravel())),
+                        pa.array([x.tobytes() for x in low[:, 0::2] | low[:, 1::2] << 4], pa.binary()),
                     ],
-                    names=["key", "text_id", "bands", "bag"],
+                    names=["key", "text_id", "bands", "sketch"],
                 )
 
-    signed = cut(every.mapInArrow(sign, "key long, text_id long, bands array<long>, bag binary"), "bands")
+    signed = cut(every.mapInArrow(sign, "key long, text_id long, bands array<long>, sketch binary"), "bands")
     rep = signed.groupBy("text_id").agg(F.min("key").alias("rep"))
     copies = signed.select("key", "text_id").join(rep, "text_id").select("rep", "key").distinct()
-    firsts = rep.select(F.col("rep").alias("key"))
-    # the representative's bands: one row per band and distinct text
-    buckets = signed.join(firsts, "key", "left_semi").select("key", F.explode("bands").alias("band")).distinct()
+    # one row per band and distinct text
+    firsts = signed.join(rep.select(F.col("rep").alias("key")), "key", "left_semi")
+    buckets = firsts.select("key", F.explode("bands").alias("band"))
     a, b = buckets.select(F.col("key").alias("key_a"), "band"), buckets.select(F.col("key").alias("key_b"), "band")
-    pairs = cut(a.join(b, "band").filter("key_a < key_b").select("key_a", "key_b").distinct(), "pairs")
+    pairs = a.join(b, "band").filter("key_a < key_b").select("key_a", "key_b").distinct()
+    sketch = firsts.select("key", "sketch").dropDuplicates(["key"])
+    drawn = (
+        pairs.join(sketch.select(F.col("key").alias("key_a"), F.col("sketch").alias("x")), "key_a")
+        .join(sketch.select(F.col("key").alias("key_b"), F.col("sketch").alias("y")), "key_b")
+    )
+    agree = threshold + (1 - threshold) / 16  # of the four-bit components, at the threshold
+    enough = m * (agree - 4 * np.sqrt(agree * (1 - agree) / m))
+
+    def likely(batches):
+        for t in batches:
+            if t.num_rows:
+                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in ("x", "y"))
+                d = x ^ y
+                ok = pa.array(((d & 15) == 0).sum(1) + ((d >> 4) == 0).sum(1) >= enough)
+                yield pa.RecordBatch.from_arrays([t.column("key_a").filter(ok), t.column("key_b").filter(ok)], names=["key_a", "key_b"])
+
+    pairs = cut(drawn.mapInArrow(likely, "key_a long, key_b long"), "pairs")
     ends = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
-    bags = cut(signed.select("key", "bag").join(ends, "key", "left_semi").dropDuplicates(["key"]), "bags")
+    texts = cut(every.join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
     two = (
-        pairs.join(bags.select(F.col("key").alias("key_a"), F.col("bag").alias("bag_a")), "key_a")
-        .join(bags.select(F.col("key").alias("key_b"), F.col("bag").alias("bag_b")), "key_b")
+        pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("x")), "key_a")
+        .join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("y")), "key_b")
     )
 
     def verify(batches):
         for t in batches:
-            sims = [_similarity(x, y, multiset) for x, y in zip(t.column("bag_a").to_pylist(), t.column("bag_b").to_pylist())]
-            keep = np.flatnonzero(np.array(sims) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([t.column("key_a").take(pa.array(keep)), t.column("key_b").take(pa.array(keep)), pa.array([sims[i] for i in keep], pa.float64())], names=["key_a", "key_b", "similarity"])
+            for lo in range(0, t.num_rows, chunk):
+                p = t.slice(lo, chunk)
+                row, h, _ = shingle(p.column("x").to_pylist() + p.column("y").to_pylist(), size)
+                s = pair_similarity(*_bags(row, h, multiset), p.num_rows)
+                ok = pa.array(s >= threshold - 1e-12)
+                yield pa.RecordBatch.from_arrays([p.column("key_a").filter(ok), p.column("key_b").filter(ok), pa.array(s).filter(ok)], names=["key_a", "key_b", "similarity"])
 
     return two.mapInArrow(verify, "key_a long, key_b long, similarity double"), copies
 
 
-def _pack(e: np.ndarray, w: np.ndarray, multiset: bool) -> bytes:
-    return e.tobytes() + (w.astype(np.uint32).tobytes() if multiset else b"")
-
-
-def _similarity(x: bytes, y: bytes, multiset: bool) -> float:
-    """Exact weighted Jaccard similarity of two packed bags (sorted 64-bit shingles, then weights)."""
-
-    def parts(b):
-        n = len(b) // (12 if multiset else 8)
-        return np.frombuffer(b, np.uint64, n), np.frombuffer(b, np.uint32, n, 8 * n).astype(np.int64) if multiset else np.ones(n, np.int64)
-
-    (a, wa), (b, wb) = parts(x), parts(y)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    both = np.minimum(wa[i], wb[j]).sum()
-    return float(both / (wa.sum() + wb.sum() - both)) if len(a) and len(b) else 0.0
+def pair_similarity(row: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Exact weighted Jaccard similarity of bag i and bag n + i, for i < n."""
+    pair = row % n
+    order = np.lexsort((row, h, pair))
+    p, e, v = pair[order], h[order], w[order]
+    same = np.flatnonzero((p[1:] == p[:-1]) & (e[1:] == e[:-1]))
+    both = np.bincount(p[same], np.minimum(v[same], v[same + 1]), n)
+    whole = np.bincount(p, v, n)
+    return np.where(whole > 0, both / np.maximum(whole - both, 1e-9), 0.0)
 
 
 def expand(links: DataFrame, copies: DataFrame) -> DataFrame:
