@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import corpus
+from corpusmill.plans import analysis, corpus, essays
 from corpusmill.plans.corpus import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
-_PARTS = [corpus]
+_PARTS = [corpus, essays, analysis]
 
 
 def queries() -> dict:
