@@ -18,39 +18,44 @@ from pyspark.sql import functions as F
 from corpusmill.operators.stats import complete
 
 
-def lasso_precision(s: np.ndarray, lam: float, start: np.ndarray | None = None, rounds: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse inverse of a correlation matrix (graphical lasso, diagonal unpenalised): (precision, covariance).
+def lasso_precision(s: np.ndarray, lam: float, start: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 50, tol: float = 1e-4) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Sparse inverse of a correlation matrix (graphical lasso, diagonal unpenalised): (precision, state for the next penalty).
 
     Column by column a lasso regression on the others by coordinate descent, until the covariance settles.
     """
     p = len(s)
-    w = s.copy() if start is None else start.copy()
+    w, beta = (s.copy(), np.zeros((p, p))) if start is None else (start[0].copy(), start[1].copy())
     np.fill_diagonal(w, np.diag(s))
-    beta = np.zeros((p, p))
+    others = [np.flatnonzero(np.arange(p) != j) for j in range(p)]
     for _ in range(rounds):
         old = w.copy()
         for j in range(p):
-            o = np.arange(p) != j
-            v, t, b = w[np.ix_(o, o)], s[o, j], beta[o, j]
-            for _ in range(200):
+            o = others[j]
+            v, b = w[np.ix_(o, o)], beta[o, j]
+            left = s[o, j] - v @ b  # what the regression leaves of each covariance
+            for _ in range(50):
                 most = 0.0
                 for k in range(p - 1):
-                    x = t[k] - v[k] @ b + v[k, k] * b[k]
-                    new = np.sign(x) * max(abs(x) - lam, 0) / v[k, k]
-                    most = max(most, abs(new - b[k]))
-                    b[k] = new
+                    d = v[k, k]
+                    x = left[k] + d * b[k]
+                    new = (x - lam if x > lam else x + lam if x < -lam else 0.0) / d
+                    step = new - b[k]
+                    if step:
+                        left -= v[k] * step
+                        b[k] = new
+                        most = max(most, abs(step))
                 if most < tol:
                     break
             beta[o, j] = b
-            w[o, j] = w[j, o] = v @ b
+            w[o, j] = w[j, o] = s[o, j] - left
         if np.abs(w - old).max() < tol:
             break
     k = np.zeros((p, p))
     for j in range(p):
-        o = np.arange(p) != j
+        o = others[j]
         k[j, j] = 1 / (w[j, j] - w[o, j] @ beta[o, j])
         k[o, j] = -beta[o, j] * k[j, j]
-    return (k + k.T) / 2, w
+    return (k + k.T) / 2, (w, beta)
 
 
 def partial_correlations(r: np.ndarray, n: float, gamma: float = 0.5, steps: int = 30) -> np.ndarray:
@@ -60,9 +65,9 @@ def partial_correlations(r: np.ndarray, n: float, gamma: float = 0.5, steps: int
         return np.zeros((p, p))
     off = ~np.eye(p, dtype=bool)
     top = max(np.abs(r[off]).max(), 1e-4)
-    best, cov, chosen = np.inf, None, np.eye(p)
+    best, state, chosen = np.inf, None, np.eye(p)
     for lam in np.geomspace(top, top / 100, steps):
-        k, cov = lasso_precision(r, lam, cov)
+        k, state = lasso_precision(r, lam, state)
         sign, logdet = np.linalg.slogdet(k)
         if sign <= 0:
             continue
