@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +30,21 @@ def make_session(master: str = "local[*]", app: str = "corpusmill", partitions:
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, so they needn't have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="corpusmill-")) / "corpusmill.zip"
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"corpusmill/{f.relative_to(root)}")
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
