@@ -98,13 +98,13 @@ def nmf(df: DataFrame, key: str, vec: str, dim: int, k: int = 50, rounds: int =
     h = np.array(h)
     h = np.where(h > 0, h, mean.mean() / n / 10 + 1e-9)
     whole = np.trace(gram)
-    last = np.inf
-    error = 1.0
+    last, error, still = np.inf, 1.0, 0
     for _ in range(rounds):
         s = reduce(lambda x, h=h: (lambda w: np.r_[(w.T @ w).ravel(), (w.T @ x).ravel()])(_weights(x, h)), k * k + k * d2)
         a, b = s[: k * k].reshape(k, k), s[k * k :].reshape(k, d2)
         error = np.sqrt(max(whole - 2 * (b * h).sum() + (a * (h @ h.T)).sum(), 0) / whole)
-        if last - error < tol * max(last if np.isfinite(last) else 1, 1e-12):
+        still = still + 1 if last - error < tol * error else 0
+        if still > 2:
             break
         last = error
         for _ in range(4):

@@ -8,6 +8,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """At most so many rows per Arrow batch for what is computed inside: long vectors would make the default's batches large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`cut` once nothing reads it any more."""
     spark = df.sparkSession
