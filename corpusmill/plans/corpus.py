@@ -135,7 +135,7 @@ _HWS = WS.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
 CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(nfc_normalize({_PII}), '[{_HWS}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 
 
-@query(f"select doc_id, md5({CLEAN}) as digest, length({CLEAN}) as n_chars from documents")
+@query(f"select doc_id, md5({CLEAN}) as digest, length({CLEAN})::int as n_chars from documents")
 def clean_text(spark, d):
     c = _docs(spark, d).select("doc_id", X.clean_text(F.col("text")).alias("t"))
     return c.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n_chars"))
@@ -150,7 +150,7 @@ def _cleaned(spark, d):
 
 
 @query(
-    f"select name, count_if(token_count >= 50) as docs, coalesce(sum(token_count) filter (where token_count >= 50), 0)::bigint as tokens, count_if(token_count < 50) as dropped,"
+    f"select name, count_if(token_count >= 50)::bigint as docs, coalesce(sum(token_count) filter (where token_count >= 50), 0)::bigint as tokens, count_if(token_count < 50)::bigint as dropped,"
     f" grouping(name)::int as is_total from {_CLEANED} group by rollup (name)"
 )
 def preprocess_summary(spark, d):
@@ -259,14 +259,14 @@ _AT = "list_sort(list(token_count))[(least(floor(count(*) * {}), count(*) - 1) +
     "select name, count(*) as docs, sum(token_count)::bigint as tokens, round(100 * sum(token_count) / any_value(target_tokens), 2) as pct_of_target,"
     " round(100 * sum(token_count) / any_value(target_tokens) - 100, 2) as deviation_pct, abs(100 * sum(token_count) / any_value(target_tokens) - 100) <= 5 as within_5pct,"
     f" round(sum(token_count) / count(*), 1) as mean_tokens, median(token_count) as median, {_AT.format(0.05)}::bigint as p5, {_AT.format(0.95)}::bigint as p95,"
-    f" count_if(token_count < 100) as below_min from {SPEC} group by name"
+    f" count_if(token_count < 100)::bigint as below_min from {SPEC} group by name"
 )
 def verify_source_stats(spark, d):
     return Q.source_stats(_named(spark, d), table(spark, d, "source_spec"), 100)
 
 
 @query(
-    "with f as (select count_if(contains(text, '|||')) as pii_remaining, count_if(coalesce(trim(text), '') = '') as empty_docs, count(*) - count(distinct coalesce(dolma_id, '')) as duplicate_ids from documents),"
+    "with f as (select count_if(contains(text, '|||'))::bigint as pii_remaining, count_if(coalesce(trim(text), '') = '')::bigint as empty_docs, count(*) - count(distinct coalesce(dolma_id, '')) as duplicate_ids from documents),"
     " g as (select *, list_filter([case when pii_remaining > 0 then 'pii_remaining: ' || pii_remaining end, case when empty_docs > 0 then 'empty_docs: ' || empty_docs end,"
     " case when duplicate_ids > 0 then 'duplicate_ids: ' || duplicate_ids end], lambda x: x is not null) as l from f)"
     " select pii_remaining, empty_docs, duplicate_ids, array_to_string(l, '; ') as issues, len(l) = 0 as passed from g"

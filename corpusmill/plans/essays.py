@@ -152,7 +152,7 @@ def features_merge(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(f, "doc_id").select("doc_id", "lang", *_BASIC)
 
 
-@query(" union all ".join(f"select '{c}' as feature, count_if({c} is null or isnan({c})) as n_null, round(100 * count_if({c} is null or isnan({c})) / count(*), 4) as pct from ellipse_final_github" for c in ["overall", *_SCORES]))
+@query(" union all ".join(f"select '{c}' as feature, count_if({c} is null or isnan({c}))::bigint as n_null, round(100 * count_if({c} is null or isnan({c})) / count(*), 4) as pct from ellipse_final_github" for c in ["overall", *_SCORES]))
 def null_audit(spark, d):
     return L.null_audit(table(spark, d, "ellipse_final_github"), ["overall", *_SCORES])
 
@@ -175,7 +175,7 @@ def _losses(spark, d):
     return model.score(P.sequences(table(spark, d, "eval_items"), "item_id")), model
 
 
-@query(f"with {_LM} select item_id as doc_id, i, token, round(loss, 6) as loss from loss")
+@query(f"with {_LM} select item_id as doc_id, i::int as i, token, round(loss, 6) as loss from loss")
 def token_surprisal(spark, d):
     s, _ = _losses(spark, d)
     return s.select("doc_id", "i", "token", r(F.col("loss")).alias("loss"))
@@ -188,12 +188,12 @@ def doc_predictability(spark, d):
     return p.select("doc_id", *[r(F.col(c)).alias(c) for c in ("mean_loss", "mean_prob", "var_loss")], "n_tokens")
 
 
-@query(f"with {_SEQ}, b as (select prev, token, count(*) as c from seq group by all) select prev, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) as entropy from b group by prev")
+@query(f"with {_SEQ}, b as (select prev, token, count(*) as c from seq group by all) select prev, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) + 0.0 as entropy from b group by prev")
 def context_entropy(spark, d):
     return P.NgramModel(table(spark, d, "documents")).entropy().select("prev", r(F.col("entropy")).alias("entropy"))
 
 
-@query(f"with {_LM}, s as (select quantile_cont(loss, 0.9) as q from loss) select item_id as doc_id, i, token from loss, s where loss >= q")
+@query(f"with {_LM}, s as (select quantile_cont(loss, 0.9) as q from loss) select item_id as doc_id, i::int as i, token from loss, s where loss >= q")
 def surprisal_threshold(spark, d):
     s, _ = _losses(spark, d)
     edge = s.agg(F.percentile("loss", F.lit(0.9)).alias("_q"))
