@@ -11,9 +11,14 @@ from corpusmill.shared import cut, nfc, strip_ws
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], value: str, at: str) -> DataFrame:
-    """Of rows equal in ``keys`` (NULLs are equal), the one with the latest ``at``; of ties the largest value, NULL last."""
-    newest = F.max(F.struct(F.col(at), F.col(value))).alias("_v")
-    return df.groupBy(*keys).agg(newest).select(*keys, F.col(f"_v.{value}").alias(value), F.col(f"_v.{at}").alias(at))
+    """Of rows equal in ``keys`` (NULLs are equal), the one with the latest ``at`` (NULL is earliest); of ties the largest value, NULL last.
+
+    The rows are placed by key once; both aggregates then run in place on plain numbers, so both are hash aggregates.
+    """
+    when = F.coalesce(F.col(at), F.timestamp_micros(F.lit(-62_135_596_800_000_000)))
+    placed = df.select(*keys, when.alias(at), value).repartition(*keys)
+    each = placed.groupBy(*keys, at).agg(F.max(value).alias(value))
+    return each.groupBy(*keys).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
 
 
 def term_deltas(rows: DataFrame, fields: Mapping[str, str], count: str, sign: str | None = None) -> DataFrame:
@@ -36,6 +41,8 @@ def term_deltas(rows: DataFrame, fields: Mapping[str, str], count: str, sign: st
         .groupBy("field", "raw")
         .agg(F.sum("_c").alias("d_count"), F.sum("_s").alias("d_rows"))
     )
+    # a table of distinct values: without it the branches below would each repeat the aggregate, with their filters on every row
+    by_value = cut(by_value, "values")
     plain = ~F.col("raw").rlike(r"[^\x00-\x7f]")
     # only values with non-ASCII characters visit Python
     terms = by_value.filter(plain).withColumn("term", F.col("raw")).unionByName(by_value.filter(~plain).withColumn("term", nfc("raw")))
