@@ -134,7 +134,7 @@ def misplaced(a: str, c: str, b: str) -> bool:
 class Restorer:
     """Finds and undoes wrong decodings inside improbable runs of one text."""
 
-    def __init__(self, model: PairModel, least_gain: float = 4.0, least_swap: float = 8.0):
+    def __init__(self, model: PairModel, least_gain: float = 1.0, least_swap: float = 8.0):
         self.model = model
         self.least = least_gain
         self.least_swap = least_swap
@@ -252,10 +252,25 @@ class Restorer:
             elif improbable:
                 odd.append(text[x0:y0])
         if names:
-            return "".join([*out, text[at:]]), sorted(names), text.count(_LOST)
+            return self.rest("".join([*out, text[at:]]), names), sorted(names), text.count(_LOST)
         new, name = self.swap(text, odd) if odd else (text, "")
         return new, [name] if name else [], text.count(_LOST)
 
+    def rest(self, text: str, names: set[str]) -> str:
+        """Runs too rare to tell by themselves, undone by the mappings that the text is known to need."""
+        used = [t for n, t in self.multi if any(x.split(",")[0] == n for x in names)]
+        out, at = [], 0
+        for m in _RUN.finditer(text):
+            x, y = max(0, m.start() - 1), min(len(text), m.end() + 1)
+            run = text[x:y]
+            for table in used:
+                new = self.undo(run, table)
+                if new != run and self.known(new, "") and self.model.cost(run) - self.model.cost(new) > -8:
+                    out += [text[at : m.start()], new[m.start() - x : len(new) - (y - m.end())]]
+                    at = m.end()
+                    break
+        return "".join([*out, text[at:]])
+
     def swap(self, text: str, odd: list[str]) -> tuple[str, str]:
         """8-bit text read as other 8-bit text: one mapping for the whole text, judged by all its non-ASCII runs.
 
@@ -284,7 +299,7 @@ class Restorer:
         return ("".join(top[2].get(c, c) for c in text), top[1]) if top[2] else (text, "")
 
 
-def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", least_gain: float = 4.0, least_swap: float = 8.0) -> DataFrame:
+def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text", least_gain: float = 1.0, least_swap: float = 8.0) -> DataFrame:
     """Garbled documents: key, mapping(s), restored text, restorable (no character is lost), n_lost.
 
     The statistics cover all characters of all documents; their size is bounded by the alphabet (characters above U+3000
