@@ -362,3 +362,17 @@ def comparison_test(df: DataFrame, columns: Sequence[str], key: str, group: str,
     v = spread(one).mapInPandas(fit, "replicate long, statistic string, value double")
     seen = v.filter("replicate = 0").select("statistic", F.col("value").alias("observed"))
     return v.filter("replicate > 0").join(F.broadcast(seen), "statistic").groupBy("statistic").agg(F.first("observed").alias("observed"), ((F.count_if(F.col("value") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+
+
+def sparsity(e: DataFrame, n_nodes: int) -> DataFrame:
+    """n_edges that are not zero, and the share of possible edges that is missing."""
+    possible = n_nodes * (n_nodes - 1) / 2
+    return e.agg(F.count_if(F.col("weight") != 0).alias("n_edges"), (1 - F.count_if(F.col("weight") != 0) / possible).alias("sparsity"))
+
+
+def edge_differences(a: DataFrame, b: DataFrame, node: str) -> DataFrame:
+    """partner, weight in both networks and their difference for all edges of one node, largest difference first."""
+    x, y = (both_ways(e).filter(F.col("src") == node).select(F.col("dst").alias("partner"), F.col("weight").alias(n)) for e, n in ((a, "weight_a"), (b, "weight_b")))
+    j = x.join(y, "partner", "full").fillna(0.0, ["weight_a", "weight_b"])
+    d = F.col("weight_a") - F.col("weight_b")
+    return j.withColumn("difference", d).orderBy(F.desc(F.abs("difference")), "partner")

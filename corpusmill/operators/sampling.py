@@ -68,3 +68,25 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) ->
     """The n rows of each stratum that come first by md5; Spark limits each partition before the shuffle."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key)
     return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+
+
+def select_specs(spec: DataFrame, corpus: str | None = None, source: str | None = None) -> DataFrame:
+    """Rows of a source specification by corpus or source name; an unknown name is an error."""
+    out = spec
+    if corpus is not None:
+        out = out.filter(F.col("corpus") == corpus)
+    if source is not None:
+        out = out.filter(F.col("name") == source)
+    if out.isEmpty():
+        raise ValueError(f"no source matches corpus={corpus!r}, source={source!r}")
+    return out
+
+
+def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows in hash order: a reservoir that doesn't depend on partitioning, a bounded heap per task."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def text_pairs(df: DataFrame, text: str, meta: list[str]) -> DataFrame:
+    """text and a struct of the other columns, names in lower case; rows without text are dropped."""
+    return df.filter(F.trim(text) != "").select(F.col(text).alias("text"), F.struct(*[F.col(c).alias(c.lower()) for c in meta]).alias("meta"))

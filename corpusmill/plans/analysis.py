@@ -346,3 +346,40 @@ def register_contrast(spark, d):
     a, b = (g.filter(c).groupBy(*keys).agg(F.sum("count").alias("count")) for c in ("corpus = 'a'", "corpus != 'a'"))
     out = M.register_contrast(a, b, keys)
     return out.select(*keys, "count_a", "count_b", r("log_ratio").alias("log_ratio"))
+
+
+@query(f"select count(*)::bigint as n_edges, round(1 - count(*) / 21, 6) as sparsity from {_FIXED} where weight <> 0")
+def network_sparsity(spark, d):
+    return N.sparsity(_fixed(spark, d), len(ALL)).select("n_edges", r("sparsity").alias("sparsity"))
+
+
+@query(f"select node, rank::int as rank from (select node, row_number() over (order by strength desc, node) as rank from ({SQL['strength']}))")
+def strength_rank(spark, d):
+    """Place of each variable by strength; the nodes are the variables of one network."""
+    s = N.strength(_fixed(spark, d)).select("node", r("strength").alias("strength"))
+    return s.select("node", F.row_number().over(Window.orderBy(F.desc("strength"), "node")).alias("rank"))
+
+
+@query()
+def edge_differences(spark, d):
+    """Edges of ``cohesion`` in the networks of low and of high proficiency."""
+    g = _complete(spark, d).withColumn("grp", S.proficiency(F.col("overall")))
+    cols = ALL[1:]
+    a, b = (N.edges(spark, N.network(g.filter(F.col("grp") == x), cols, "text_id_kaggle"), cols) for x in ("Low", "High"))
+    return N.edge_differences(a, b, "cohesion")
+
+
+@query()
+def network_summary(spark, d):
+    """One row per variable: community, strength, expected influence and betweenness of the estimated network."""
+    net = _net(spark, d)
+    between, _ = N.paths(net)
+    side = spark.createDataFrame([(c, int(g), float(b)) for c, g, b in zip(ALL, N.walktrap(net), between)], "node string, community int, betweenness double")
+    return side.join(N.strength(N.edges(spark, net, ALL)), "node", "left")
+
+
+@query(f"select count(distinct label) filter (where label >= 0) as n_clusters, count(*) filter (where label < 0) as n_noise, round(100 * count(*) filter (where label >= 0) / count(*), 6) as pct_clustered from {_CS}")
+def cluster_noise(spark, d):
+    tag = F.col("pos_tag")
+    c = pilot(spark, d).select(F.when(tag == "NOUN", 0).when(tag == "VERB", 1).when(tag == "ADJ", 2).otherwise(-1).alias("label"))
+    return V.noise_share(c).select("n_clusters", "n_noise", r("pct_clustered").alias("pct_clustered"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from corpusmill.operators import annotate as A
 from corpusmill.operators import collate as C
 from corpusmill.operators import sampling as S
 from corpusmill.operators import verify as Q
-from corpusmill.shared import ws_count
+from corpusmill.shared import shared_dir, ws_count
+from corpusmill.streaming import budget
 
 Q_: dict = {}
 SQL: dict[str, str] = {}
@@ -350,3 +353,29 @@ def token_table(spark, d):
 )
 def depgram_counts(spark, d):
     return C.count_by(C.depgrams(tokens_of(spark, d)), C.DEPGRAM, 2)
+
+
+@query("select name, target_tokens from source_spec where corpus = 'a'")
+def spec_selection(spark, d):
+    return S.select_specs(table(spark, d, "source_spec"), corpus="a").select("name", "target_tokens")
+
+
+@query("select doc_id from documents order by md5(doc_id::varchar || '42'), doc_id limit 100")
+def hash_sample(spark, d):
+    return S.hash_sample(_docs(spark, d), "doc_id", 100).select("doc_id")
+
+
+@query("select md5(full_text) as digest, prompt, case when isnan(overall) then null else overall end as overall from ellipse_final_github where trim(full_text) <> ''")
+def essay_pairs(spark, d):
+    p = S.text_pairs(table(spark, d, "ellipse_final_github"), "full_text", ["prompt", "overall"])
+    return p.select(F.md5("text").alias("digest"), "meta.prompt", F.nanvl("meta.overall", F.lit(None).cast("double")).alias("overall"))
+
+
+@query(_ngram_sql(2, 1))
+def streaming_ngram_counts(spark, d):
+    """The bigram counts as a Structured Streaming query over the documents' files, run until they are used up."""
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = budget.documents(spark, f"{d}/documents.parque[t]", "text string")  # a pattern: the table may be a file or a folder
+    done = budget.running_ngrams(docs, 2).writeStream.outputMode("complete").option("checkpointLocation", f"{home}/state")
+    done.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{home}/counts")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/counts")
