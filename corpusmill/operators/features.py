@@ -147,7 +147,10 @@ def mtld(tokens: DataFrame) -> DataFrame:
 
 
 def all_features(tokens: DataFrame, freq: DataFrame, grams: DataFrame) -> DataFrame:
-    """The 14 features of every document: one row per document, NULL where undefined."""
+    """The 14 features of every document: one row per document, NULL where undefined.
+
+    ``tokens`` is read by seven aggregates: give it as a written table (shared.cut), not as a lazy annotation.
+    """
     out = basic_features(tokens)
     for f in (modifiers_per_nominal(tokens), log_frequency(tokens, freq), association(depgrams(tokens), grams), content_overlap(tokens), sentence_similarity(tokens), mtld(tokens)):
         out = out.join(f, "doc_id", "left")

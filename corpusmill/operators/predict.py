@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import token_array
 from corpusmill.operators.collate import PAD
+from corpusmill.shared import cut
 
 
 class LanguageModel(Protocol):
@@ -32,7 +33,8 @@ class NgramModel:
 
     def __init__(self, docs: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)):
         self.weights = weights
-        self.grams = sequences(docs).groupBy("prev2", "prev", "token").agg(F.count(F.lit(1)).alias("c3"))
+        # written once: all marginals are sums over it
+        self.grams = cut(sequences(docs).groupBy("prev2", "prev", "token").agg(F.count(F.lit(1)).alias("c3")), "grams")
 
     def score(self, tokens: DataFrame, left_only: bool = True) -> DataFrame:
         """doc_id, i, token, loss.  The tokens are joined as distinct trigrams, so each join is as large as the vocabulary in use.

@@ -13,6 +13,7 @@ from corpusmill.operators import sampling as S
 from corpusmill.operators.collate import count_by, depgrams
 from corpusmill.plans.corpus import TOKEN_CTE, TOKENS, WSC, table
 from corpusmill.plans.corpus import tokens_of as _tokens
+from corpusmill.shared import cut
 
 Q_: dict = {}
 SQL: dict[str, str] = {}
@@ -82,7 +83,7 @@ _ASSOC = (
 
 @query(f"with {TOKEN_CTE}, {_ASSOC} select doc_id, " + ", ".join(f"round(avg(mi) filter (where relation = '{x}'), 6) as {x}_mi" for x in L.MI_RELATIONS) + " from scored group by doc_id")
 def relation_mi(spark, d):
-    g = depgrams(_tokens(spark, d))
+    g = depgrams(cut(_tokens(spark, d), "tokens"))
     m = L.association(g, count_by(g, ["head_lemma", "relation", "dependent_lemma"]))
     return m.select("doc_id", *[r(F.col(f"{x}_mi")).alias(f"{x}_mi") for x in L.MI_RELATIONS])
 
@@ -139,7 +140,7 @@ def clean_essays(spark, d):
 
 @query()
 def all_features(spark, d):
-    t = _tokens(spark, d)
+    t = cut(_tokens(spark, d), "tokens")
     return L.all_features(t, _freq(spark, d), count_by(depgrams(t), ["head_lemma", "relation", "dependent_lemma"]))
 
 
