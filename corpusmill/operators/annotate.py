@@ -6,6 +6,7 @@ method.
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Protocol
 
 import pyarrow as pa
@@ -116,3 +117,25 @@ def annotate(docs: DataFrame, annotator: Annotator | None = None, key: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), types)], names=names)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, TOKEN_SCHEMA)
+
+
+def dependency_pairs(docs: DataFrame, annotator: Annotator | None = None, text: str = "text") -> DataFrame:
+    """head_lemma, head_tag, relation, dependent_lemma, dependent_tag, count: partial counts of each batch of documents.
+
+    The annotator holds a document's whole tree, so heads are looked up in place: no self-join of the token table, and what
+    is shuffled to sum the counts is already summed per batch.  Roots and punctuation are left out.
+    """
+    engine = annotator or RuleAnnotator()
+    names = ["head_lemma", "head_tag", "relation", "dependent_lemma", "dependent_tag"]
+
+    def run(batches):
+        for b in batches:
+            count: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                if t:
+                    rows = engine.annotate(t)
+                    count.update((rows[r[8]][4], rows[r[8]][6], r[7], r[4], r[6]) for r in rows if r[7] not in ("ROOT", "punct"))
+            columns = list(zip(*count)) if count else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.array(list(count.values()), pa.int64())], names=[*names, "count"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", count long")

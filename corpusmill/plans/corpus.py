@@ -352,7 +352,7 @@ def token_table(spark, d):
     " from tokens t join tokens h on t.doc_id = h.doc_id and t.head_i = h.i where t.dep not in ('ROOT', 'punct') group by all having count(*) >= 2"
 )
 def depgram_counts(spark, d):
-    return C.count_by(C.depgrams(tokens_of(spark, d)), C.DEPGRAM, 2)
+    return C.merge_partials(A.dependency_pairs(_docs(spark, d)), C.DEPGRAM, 2)
 
 
 @query("select name, target_tokens from source_spec where corpus = 'a'")

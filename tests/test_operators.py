@@ -264,3 +264,10 @@ def test_neighbours_and_labels(spark):
     assert len(labels) == 120 and all(len({labels[i] for i in range(g, g + 40)} - {-1}) <= 1 for g in (0, 40, 80))
     y = V.layout(V.fuzzy_graph(knn, 10), 2, 3).collect()
     assert len(y) == 120 and all(np.isfinite(r["y"]).all() for r in y)
+
+
+def test_dependency_pairs_equal_the_join(spark):
+    docs = spark.createDataFrame([(1, "The big dogs chased small cats. Dogs ran quickly!"), (2, None), (3, ""), (4, "...")], "doc_id long, text string")
+    whole = C.count_by(C.depgrams(A.annotate(docs)), C.DEPGRAM)
+    parts = C.merge_partials(A.dependency_pairs(docs), C.DEPGRAM)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and parts.count() > 3
