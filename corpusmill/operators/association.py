@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.shared import with_one
+
 
 def with_marginals(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """pairs with f (joint), f1, f2 and n; marginals are aggregates joined back by word."""
     f = pairs.groupBy(left, right).agg(F.sum("count").alias("f"))
     f1, f2 = f.groupBy(left).agg(F.sum("f").alias("f1")), f.groupBy(right).agg(F.sum("f").alias("f2"))
-    return f.join(f1, left).join(f2, right).crossJoin(F.broadcast(f.agg(F.sum("f").alias("n"))))
+    return with_one(f.join(f1, left).join(f2, right), f.agg(F.sum("f").alias("n")))
 
 
 def pmi(k: int = 1) -> Column:
@@ -34,6 +36,6 @@ def register_contrast(a: DataFrame, b: DataFrame, keys: Sequence[str], k: int =
     """The k most frequent pairs of two tables with both relative frequencies and their log ratio (0.5 added)."""
     na, nb = a.agg(F.sum("count").alias("_na")), b.agg(F.sum("count").alias("_nb"))
     both = a.withColumnRenamed("count", "count_a").join(b.withColumnRenamed("count", "count_b"), list(keys), "full").fillna(0, ["count_a", "count_b"])
-    both = both.crossJoin(F.broadcast(na)).crossJoin(F.broadcast(nb))
+    both = with_one(with_one(both, na), nb)
     ratio = F.log2(((F.col("count_a") + 0.5) / (F.col("_na") + 1)) / ((F.col("count_b") + 0.5) / (F.col("_nb") + 1)))
     return both.withColumn("log_ratio", ratio).orderBy(F.desc(F.col("count_a") + F.col("count_b")), *keys).limit(k).drop("_na", "_nb")

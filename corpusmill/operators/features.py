@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.operators.collate import depgrams
+from corpusmill.shared import with_one
 
 # The list of connectives.
 CONNECTIVES = (
@@ -53,7 +54,7 @@ def log_frequency(tokens: DataFrame, freq: DataFrame) -> DataFrame:
     """Mean log10 of the relative frequency of alphabetic lemmas; unknown ones count 1.  ``freq``: token, count."""
     total = freq.agg(F.sum("count").alias("_total"))  # one row
     words = tokens.filter("is_alpha").groupBy("doc_id", F.col("lemma").alias("token")).agg(F.count(F.lit(1)).alias("_n"))
-    hit = words.join(freq, "token", "left").crossJoin(F.broadcast(total))
+    hit = with_one(words.join(freq, "token", "left"), total)
     logs = F.log10(F.coalesce("count", F.lit(1)) / F.col("_total"))
     return hit.groupBy("doc_id").agg((F.sum(F.col("_n") * logs) / F.sum("_n")).alias("log_mean_token_freq"))
 
@@ -69,7 +70,7 @@ def association(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     deps = grams.groupBy("dependent_lemma").agg(F.sum("count").alias("_d"))
     total = grams.agg(F.sum("count").alias("_t"))
     used = pairs.filter(F.col("relation").isin(*MI_RELATIONS)).groupBy("doc_id", "relation", "head_lemma", "dependent_lemma").agg(F.count(F.lit(1)).alias("_n"))
-    scored = used.join(joint, ["relation", "head_lemma", "dependent_lemma"]).join(heads, "head_lemma").join(deps, "dependent_lemma").crossJoin(F.broadcast(total))
+    scored = with_one(used.join(joint, ["relation", "head_lemma", "dependent_lemma"]).join(heads, "head_lemma").join(deps, "dependent_lemma"), total)
     mi = F.log2(F.col("_j") * F.col("_t") / (F.col("_h") * F.col("_d")))
     aggs = []
     for r in MI_RELATIONS:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import token_array
 from corpusmill.operators.collate import PAD
-from corpusmill.shared import cut
+from corpusmill.shared import cut, with_one
 
 
 class LanguageModel(Protocol):
@@ -50,11 +50,11 @@ class NgramModel:
         size = uni.agg(F.sum("c0").alias("n"), F.count(F.lit(1)).alias("v"))  # one row
         need = tokens.select("prev2", "prev", "token").distinct()
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        p = (
+        counted = (
             need.join(g, ["prev2", "prev", "token"], "left").join(two, ["prev2", "prev"], "left")
-            .join(bi, ["prev", "token"], "left").join(ctx, ["prev"], "left").join(uni, ["token"], "left").crossJoin(F.broadcast(size))
-            .withColumn("p", l3 * F.coalesce(F.col("c3") / F.col("c12"), F.lit(0.0)) + l2 * F.coalesce(F.col("c2") / F.col("c1"), F.lit(0.0)) + l1 * (zero("c0") + 1) / (F.col("n") + F.col("v") + 1))
+            .join(bi, ["prev", "token"], "left").join(ctx, ["prev"], "left").join(uni, ["token"], "left")
         )
+        p = with_one(counted, size).withColumn("p", l3 * F.coalesce(F.col("c3") / F.col("c12"), F.lit(0.0)) + l2 * F.coalesce(F.col("c2") / F.col("c1"), F.lit(0.0)) + l1 * (zero("c0") + 1) / (F.col("n") + F.col("v") + 1))
         return tokens.join(p.select("prev2", "prev", "token", (-F.log("p")).alias("loss")), ["prev2", "prev", "token"]).select("doc_id", "i", "token", "loss")
 
     def entropy(self) -> DataFrame:

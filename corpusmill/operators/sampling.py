@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import code_fraction, jsonl_value, md5_mod
-from corpusmill.shared import ranked, strip_ws, ws_count
+from corpusmill.shared import ranked, strip_ws, with_one, ws_count
 
 
 def source_name(c: Column) -> Column:
@@ -61,7 +61,7 @@ def tertile(value: Column, edges: Column) -> Column:
 
 def with_tertiles(df: DataFrame, value: str, out: str = "tertile") -> DataFrame:
     edges = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_edges"))  # one row
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, tertile(F.col(value), F.col("_edges"))).drop("_edges")
+    return with_one(df, edges).withColumn(out, tertile(F.col(value), F.col("_edges"))).drop("_edges")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.shared import ranked
+from corpusmill.shared import ranked, with_one
 
 
 def number(name: str) -> Column:
@@ -47,7 +47,7 @@ def winsorize(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: fl
         edges = edges.withColumnRenamed(by, "_by")
         d = d.join(edges, d[by].eqNullSafe(edges["_by"])).drop("_by")
     else:
-        d = d.crossJoin(F.broadcast(edges))  # one row
+        d = with_one(d, edges)
     held = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_e_{c}")[0]), F.col(f"_e_{c}")[1])) for c in columns}
     return d.withColumns(held).drop(*[f"_e_{c}" for c in columns])
 

@@ -13,7 +13,7 @@ from corpusmill.operators import sampling as S
 from corpusmill.operators.collate import count_by, depgrams
 from corpusmill.plans.corpus import TOKEN_CTE, TOKENS, WSC, table
 from corpusmill.plans.corpus import tokens_of as _tokens
-from corpusmill.shared import cut
+from corpusmill.shared import cut, with_one
 
 Q_: dict = {}
 SQL: dict[str, str] = {}
@@ -198,7 +198,7 @@ def context_entropy(spark, d):
 def surprisal_threshold(spark, d):
     s, _ = _losses(spark, d)
     edge = s.agg(F.percentile("loss", F.lit(0.9)).alias("_q"))
-    return s.crossJoin(F.broadcast(edge)).filter("loss >= _q").select("doc_id", "i", "token")
+    return with_one(s, edge).filter("loss >= _q").select("doc_id", "i", "token")
 
 
 @query("select doc_id, (case when n <= 64 then 0 when i - 32 < 0 then 0 when i + 32 > n then n - 64 else i - 32 end)::int as start, (case when n <= 64 then n when i - 32 < 0 then 64 when i + 32 > n then n else i + 32 end)::int as end_, i::int as i from (select doc_id, len(t) as n, unnest([0, len(t) // 2, len(t) - 1]) as i from (select doc_id, " + TOKENS + " as t from documents) where len(t) > 0)")
@@ -276,9 +276,9 @@ def high_surprisal_rows(spark, d):
     """Rows at or above the 90th percentile of the rows of the best essays."""
     p, e = pilot(spark, d), clean_essays(spark, d)
     q = e.agg(F.percentile("overall", F.lit(0.667)).alias("_q"))
-    best = e.crossJoin(F.broadcast(q)).filter("overall >= _q").select(F.col("text_id_kaggle").alias("essay_id"))
+    best = with_one(e, q).filter("overall >= _q").select(F.col("text_id_kaggle").alias("essay_id"))
     t = p.join(best, "essay_id").agg(F.percentile("surprisal", F.lit(0.9)).alias("_t"))
-    return p.crossJoin(F.broadcast(t)).filter("surprisal >= _t").select("row_id")
+    return with_one(p, t).filter("surprisal >= _t").select("row_id")
 
 
 @query(

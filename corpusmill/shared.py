@@ -117,6 +117,12 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str =
     return placed.repartition(n, "_pid").sortWithinPartitions("_pid", *keys).mapInArrow(number, schema)
 
 
+def with_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row aggregate, as one scalar subquery."""
+    s = df.withColumn("_one", one_row.select(F.struct(*one_row.columns).alias("_one")).scalar())
+    return s.withColumns({c: F.col(f"_one.{c}") for c in one_row.columns}).drop("_one")
+
+
 def seeded(seed: int | str, *cols: str) -> Column:
     """A reproducible pseudo-random long for the given columns."""
     return F.xxhash64(F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
