@@ -144,6 +144,33 @@ def ws_count(c: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")), F.lit(0)).cast("long")
 
 
+#: up to so many edges one task joins components by union and find; beyond, rounds over the cluster do
+ONE_TASK_EDGES = 100_000
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """Components of a bounded number of edges (u, v) in one task."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a, c = root(u), root(v)
+                if a != c:
+                    parent[max(a, c)] = min(a, c)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components: (node, component), component being the smallest node joined, of long edges (src, dst).
 
@@ -154,6 +181,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     e = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v")).dropna()
     loops = e.filter("u = v").select(F.col("u").alias("node")).distinct()
     e = cut(e.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if e.count() <= ONE_TASK_EDGES:
+        few = cut(_joined(e), "few")
+        return few.unionByName(loops.join(few.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
     last = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill import shared
 from corpusmill.operators import annotate as A
 from corpusmill.operators import collate as C
 from corpusmill.operators import features as L
@@ -44,7 +45,9 @@ def test_ranks_and_sums_across_partitions(spark):
     assert sorted(r["rank"] for r in ranked(df, [], ["k"]).collect()) == list(range(2000))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(shared, "ONE_TASK_EDGES", limit)
     e = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 7), (10, 11), (11, 12), (12, 10)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "src long, dst long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 9: 9, 10: 10, 11: 10, 12: 10, **{100 + i: 100 for i in range(41)}}
