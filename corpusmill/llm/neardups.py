@@ -102,7 +102,7 @@ def _bags(row: np.ndarray, h: np.ndarray, multiset: bool) -> tuple[np.ndarray, n
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, size: int = 5, min_words: int = 1, bands: int = 16, band_rows: int = 8,
+    docs: DataFrame, threshold: float = 0.8, size: int = 5, min_words: int = 1, bands: int = 26, band_rows: int = 5,
     multiset: bool = True, key: str = "doc_id", text: str = "text", chunk: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the classes of equal texts: (links, copies).
@@ -114,7 +114,7 @@ def near_duplicates(
     Words are maximal runs of letters or digits after NFC and lower-casing.  Texts that are NULL, empty, or shorter than
     min_words or ``size`` words are in no link; documents with equal texts are compared once.  A bucket (one band value) of
     any size is joined by hash partitions, skewed ones split by AQE; nothing is capped.  A pair at similarity s is found
-    with probability 1 - (1 - s^band_rows)^bands.  Candidates whose signatures (four bits a component) put the estimated similarity four
+    with probability 1 - (1 - s^band_rows)^bands, by default 0.99997 at the threshold.  Candidates whose signatures (four bits a component) put the estimated similarity four
     standard deviations below the threshold or lower are not read in full.  Repeated rows of one key count once.
     """
     m = bands * band_rows

@@ -83,6 +83,18 @@ def test_links_equal_brute_force(spark, threshold, size, multiset, bands, rows):
     assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
 
 
+def test_default_bands_lose_no_pair_at_the_threshold(spark):
+    """300 pairs of 94 runs, 84 of them shared: a similarity of 84 / 104 = 0.808."""
+    rows = []
+    for i in range(300):
+        t = [f"p{i}w{j}" for j in range(98)]
+        rows += [(2 * i, " ".join(t), 1), (2 * i + 1, " ".join(t[:88] + [f"q{i}w{j}" for j in range(10)]), 1)]
+    links, _ = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, band int"))
+    got = {(r["key_a"], r["key_b"]): r["similarity"] for r in links.collect()}
+    assert set(got) == {(2 * i, 2 * i + 1) for i in range(300)}
+    assert all(abs(s - 84 / 104) < 1e-9 for s in got.values())
+
+
 def test_classes_and_repeats(spark):
     t = " ".join(f"v{i}" for i in range(40))
     df = spark.createDataFrame([(1, t), (2, t), (3, t + " end"), (3, t + " end"), (4, "other " * 30)], "doc_id long, text string")
