@@ -109,7 +109,8 @@ def near_duplicates(
 
     links: key_a, key_b (smaller first), similarity: representatives of two different texts whose multisets (or sets) of
     ``size``-word runs have a weighted Jaccard similarity of at least ``threshold``, verified exactly on the whole texts.
-    copies: rep, key, for every document of at least ``min_words`` words, rep being the smallest key with that text.
+    copies: rep, key, for every document of at least ``min_words`` words, shorter than ``size`` or not, rep being the smallest key
+    with that text.
 
     Words are maximal runs of letters or digits after NFC and lower-casing.  Texts that are NULL, empty, or shorter than
     min_words or ``size`` words are in no link; documents with equal texts are compared once.  A bucket (one band value) of
@@ -127,20 +128,23 @@ def near_duplicates(
                 texts = part.column(1).to_pylist()
                 row, h, n = shingle(texts, size)
                 r, e, w = _bags(row, h, multiset)
-                keep = np.flatnonzero((n >= max(min_words, size)) & (np.bincount(r, minlength=len(texts)) > 0))
-                sig = bag_minhash(r, e, w, len(texts), m)[keep]
-                value = np.zeros((len(keep), bands), np.uint64)
+                keep = np.flatnonzero(n >= min_words)
+                runs = n[keep] >= size  # shorter texts can only have copies: no bands, no sketch
+                sig = bag_minhash(r, e, w, len(texts), m)[keep[runs]]
+                value = np.zeros((len(sig), bands), np.uint64)
                 for j in range(band_rows):
                     value = mix64(value + _G) ^ sig[:, j::band_rows]
                 value = mix64(value + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
                 low = (sig & np.uint64(15)).astype(np.uint8)
+                sketch = np.full(len(keep), None, object)
+                sketch[runs] = [x.tobytes() for x in low[:, 0::2] | low[:, 1::2] << 4]
                 ids = [int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for i in keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(keep)),
                         pa.array(ids, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), pa.array(value.ravel())),
-                        pa.array([x.tobytes() for x in low[:, 0::2] | low[:, 1::2] << 4], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(runs * bands)], pa.int32()), pa.array(value.ravel())),
+                        pa.array(sketch, pa.binary()),
                     ],
                     names=["key", "text_id", "bands", "sketch"],
                 )
@@ -209,15 +213,22 @@ def expand(links: DataFrame, copies: DataFrame) -> DataFrame:
     return across.unionByName(same).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "similarity")
 
 
-def duplicate_classes(links: DataFrame, copies: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest document joined by links), n_links of its text, n_copies."""
+def duplicate_classes(links: DataFrame, copies: DataFrame, docs: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, class_id (smallest document joined by links), n_links of its text, n_copies.
+
+    Those of ``docs`` that are in no copies (NULL, empty, blank or below min_words) are a class of their own.
+    """
     ends = links.select("key_a", "key_b").union(links.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
     n_links = ends.groupBy(F.col("key_a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
     labels = components(links.select(F.col("key_a").alias("src"), F.col("key_b").alias("dst")))
     size = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n_copies"))
-    return (
+    classes = (
         copies.join(size, "rep")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .join(n_links, "rep", "left")
         .select(F.col("key").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     )
+    if docs is None:
+        return classes
+    alone = docs.select(F.col(key).cast("long").alias("key")).dropna().distinct().join(copies, "key", "left_anti")
+    return classes.unionByName(alone.select(F.col("key").alias("doc_id"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))

@@ -71,7 +71,8 @@ def p3_found(spark, d):
 
 
 def p3_classes(spark, d):
-    return neardups.duplicate_classes(*neardups.near_duplicates(_read(spark, d, "documents")))
+    docs = _read(spark, d, "documents")
+    return neardups.duplicate_classes(*neardups.near_duplicates(docs), docs)
 
 
 def p4_found(spark, d):

@@ -102,6 +102,15 @@ def test_classes_and_repeats(spark):
     assert got == {1: (1, 1, 2), 2: (1, 1, 2), 3: (1, 1, 1), 4: (4, 0, 1)}
 
 
+def test_short_and_blank_texts_have_classes(spark):
+    t = " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(1, "two words"), (2, "two words"), (3, "one"), (4, None), (5, ""), (6, " \t"), (7, " \t"), (8, t), (9, t + " end")], "doc_id long, text string")
+    links, copies = N.near_duplicates(df)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in N.duplicate_classes(links, copies, df).collect()}
+    assert got == {1: (1, 0, 2), 2: (1, 0, 2), **{i: (i, 0, 1) for i in (3, 4, 5, 6, 7)}, 8: (8, 1, 1), 9: (8, 1, 1)}
+    assert {tuple(r) for r in N.near_duplicates(df, min_words=2)[1].collect()} == {(1, 1), (1, 2), (8, 8), (9, 9)}
+
+
 def test_hot_copies_and_empty(spark):
     t = " ".join(f"v{i}" for i in range(30))
     df = spark.createDataFrame([(i, t if i % 3 == 0 else f"{t} {i} " + " ".join(f"q{i}_{j}" for j in range(40))) for i in range(90)], "doc_id long, text string")
