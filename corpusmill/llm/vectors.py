@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,17 +93,31 @@ class Index:
     sub: np.ndarray
 
     def cells(self, u: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest cells of each row, nearest first."""
-        first, s = best(u @ self.centroids.T, n)
-        if len(self.sub) == 1:
-            return first
-        cells, score = [], []
-        for j in range(min(3, first.shape[1])):
-            c, t = best((u - self.centroids[first[:, j]]) @ self.sub.T, n)
-            cells.append(first[:, j : j + 1] * len(self.sub) + c)
-            score.append(s[:, j : j + 1] + t)
-        pick, _ = best(np.hstack(score), n)
-        return np.take_along_axis(np.hstack(cells), pick, 1)
+        """The n nearest cells of each row, nearest first.
+
+        With directions, centroids are expanded by the most that any of their cells can score, until none left can reach the n best.
+        """
+        s = u @ self.centroids.T
+        k = len(self.sub)
+        if k == 1:
+            return best(s, n)[0]
+        n = min(n, s.shape[1] * k)
+        t = u @ self.sub.T
+        apart = self.centroids @ self.sub.T
+        most = s + t.max(axis=1, keepdims=True) - apart.min(axis=1) + 1e-5
+        order = np.argsort(-most, axis=1)
+        out = np.empty((len(u), n), np.int64)
+        for i in range(len(u)):
+            cells, score, done, step = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, -(-n // k) + 7
+            while done < len(order[i]) and (len(cells) < n or most[i, order[i, done]] > score[-1]):
+                c = order[i, done : done + step]
+                cells = np.concatenate([cells, (c[:, None] * k + np.arange(k)).ravel()])
+                score = np.concatenate([score, (s[i, c, None] + t[i] - apart[c]).ravel()])
+                top = best(score[None, :], n)[0][0]
+                cells, score = cells[top], score[top]
+                done, step = done + step, step * 2
+            out[i] = cells
+        return out
 
     def base(self, cell: np.ndarray) -> np.ndarray:
         return self.centroids[cell // len(self.sub)]
@@ -414,12 +429,21 @@ def close_neighbours(
     return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: least share of all cells that a query of :func:`search` visits
+PROBED = 0.2
+
+
+def probes(index: Index, n_probe: int) -> int:
+    return max(n_probe, math.ceil(PROBED * len(index.centroids) * len(index.sub)))
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "row_id", vec: str = "delta", dim: int = 768, n_probe: int = 96, rerank: int = 400, seed: int = 42
 ) -> DataFrame:
     """The k rows most similar to each query row, exactly reranked: key, neighbour, similarity, rank.
 
-    Rows are indexed in their 2 nearest cells; a query visits its n_probe nearest ones and scans their codes by tables (one of 16
+    Rows are indexed in their 2 nearest cells; a query visits its n_probe nearest ones, or the share
+    PROBED of all cells where that is more, and scans their codes by tables (one of 16
     entries per subspace and query); the best ``rerank`` per query and task, then per query, are ranked by exact similarity.
     """
     spark = vectors.sparkSession
@@ -427,7 +451,7 @@ def search(
     if index is None:
         return spark.createDataFrame([], "key long, neighbour long, similarity double, rank int")
     rows = index_rows(vectors, key, vec, index, 2)
-    asked = index_rows(queries, key, vec, index, n_probe).dropDuplicates(["key"])
+    asked = index_rows(queries, key, vec, index, probes(index, n_probe)).dropDuplicates(["key"])
     asked = asked.join(vectors_of(queries, key, vec, asked.select("key"), dim), "key")
     shared = spark.sparkContext.broadcast(index)
     split = F.pmod(F.xxhash64("key"), F.col("_k")).cast("int")

@@ -150,3 +150,19 @@ def test_second_level_cells(spark, monkeypatch):
     s = _sims(x)
     want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:5] if s[i, j] >= 0.7}
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_cells_are_the_nearest_of_all_centroids():
+    rng = np.random.default_rng(3)
+    c, sub, u = (V.unit(rng.standard_normal((n, DIM))) for n in (40, 5, 30))
+    index = V.Index(DIM, c, np.zeros((DIM // V.SUB, 16, V.SUB), np.float32), 1.0, sub)
+    score = ((u @ c.T)[:, :, None] + np.einsum("rcd,sd->rcs", u[:, None] - c[None], sub)).reshape(len(u), -1)
+    for n in (1, 2, 96, 200, 500):
+        got = index.cells(u, n)
+        assert got.shape == (30, min(n, 200)) and all(len(set(g)) == len(g) for g in got.tolist())
+        assert np.allclose(np.take_along_axis(score, got, 1), -np.sort(-score, axis=1)[:, :n], atol=1e-5)
+
+
+def test_probes_grow_with_the_cells():
+    index = V.Index(DIM, np.zeros((1024, DIM)), None, 1.0, np.zeros((2, DIM)))
+    assert V.probes(index, 96) == 410 and V.probes(V.Index(DIM, index.centroids[:100], None, 1.0, index.sub[:1]), 96) == 96
