@@ -438,60 +438,71 @@ def probes(index: Index, n_probe: int) -> int:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "row_id", vec: str = "delta", dim: int = 768, n_probe: int = 96, rerank: int = 400, seed: int = 42
+    vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "row_id", vec: str = "delta", dim: int = 768, n_probe: int = 96, rerank: int = 0, seed: int = 42, z: float = 3.0
 ) -> DataFrame:
     """The k rows most similar to each query row, exactly reranked: key, neighbour, similarity, rank.
 
     Rows are indexed in their 2 nearest cells; a query visits its n_probe nearest ones, or the share
     PROBED of all cells where that is more, and scans their codes by tables (one of 16
-    entries per subspace and query); the best ``rerank`` per query and task, then per query, are ranked by exact similarity.
+    entries per subspace and query).  A candidate is ranked by exact similarity if its score is within z standard deviations of its
+    quantisation error of what the k + 1 surest ones (``rerank`` if that is more) reach; there is no limit on a query's candidates.  Equal
+    vectors are indexed once, by their smallest key, and bring their first k + 1 keys, which is all that k places can hold; ties go to the smaller key.
     """
+    sure = max(k + 1, rerank)
     spark = vectors.sparkSession
     index = fit_index(vectors, key, vec, dim, seed)
     if index is None:
         return spark.createDataFrame([], "key long, neighbour long, similarity double, rank int")
-    rows = index_rows(vectors, key, vec, index, 2)
+    rows, members = distinct_vectors(index_rows(vectors, key, vec, index, 2))
     asked = index_rows(queries, key, vec, index, probes(index, n_probe)).dropDuplicates(["key"])
     asked = asked.join(vectors_of(queries, key, vec, asked.select("key"), dim), "key")
     shared = spark.sparkContext.broadcast(index)
     split = F.pmod(F.xxhash64("key"), F.col("_k")).cast("int")
-    data = rows.select("key", "code", F.col("cells")[0].alias("own"), F.explode("cells").alias("cell")).distinct()
+    data = rows.select("key", "code", "err", F.col("cells")[0].alias("own"), F.explode("cells").alias("cell"))
     sizes = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
-    data = data.join(F.broadcast(sizes), "cell").select("cell", split.alias("block"), "key", "code", "own", F.lit(None).cast("binary").alias("vec"))
-    probes = asked.select("key", "vec", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
-    probes = probes.select("cell", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("block"), "key", F.lit(None).cast("binary").alias("code"), F.lit(0).alias("own"), "vec")
+    data = data.join(F.broadcast(sizes), "cell").select("cell", split.alias("block"), "key", "code", "err", "own", F.lit(None).cast("binary").alias("vec"))
+    visits = asked.select("key", "vec", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
+    visits = visits.select("cell", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("block"), "key", F.lit(None).cast("binary").alias("code"), F.lit(0.0).cast("float").alias("err"), F.lit(0).alias("own"), "vec")
 
     def scan(t: pa.Table) -> pa.Table:
         ix = shared.value
         key_, vec_, code = t.column("key").to_numpy(), t.column("vec").to_pylist(), t.column("code").to_pylist()
         q = np.array([i for i, v in enumerate(vec_) if v is not None], np.int64)
         d = np.array([i for i, c in enumerate(code) if c is not None], np.int64)
-        a, b, s = [], [], []
+        a, b, low, high = [], [], [], []
         if len(q) and len(d):
             u = unit(unpack([vec_[i] for i in q], ix.dim))
             packed = np.frombuffer(b"".join([code[i] for i in d]), np.uint8).reshape(len(d), -1)
             own = t.column("own").to_numpy()[d]
             base = u @ ix.centroids.T
             own = own // len(ix.sub)
+            slack = z * t.column("err").to_numpy()[d] / np.sqrt(ix.dim)
             m = ix.codebook.shape[0]
             for i in range(len(q)):
                 tables = np.einsum("jcd,jd->jc", ix.codebook, u[i].reshape(m, SUB))
                 # two four-bit codes share a byte: one table of 256 sums a pair of subspaces
                 pairs = (tables[1::2, :, None] + tables[0::2, None, :]).reshape(m // 2, 256)
                 score = base[i][own] + pairs[np.arange(m // 2)[None, :], packed].sum(1)
-                top = np.argpartition(-score, min(rerank, len(d)) - 1)[:rerank]
+                least = np.partition(score - slack, len(d) - sure)[len(d) - sure] if len(d) >= sure else -np.inf
+                top = np.flatnonzero(score + slack >= least)
                 a.append(np.full(len(top), key_[q[i]]))
                 b.append(key_[d[top]])
-                s.append(score[top])
+                low.append((score - slack)[top])
+                high.append((score + slack)[top])
         cat = lambda x, ty: np.concatenate(x).astype(ty) if x else np.zeros(0, ty)
-        return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "score": cat(s, np.float64)})
-
-    found = data.unionByName(probes).groupBy("cell", "block").applyInArrow(scan, "a long, b long, score double")
-    found = found.filter("a != b").groupBy("a", "b").agg(F.max("score").alias("score"))
-    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("_n") <= rerank)
-    best = cut(best.select("a", "b"), "best")
-    ends = best.select(F.col("a").alias("key")).union(best.select("b")).distinct()
+        return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "low": cat(low, np.float64), "high": cat(high, np.float64)})
+
+    found = data.unionByName(visits).groupBy("cell", "block").applyInArrow(scan, "a long, b long, low double, high double")
+    found = found.groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    whole = Window.partitionBy("a").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = found.withColumn("_least", F.nth_value("low", sure).over(whole)).filter("_least is null or high >= _least")
+    near = cut(near.select("a", "b"), "best")
+    ends = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
     needed = vectors_of(vectors, key, vec, ends, dim)
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    ranked = exact(best, needed, dim).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("a").alias("key"), F.col("b").alias("neighbour"), "similarity", "rank")
+    ranked = exact(near, needed, dim).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+    few = members.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).filter(F.col("_n") <= k + 1)
+    full = ranked.drop("_n").join(few.select(F.col("rep").alias("b"), F.col("key").alias("neighbour")), "b").filter("a != neighbour")
+    order = Window.partitionBy("a").orderBy(F.desc("similarity"), "neighbour")
+    full = full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return full.select(F.col("a").alias("key"), "neighbour", "similarity", "rank")

@@ -166,3 +166,13 @@ def test_cells_are_the_nearest_of_all_centroids():
 def test_probes_grow_with_the_cells():
     index = V.Index(DIM, np.zeros((1024, DIM)), None, 1.0, np.zeros((2, DIM)))
     assert V.probes(index, 96) == 410 and V.probes(V.Index(DIM, index.centroids[:100], None, 1.0, index.sub[:1]), 96) == 96
+
+
+def test_search_looks_past_any_number_of_copies(spark):
+    """2,000 copies of the query's nearest vector are one candidate, and of them the smallest keys are given."""
+    x = _data(1)
+    near = [float(v) for v in x[0] + 0.05 * x[1]]
+    same = [(100_000 + i, near, 1, "c") for i in reversed(range(2000))]
+    df = _df(spark, x, same)
+    got = sorted((r["rank"], r["neighbour"]) for r in V.search(df, df.filter("row_id = 0"), 5, dim=DIM).collect())
+    assert got == [(i + 1, 100_000 + i) for i in range(5)]
