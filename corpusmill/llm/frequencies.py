@@ -78,7 +78,7 @@ def merge_counts(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
 def write_state(counts: DataFrame, path: str) -> DataFrame:
     """Persist counts partitioned by field, to be read as the next run's state."""
     counts.write.mode("overwrite").partitionBy("field").parquet(path)
-    return counts.sparkSession.read.parquet(path)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
 
 
 def mark_terms(counts: DataFrame, rare_at_most: int = 3, common_share: float = 0.01) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import clusters, encoding, frequencies, leakage, mixing, neardups, proportions, vectors
-from corpusmill.shared import strip_ws, ws_count
+from corpusmill.shared import shared_dir, strip_ws, ws_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,13 +101,23 @@ def p5_counts(spark, d):
     return _counts(spark, d)
 
 
+def _increment(spark, d, name, key, fields):
+    """Counts of one table after a first load (deliveries before 2025 or of no date), whose state is written, and one increment (the rest)."""
+    t = _read(spark, d, name)
+    late = F.expr("coalesce(loaded_at >= timestamp'2025-01-01', false)")
+    now = frequencies.latest_rows(t.filter(~late), key, "count", "loaded_at")
+    first = frequencies.merge_counts(None, frequencies.term_deltas(now, fields, "count"))
+    state = frequencies.write_state(first, f"{shared_dir(spark)}/state-{name}-{uuid.uuid4().hex}")
+    return frequencies.apply_delivery(now, t.filter(late), state, key, fields)[1]
+
+
 def p5_incremental(spark, d):
-    """Counts after a first load (deliveries before 2025) and one increment (the rest)."""
-    t = _read(spark, d, "trigrams")
-    early, late = t.filter("loaded_at < timestamp'2025-01-01'"), t.filter("loaded_at >= timestamp'2025-01-01'")
-    now = frequencies.latest_rows(early, TRIGRAM_KEY, "count", "loaded_at")
-    state = frequencies.merge_counts(None, frequencies.term_deltas(now, TRIGRAM_FIELDS, "count"))
-    return frequencies.apply_delivery(now, late, state, TRIGRAM_KEY, TRIGRAM_FIELDS)[1]
+    """The field of the trigrams; p5_increments has all three."""
+    return _increment(spark, d, "trigrams", TRIGRAM_KEY, TRIGRAM_FIELDS)
+
+
+def p5_increments(spark, d):
+    return p5_incremental(spark, d).unionByName(_increment(spark, d, "depgrams", DEPGRAM_KEY, DEPGRAM_FIELDS))
 
 
 def p6_found(spark, d):
@@ -188,6 +199,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": plans,
         "p5_counts": terms,
+        "p5_increments": terms,
         "p5_incremental": f"select * from ({terms}) where field = 'trigrams.token_2'",
         "p5_found": f"with t as ({terms}), f as (select field, sum(n_rows) as n from t group by field)"
         " select field, term, 'rare' as mark from t where total <= 3 union all select t.field, term, 'common' from t join f on t.field = f.field where n_rows >= 0.01 * n",

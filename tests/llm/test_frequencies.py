@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from corpusmill.llm import frequencies as Q
+from corpusmill.llm import queries
 
 T0 = datetime(2025, 1, 1)
 SCHEMA = "shard string, w string, count long, loaded_at timestamp, term string"
@@ -49,3 +50,12 @@ def test_hot_term(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("shard"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("w"), F.lit(2).cast("long").alias("count"), F.lit(T0).alias("loaded_at"))
     top = Q.mark_terms(Q.count_terms([(df, ["shard", "w"], {"f": "w"})])).filter("mark = 'common'").collect()
     assert [(r["term"], r["total"], r["n_rows"]) for r in top] == [("hot", 2000, 1000)]
+
+
+def test_increments_of_all_fields_with_rows_of_no_date(spark, data, tmp_path):
+    for t in ("trigrams", "depgrams"):
+        df = spark.read.parquet(f"{data}/{t}.parquet")
+        df.withColumn("loaded_at", F.when(F.pmod(F.xxhash64(*df.columns), F.lit(5)) > 0, F.col("loaded_at"))).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got, one, want = (sorted(map(tuple, f(spark, str(tmp_path)).select("field", "term", "total", "n_rows").collect())) for f in (queries.p5_increments, queries.p5_incremental, queries.p5_counts))
+    assert got == want and len({r[0] for r in got}) == 3
+    assert one == [r for r in want if r[0] == "trigrams.token_2"]
