@@ -11,8 +11,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def make_session(master: str = "local[*]", app: str = "corpusmill", partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with UTC timestamps, AQE and Arrow; ``conf`` uses ``__`` for dots."""
+def make_session(master: str = "local[*]", app: str = "corpusmill", partitions: int = 8, checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
+    """A session with UTC timestamps, AQE and Arrow; ``conf`` uses ``__`` for dots.
+
+    ``checkpoint_dir`` is the folder all executors share; without it the one of the cluster's own settings counts.
+    """
     b = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -25,6 +28,8 @@ def make_session(master: str = "local[*]", app: str = "corpusmill", partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()

@@ -10,28 +10,52 @@ import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="corpusmill-")
         atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: survives lost executors, shortens lineage."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables written by :func:`cut` inside are deleted at the end; what reads them must be done by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: survives lost executors, shortens lineage.
+
+    ``keep`` leaves the table to the session beyond the end of a :func:`scope`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,11 +76,9 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`cut` once nothing reads it any more."""
     spark = df.sparkSession
     root = shared_dir(spark)
-    jvm = spark._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if path.split(":")[-1].lstrip("/").startswith(root.split(":")[-1].lstrip("/")):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
 
 
 def partitions_of(spark: SparkSession) -> int:
@@ -66,55 +88,25 @@ def partitions_of(spark: SparkSession) -> int:
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rank", weight: str | None = None) -> DataFrame:
     """Rank (from 0) of each row in its group, or the sum of ``weight`` over the rows before it, without gathering a group in one task.
 
-    Rows are range-partitioned on ``group + order``, numbered inside their partition by a streaming pass, and shifted
-    by what earlier partitions hold of the same group (one small row per partition and group).  A group of any size
-    is spread over as many partitions as it fills; ``order`` must be unique inside a group for a fixed result.  NULL weights
-    count as 0.  The number of groups should be far below the number of rows.
+    Rows are range-partitioned on ``group + order`` and numbered inside their partition by a running window; what earlier
+    partitions hold of the same group (one row per partition and group, a distributed table) is joined and added.  A group of any
+    size is spread over as many partitions as it fills; ``order`` must be unique inside a group for a fixed result.  NULL weights
+    count as 0; NULLs in ``group`` are one group.
     """
     spark = df.sparkSession
-    n = partitions_of(spark)
     keys = [*group, *order]
     w = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1).cast("long")
-    placed = df.withColumn("_w", w).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = df.withColumn("_w", w).repartitionByRange(partitions_of(spark), *keys)
     placed = cut(placed.withColumn("_pid", F.spark_partition_id()), "ranked")
-    starts: dict[tuple, int] = {}
-    seen: dict[tuple, int] = {}
-    for r in sorted(placed.groupBy("_pid", *group).agg(F.sum("_w").alias("_n")).collect(), key=lambda r: r["_pid"]):
-        g = tuple(r[c] for c in group)
-        starts[(r["_pid"], *g)] = seen.get(g, 0)
-        seen[g] = seen.get(g, 0) + r["_n"]
-    schema = T.StructType([*[f for f in placed.schema.fields if f.name not in ("_pid", "_w")], T.StructField(out, T.LongType())])
-    cols = [f.name for f in schema.fields[:-1]]
-
-    def number(batches):
-        last, total = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            size = t.column("_w").to_numpy()
-            before = np.cumsum(size) - size
-            new = np.zeros(len(size), bool)
-            new[0] = True
-            for c in ("_pid", *group):
-                x = t.column(c).to_pandas()
-                y = x.shift()
-                new |= ((x != y) & ~(x.isna() & y.isna())).to_numpy()
-            at = np.flatnonzero(new)
-            marks = list(zip(*[t.column(c).take(pa.array(at)).to_pylist() for c in ("_pid", *group)]))
-            ends = np.r_[at[1:], len(size)]
-            base = []
-            for k, i, j in zip(marks, at, ends):
-                if k != last:
-                    total = starts.get(k, 0)
-                base.append(total - before[i])
-                total += int(size[i:j].sum())
-                last = k
-            rank = before + np.repeat(np.array(base, np.int64), ends - at)
-            yield from t.select(cols).append_column(out, pa.array(rank, pa.int64())).to_batches()
-
-    # one task per (_pid): hash placement keeps a range partition whole, the sort restores its order
-    return placed.repartition(n, "_pid").sortWithinPartitions("_pid", *keys).mapInArrow(number, schema)
+    held = placed.groupBy("_pid", *group).agg(F.sum("_w").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("_before", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    same = F.col("_pid") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return numbered.join(held, same).select(*df.columns, (F.col("_start") + F.col("_before")).alias(out))
 
 
 def with_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -144,46 +136,16 @@ def ws_count(c: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")), F.lit(0)).cast("long")
 
 
-#: up to so many edges one task joins components by union and find; beyond, rounds over the cluster do
-ONE_TASK_EDGES = 100_000
-
-
-def _joined(edges: DataFrame) -> DataFrame:
-    """Components of a bounded number of edges (u, v) in one task."""
-
-    def run(batches):
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for b in batches:
-            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a, c = root(u), root(v)
-                if a != c:
-                    parent[max(a, c)] = min(a, c)
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
-
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long")
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components: (node, component), component being the smallest node joined, of long edges (src, dst).
 
     Alternating large-star and small-star steps: the number of edges never grows, a hub's neighbours are
-    rewired to its smallest one, and the number of rounds is logarithmic in practice.  NULL ends are dropped; an isolated node
-    appears if it has an edge to itself.
+    rewired to its smallest one, and the number of rounds is logarithmic in practice; if they don't suffice it is an error, never an
+    unfinished result.  NULL ends are dropped; an isolated node appears if it has an edge to itself.
     """
     e = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v")).dropna()
     loops = e.filter("u = v").select(F.col("u").alias("node")).distinct()
     e = cut(e.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    if e.count() <= ONE_TASK_EDGES:
-        few = cut(_joined(e), "few")
-        return few.unionByName(loops.join(few.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
     last = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -199,7 +161,25 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if mark == last:
             break
         last = mark
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     alone = roots.unionByName(loops).distinct().join(out.select("node"), "node", "left_anti")
     return out.unionByName(alone.select("node", F.col("node").alias("component")))
+
+
+def chase(up: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Roots of a forest of pointers by doubling: (u, p) in, u's ancestor without a pointer of its own out, as (u, root).
+
+    Rounds are logarithmic in the longest path; a path that is longer than they reach (a cycle) is an error.
+    """
+    up = cut(up.select("u", "p"), "up")
+    for _ in range(most_rounds):
+        far = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        new = cut(up.join(far, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "up")
+        discard(up)
+        up = new.select("u", "p")
+        if new.filter("moved").isEmpty():
+            return up.withColumnRenamed("p", "root")
+    raise RuntimeError(f"pointers did not end in {most_rounds} rounds")

@@ -45,12 +45,19 @@ def test_ranks_and_sums_across_partitions(spark):
     assert sorted(r["rank"] for r in ranked(df, [], ["k"]).collect()) == list(range(2000))
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_components(spark, monkeypatch, limit):
-    monkeypatch.setattr(shared, "ONE_TASK_EDGES", limit)
+def test_components(spark):
     e = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 7), (10, 11), (11, 12), (12, 10)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "src long, dst long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 9: 9, 10: 10, 11: 10, 12: 10, **{100 + i: 100 for i in range(41)}}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(e, "src long, dst long"), most_rounds=2)
+
+
+def test_chase(spark):
+    up = [(i, i - 1) for i in range(1, 40)] + [(100, 7)]
+    assert {r["u"]: r["root"] for r in shared.chase(spark.createDataFrame(up, "u long, p long")).collect()} == dict.fromkeys([*range(1, 40), 100], 0)
+    with pytest.raises(RuntimeError):
+        shared.chase(spark.createDataFrame([(1, 2), (2, 1)], "u long, p long"), 5)
 
 
 def test_spanning_forest(spark):
