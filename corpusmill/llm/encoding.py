@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: characters from here on are counted by block of 256, so the statistics have a bounded alphabet
 SINGLE = 0x3000
 BLOCKS = SINGLE + (0x110000 >> 8)
+REACH = 12
 _LOST = "�"
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
@@ -222,19 +223,20 @@ class Restorer:
     def repair(self, run: str) -> tuple[str, str, bool]:
         """(restored run, mapping or "", is the run improbable) of a non-ASCII run with one neighbour on each side; kept for repeated runs."""
         if (got := self.runs.get(run)) is None:
-            if len(self.runs) > 200_000:
+            if len(self.runs) > 200_000:  # a memo of repeated runs; without an entry the run is computed again
                 self.runs.clear()
-            new, name, odd = run, "", False
-            for i, j in reversed(self.segments(run)):
-                odd = True
-                i, j = max(0, i - 1), min(len(run), j + 1)
-                if len(run) <= 64:  # short runs are tested whole
-                    i, j = 0, len(run)
+            new, name, places = run, "", []
+            # a character may have become twelve (three wrong readings of up to four bytes): a segment takes in all it may cut
+            for i, j in self.segments(run):
+                i, j = max(0, i - REACH), min(len(run), j + REACH)
+                if places and i <= places[-1][1]:
+                    i = places.pop()[0]
+                places.append((i, j))
+            for i, j in reversed(places):
                 bits, mapping, x = self.best(run[i:j])
                 if bits >= self.least:
                     new, name = new[:i] + x + new[j:], mapping
-                if j - i == len(run):
-                    break
+            odd = bool(places)
             got = self.runs[run] = (new, name, odd)
         return got
 

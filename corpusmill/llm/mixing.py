@@ -114,7 +114,10 @@ def plan_mix(histogram: DataFrame, mix: DataFrame) -> DataFrame:
 
 
 def mix_report(histogram: DataFrame, mix: DataFrame) -> DataFrame:
-    """Target, capacity, planned tokens, actual share and whether the target can be met, by mix and source."""
+    """Target, capacity, planned tokens, actual share and unmet, by mix and source.
+
+    ``unmet``: the plan uses every document as often as it may (its tokens reach the capacity) and still stays below the target.
+    """
     plan = plan_mix(histogram, mix)
     got = F.coalesce(F.col("length") * (F.col("repeats") * F.col("n_docs") + F.col("extra")), F.lit(0))
     per = (
@@ -126,7 +129,7 @@ def mix_report(histogram: DataFrame, mix: DataFrame) -> DataFrame:
     return per.join(all_tokens, "mix_id").select(
         "mix_id", "source", "target", "size", "capacity", "tokens",
         F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).alias("actual_share"),
-        (F.col("capacity") < F.col("target")).alias("unmet"),
+        ((F.col("tokens") >= F.col("capacity")) & (F.col("tokens") < F.col("target"))).alias("unmet"),
     )
 
 

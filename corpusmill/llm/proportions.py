@@ -15,8 +15,7 @@ def allocate(counts: DataFrame, plans: DataFrame) -> DataFrame:
 
     ``counts``: field, category, available.  ``plans``: plan_id, field, category, target_share, min_rows,
     sample_fraction.  ``required`` is the larger of min_rows and target_share * sample_fraction * N, N being all counted
-    records of the plan's field; ``expected`` is that, held to what is available; ``unmet`` marks categories with too
-    few records.  A category without records has 0 available.  NULL numbers in a plan count as 0.
+    records of the plan's field; ``expected`` is that, held to what is available.  A category without records has 0 available.  NULL numbers in a plan count as 0.
     """
     total = counts.groupBy("field").agg(F.sum("available").alias("n_field"))
     p = plans.select(
@@ -30,7 +29,6 @@ def allocate(counts: DataFrame, plans: DataFrame) -> DataFrame:
         .withColumn("available", zero("available"))
         .withColumn("required", F.greatest("min_rows", F.col("target_share") * F.col("sample_fraction") * zero("n_field")))
         .withColumn("expected", F.least(F.col("required"), F.col("available").cast("double")))
-        .withColumn("unmet", F.col("available") < F.col("required"))
     )
 
 
@@ -45,7 +43,8 @@ def sample_to_targets(records: DataFrame, plans: DataFrame, seed: int = 42) -> t
     Repeated (field, key) rows must be removed before.  An empty table gives an empty sample and a report of zeros.
 
     sample: plan_id, field, category, key.  report: one row per plan and category with target_share, required,
-    available, drawn, drawn_share (NULL where a plan draws nothing) and unmet.
+    available, drawn, drawn_share (NULL where a plan draws nothing) and unmet: the sample holds every record of the category
+    and still fewer than required.
     """
     spark = records.sparkSession
     records = records.select("field", "category", "key").dropna()
@@ -57,12 +56,12 @@ def sample_to_targets(records: DataFrame, plans: DataFrame, seed: int = 42) -> t
     rows, base = [], {}
     for r in sorted(alloc, key=lambda r: (r["plan_id"], r["field"], r["category"])):
         start = base.get(r["plan_id"], random.Random(f"{seed}/{r['plan_id']}").random())
-        rows.append((r["plan_id"], r["field"], r["category"], r["target_share"], r["min_rows"], r["required"], r["available"], start, r["expected"], r["unmet"]))
+        rows.append((r["plan_id"], r["field"], r["category"], r["target_share"], r["min_rows"], r["required"], r["available"], start, r["expected"]))
         base[r["plan_id"]] = start + r["expected"]
     plan = spark.createDataFrame(
         rows,
         "plan_id string, field string, category string, target_share double, min_rows double, required double,"
-        " available long, start double, expected double, unmet boolean",
+        " available long, start double, expected double",
     )
     pi = F.col("expected") / F.col("available")
     # integers passed by the running sum before and after this record, counted from the category's first record
@@ -80,6 +79,7 @@ def sample_to_targets(records: DataFrame, plans: DataFrame, seed: int = 42) -> t
     per = report.groupBy("plan_id").agg(F.sum("drawn").alias("_all"))
     report = report.join(per, "plan_id").select(
         "plan_id", "field", "category", "target_share", "required", "available", "drawn",
-        F.when(F.col("_all") > 0, F.col("drawn") / F.col("_all")).alias("drawn_share"), "unmet",
+        F.when(F.col("_all") > 0, F.col("drawn") / F.col("_all")).alias("drawn_share"),
+        ((F.col("drawn") == F.col("available")) & (F.col("drawn") < F.col("required"))).alias("unmet"),
     )
     return sample, report

@@ -87,46 +87,58 @@ def p4_neighbours(spark, d):
     return vectors.search(v, v.filter("row_id % 50 = 0"), 10)
 
 
-def _counts(spark, d):
-    return frequencies.count_terms(
-        [(_read(spark, d, "trigrams"), TRIGRAM_KEY, TRIGRAM_FIELDS), (_read(spark, d, "depgrams"), DEPGRAM_KEY, DEPGRAM_FIELDS)]
-    )
+def _tables(spark, d):
+    return [(_read(spark, d, "trigrams"), TRIGRAM_KEY, TRIGRAM_FIELDS), (_read(spark, d, "depgrams"), DEPGRAM_KEY, DEPGRAM_FIELDS)]
 
 
-def p5_found(spark, d):
-    return frequencies.mark_terms(_counts(spark, d)).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
+def _kept(spark, tables):
+    """Counts of the tables' fields after a first load (deliveries before 2025 or of no date) and one increment (the rest), from the kept state."""
+    out = None
+    for t, key, fields in tables:
+        home = f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
+        rows, counts = frequencies.kept_rows(spark, f"{home}/rows", fields), frequencies.kept_counts(spark, f"{home}/counts")
+        late = F.expr("coalesce(loaded_at >= timestamp'2025-01-01', false)")
+        for part in (t.filter(~late), t.filter(late)):
+            frequencies.apply_delivery(rows, counts, part, key, fields)
+        c = counts.read().drop("bucket")
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
-def p5_counts(spark, d):
-    return _counts(spark, d)
+def p5_found(spark, d):
+    return frequencies.mark_terms(_kept(spark, _tables(spark, d))).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
-def _increment(spark, d, name, key, fields):
-    """Counts of one table after a first load (deliveries before 2025 or of no date), whose state is written, and one increment (the rest)."""
-    t = _read(spark, d, name)
-    late = F.expr("coalesce(loaded_at >= timestamp'2025-01-01', false)")
-    now = frequencies.latest_rows(t.filter(~late), key, "count", "loaded_at")
-    first = frequencies.merge_counts(None, frequencies.term_deltas(now, fields, "count"))
-    state = frequencies.write_state(first, f"{shared_dir(spark)}/state-{name}-{uuid.uuid4().hex}")
-    return frequencies.apply_delivery(now, t.filter(late), state, key, fields)[1]
+def p5_counts(spark, d):
+    """A recount from scratch."""
+    return frequencies.count_terms(_tables(spark, d))
 
 
 def p5_incremental(spark, d):
     """The field of the trigrams; p5_increments has all three."""
-    return _increment(spark, d, "trigrams", TRIGRAM_KEY, TRIGRAM_FIELDS)
+    return _kept(spark, _tables(spark, d)[:1])
 
 
 def p5_increments(spark, d):
-    return p5_incremental(spark, d).unionByName(_increment(spark, d, "depgrams", DEPGRAM_KEY, DEPGRAM_FIELDS))
+    return _kept(spark, _tables(spark, d))
+
+
+def _leaks(spark, d, **more):
+    return leakage.find_leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"), 12, **more)
 
 
 def p6_found(spark, d):
-    leaks = leakage.find_leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"), 12)
-    return leaks.select("doc_id", "item_id")
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p6_cleaned(spark, d):
+    """The leaking documents, dropped or with the leaked passages cut out."""
+    return leakage.clean_leaks(_leaks(spark, d, keep_text=True))
 
 
 def p6_report(spark, d):
-    return leakage.leak_report(leakage.find_leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"), 12))
+    """The test items that leaked."""
+    return leakage.leak_report(_leaks(spark, d))
 
 
 def _white_sized(spark, d):

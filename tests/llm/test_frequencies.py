@@ -22,23 +22,43 @@ def test_latest_counts_and_marks(spark):
     assert marks == {("the", "common"), ("café", "rare"), ("café", "common")}
 
 
-def test_increments_equal_recount(spark):
-    first = [("s", f"w{i % 7}", i + 1, 0) for i in range(7)] + [(None, "w1", 4, 0)]
-    second = [("s", "w1", 50, 1), ("s", "w2", None, 1), (None, "w1", 4, 1), ("u", "new", 2, 1), ("s", "w3", 4, 2)]
-    now = Q.latest_rows(_df(spark, first), ["shard", "w"], "count", "loaded_at")
-    state = Q.merge_counts(None, Q.term_deltas(now, {"f": "w"}, "count"))
-    current, counts = Q.apply_delivery(now, _df(spark, second), state, ["shard", "w"], {"f": "w"})
-    whole = Q.count_terms([(_df(spark, first + second), ["shard", "w"], {"f": "w"})])
-    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, whole.collect()))
-    assert current.count() == 9
-
-
-def test_deleted_rows_and_state(spark, tmp_path):
-    old = _df(spark, [("s", "a", 1, 0), ("s", "b", 2, 0)]).drop("term")
-    new = _df(spark, [("s", "b", 2, 0)]).drop("term")
-    delta = Q.term_deltas(Q.changes(old, new, ["shard", "w"], "count"), {"f": "w"}, "count", "_sign")
-    state = Q.write_state(Q.merge_counts(None, Q.term_deltas(old, {"f": "w"}, "count")), str(tmp_path / "state"))
-    assert [tuple(r) for r in Q.merge_counts(state, delta).collect()] == [("f", "b", 2, 1)]
+def _kept(spark, path, deliveries, deleted=None):
+    rows, counts = Q.kept_rows(spark, f"{path}/rows", ["w"], 3), Q.kept_counts(spark, f"{path}/counts", 5)
+    for d in deliveries:
+        Q.apply_delivery(rows, counts, d, ["shard", "w"], {"f": "w"}, deleted=deleted)
+    return rows, counts
+
+
+def _rows(df):
+    return sorted(map(tuple, df.select("field", "term", "total", "n_rows").collect()))
+
+
+def test_increments_equal_recount(spark, tmp_path):
+    first = [("s", f"w{i % 7}", i + 1, 0) for i in range(7)] + [(None, "w1", 4, 0), ("w1", None, 4, 0)]
+    second = [("s", "w1", 50, 1), ("s", "w2", None, 1), (None, "w1", 4, 1), ("u", "new", 2, 1), ("s", "w3", 4, 2), ("s", "w4", 9, -3)]
+    rows, counts = _kept(spark, tmp_path, [_df(spark, first), _df(spark, second), _df(spark, second[:2]), _df(spark, [])])
+    assert _rows(counts.read()) == _rows(Q.count_terms([(_df(spark, first + second), ["shard", "w"], {"f": "w"})]))
+    assert rows.read().count() == 10
+    # what is kept is found again by another session
+    assert _rows(Q.kept_counts(spark, f"{tmp_path}/counts", 5).read()) == _rows(counts.read())
+
+
+def test_deleted_rows(spark, tmp_path):
+    old = _df(spark, [("s", "a", 1, 0), ("s", "b", 2, 0), ("t", "b", 5, 0)]).withColumn("dead", F.lit(None).cast("boolean"))
+    cut = _df(spark, [("s", "a", 1, 1), ("s", "b", None, 1), ("x", "never", 1, 1), ("t", "b", 5, -1)]).withColumn("dead", F.lit(True))
+    back = _df(spark, [("s", "a", 7, 2)]).withColumn("dead", F.lit(False))
+    _, counts = _kept(spark, tmp_path, [old, cut], "dead")
+    assert _rows(counts.read()) == [("f", "b", 5, 1)]
+    _, counts = _kept(spark, tmp_path, [back], "dead")
+    assert _rows(counts.read()) == [("f", "a", 7, 1), ("f", "b", 5, 1)]
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    _, counts = _kept(spark, tmp_path, [_df(spark, [("s", f"w{i}", 1, 0) for i in range(40)])])
+    before = dict(counts.at)
+    _, counts = _kept(spark, tmp_path, [_df(spark, [("s", "w3", 2, 1)])])
+    changed = {b for b in counts.at if counts.at[b] != before.get(b)}
+    assert len(changed) == 1 and len(before) == 5 and set(counts.at) == set(before)
 
 
 def test_empty(spark):
