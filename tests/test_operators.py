@@ -84,6 +84,76 @@ def test_spanning_forest(spark):
     assert all((roots[a] == roots[b]) == (find(a) == find(b)) for a in roots for b in roots)
 
 
+def _brute_tree(links, min_rows):
+    """Condensed hierarchy by hand: (stability and rows of every node, the node and the similarity each row joins at)."""
+    comp, nodes, rows, of, kids = {}, {}, {}, {}, {}
+    for a, b, w in sorted(links, key=lambda x: (-x[2], x[0], x[1])):
+        x, y = (comp.setdefault(k, frozenset([k])) for k in (a, b))
+        if x is y:
+            continue
+        z, lam = x | y, 1 / (1 - w)
+        big = [c for c in (x, y) if c in of]
+        if len(big) == 2:
+            new = (len(nodes), "n")
+            nodes[new] = []
+            for c in (x, y):
+                kids[of[c]] = (new, w)
+                nodes[of[c]].append((len(c), lam))
+            nodes[new].append((-len(z), lam))
+        elif big or len(z) >= min_rows:
+            new = of[big[0]] if big else (len(nodes), "n")
+            nodes.setdefault(new, [])
+            for k in z - (big[0] if big else frozenset()):
+                rows[k] = (new, w)
+                nodes[new].append((-1, lam))
+        else:
+            new = None
+        if new:
+            of[z] = new
+        for k in z:
+            comp[k] = z
+    end = 1 / (1 - min(w for _, _, w in links))
+    for c in set(comp.values()):
+        if c in of:
+            nodes[of[c]].append((len(c), end))
+    return {n: -sum(k * lam for k, lam in v) for n, v in nodes.items()}, rows, kids
+
+
+@pytest.mark.parametrize("range_links", [1000, 40])
+def test_condensed_hierarchy_equals_brute_force(spark, range_links):
+    rng = random.Random(4)
+    pts = [rng.gauss(c, 0.4 + 0.2 * (c % 3)) for c in (0, 5, 7, 20) for _ in range(16)] + [rng.uniform(-5, 30) for _ in range(25)]
+    n = len(pts)
+    order = sorted(range(n), key=pts.__getitem__)
+    links = [(min(i, j), max(i, j), 1 - abs(pts[i] - pts[j]) / 40) for i, j in zip(order, order[1:])]
+    stability, rows, kids = _brute_tree(links, 5)
+    df = spark.createDataFrame(links, "a long, b long, w double")
+    nodes, entered = G.condense(df, 5, range_links)
+    got = nodes.collect()
+    assert sorted(round(r["stability"], 6) for r in got) == sorted(round(s, 6) for s in stability.values())
+    assert {r["key"]: round(r["w"], 9) for r in entered.collect()} == {k: round(w, 9) for k, (_, w) in rows.items()}
+    assert len([r for r in got if r["parent"] is None]) == len(stability) - len(kids)
+    # cut at one similarity: the components of the links above it
+    for least in (0.9, 0.99):
+        comp = {r["node"]: r["component"] for r in components(df.filter(F.col("w") >= least).select(F.col("a").alias("src"), F.col("b").alias("dst"))).collect()}
+        size = {c: list(comp.values()).count(c) for c in comp.values()}
+        want = {k: c for k, c in comp.items() if size[c] >= 5}
+        assert {r["key"]: r["cluster_id"] for r in G.clusters_at(nodes, entered, least).collect()} == want
+    # excess of mass: a node counts if it is stabler than the best below it
+    def best(node):
+        below = [k for k, (p, _) in kids.items() if p == node]
+        sub = [best(k) for k in below]
+        most = sum(s for s, _ in sub)
+        return (stability[node], [node]) if stability[node] >= most or not below else (most, sum((c for _, c in sub), []))
+
+    chosen = sum((best(r)[1] for r in stability if r not in kids), [])
+    members, clusters = G.condensed_clusters(df, 5, range_links=range_links)
+    assert sorted(round(r["stability"], 6) for r in clusters.collect()) == sorted(round(stability[c], 6) for c in chosen)
+    leaf = G.condensed_clusters(df, 5, "leaf", range_links)[1]
+    assert leaf.count() == len([x for x in stability if x not in {p for p, _ in kids.values()}])
+    assert G.condensed_clusters(df.limit(0))[0].count() == 0
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([("a b",), (None,), ("",)], "text string")
     assert sorted(map(tuple, C.ngrams(df, 3).collect())) == [("#", "#", "a"), ("#", "a", "b")]
