@@ -101,20 +101,41 @@ def _bags(row: np.ndarray, h: np.ndarray, multiset: bool) -> tuple[np.ndarray, n
     return row[at], h[at], count.astype(np.float64) if multiset else np.ones(len(at))
 
 
+#: rows of one bucket that a task pairs with as many others
+BLOCK = 4096
+
+
+def block_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
+    """All pairs x < y of the values of each group: group, x, y.
+
+    A group of more than BLOCK rows is split by hash and its blocks are paired in tasks of their own, so no task holds more than two blocks.
+    """
+    n = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
+    placed = df.select(group, value).join(n, group).withColumn("_b", F.pmod(F.xxhash64(value), F.col("_k")).cast("int"))
+    placed = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    x = placed.select(group, F.col("_b").alias("_i"), F.col("_o").alias("_j"), F.col(value).alias("x"))
+    y = placed.select(group, F.col("_o").alias("_i"), F.col("_b").alias("_j"), F.col(value).alias("y"))
+    return x.join(y, [group, "_i", "_j"]).filter("x < y").select(group, "x", "y")
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, size: int = 5, min_words: int = 1, bands: int = 26, band_rows: int = 5,
     multiset: bool = True, key: str = "doc_id", text: str = "text", chunk: int = 1024,
-) -> tuple[DataFrame, DataFrame]:
-    """Links between different texts and the classes of equal texts: (links, copies).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links between different texts, the classes of equal texts, and balls of texts that are all linked: (links, copies, balls).
 
-    links: key_a, key_b (smaller first), similarity: representatives of two different texts whose multisets (or sets) of
+    links: key_a, key_b (smaller first), similarity: representatives of two different texts, not of one ball, whose multisets (or sets) of
     ``size``-word runs have a weighted Jaccard similarity of at least ``threshold``, verified exactly on the whole texts.
     copies: rep, key, for every document of at least ``min_words`` words, shorter than ``size`` or not, rep being the smallest key
     with that text.
+    balls: ball, key: texts (by their representatives) whose similarity to the text ``ball``, verified exactly, is at least
+    (1 + threshold) / 2; the ball's own text is in it unless it belongs to another.  One minus the similarity is a metric, so any two texts of one ball
+    have at least ``threshold``: their links hold without a list of all pairs.  A text is in one ball at most.
 
     Words are maximal runs of letters or digits after NFC and lower-casing.  Texts that are NULL, empty, or shorter than
-    min_words or ``size`` words are in no link; documents with equal texts are compared once.  A bucket (one band value) of
-    any size is joined by hash partitions, skewed ones split by AQE; nothing is capped.  A pair at similarity s is found
+    min_words or ``size`` words are in no link; documents with equal texts are compared once.  The texts of a bucket (one band value) are first
+    compared with its smallest one, which is linear; only buckets of several balls give further pairs, by blocks of bounded size, and nothing is
+    capped.  A pair at similarity s is found
     with probability 1 - (1 - s^band_rows)^bands, by default 0.99997 at the threshold.  Candidates whose signatures (four bits a component) put the estimated similarity four
     standard deviations below the threshold or lower are not read in full.  Repeated rows of one key count once.
     """
@@ -155,13 +176,9 @@ def near_duplicates(
     # one row per band and distinct text
     firsts = signed.join(rep.select(F.col("rep").alias("key")), "key", "left_semi")
     buckets = firsts.select("key", F.explode("bands").alias("band"))
-    a, b = buckets.select(F.col("key").alias("key_a"), "band"), buckets.select(F.col("key").alias("key_b"), "band")
-    pairs = a.join(b, "band").filter("key_a < key_b").select("key_a", "key_b").distinct()
-    sketch = firsts.select("key", "sketch").dropDuplicates(["key"])
-    drawn = (
-        pairs.join(sketch.select(F.col("key").alias("key_a"), F.col("sketch").alias("x")), "key_a")
-        .join(sketch.select(F.col("key").alias("key_b"), F.col("sketch").alias("y")), "key_b")
-    )
+    n = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")).filter("n > 1")
+    shared = cut(buckets.join(n.select("band", "lead"), "band"), "shared")
+    sketch = cut(firsts.join(shared.select("key").distinct(), "key", "left_semi").select("key", "sketch").dropDuplicates(["key"]), "sketches")
     agree = threshold + (1 - threshold) / 16  # of the four-bit components, at the threshold
     enough = m * (agree - 4 * np.sqrt(agree * (1 - agree) / m))
 
@@ -173,13 +190,21 @@ def near_duplicates(
                 ok = pa.array(((d & 15) == 0).sum(1) + ((d >> 4) == 0).sum(1) >= enough)
                 yield pa.RecordBatch.from_arrays([t.column("key_a").filter(ok), t.column("key_b").filter(ok)], names=["key_a", "key_b"])
 
-    pairs = cut(drawn.mapInArrow(likely, "key_a long, key_b long"), "pairs")
-    ends = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
-    texts = cut(every.join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    two = (
-        pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("x")), "key_a")
-        .join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("y")), "key_b")
-    )
+    def likely_of(pairs: DataFrame) -> DataFrame:
+        drawn = (
+            pairs.join(sketch.select(F.col("key").alias("key_a"), F.col("sketch").alias("x")), "key_a")
+            .join(sketch.select(F.col("key").alias("key_b"), F.col("sketch").alias("y")), "key_b")
+        )
+        return cut(drawn.mapInArrow(likely, "key_a long, key_b long"), "pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
+        texts = cut(every.join(ends, "key", "left_semi").dropDuplicates(["key"]), "texts")
+        two = (
+            pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("x")), "key_a")
+            .join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("y")), "key_b")
+        )
+        return cut(two.mapInArrow(verify, "key_a long, key_b long, similarity double"), "links")
 
     def verify(batches):
         for t in batches:
@@ -190,7 +215,22 @@ def near_duplicates(
                 ok = pa.array(s >= threshold - 1e-12)
                 yield pa.RecordBatch.from_arrays([p.column("key_a").filter(ok), p.column("key_b").filter(ok), pa.array(s).filter(ok)], names=["key_a", "key_b", "similarity"])
 
-    return two.mapInArrow(verify, "key_a long, key_b long, similarity double"), copies
+    tried = likely_of(shared.filter("key != lead").select(F.col("lead").alias("key_a"), F.col("key").alias("key_b")).distinct())
+    star = verified(tried)
+    held = star.filter(F.col("similarity") >= (1 + threshold) / 2).groupBy(F.col("key_b").alias("key")).agg(F.min("key_a").alias("ball"))
+    held = cut(held, "held")
+    ball = lambda c, name: held.select(F.col("key").alias(c), F.col("ball").alias(name))
+    labelled = shared.filter("key != lead").join(ball("key", "ball"), "key", "left").withColumn("ball", F.coalesce("ball", "key"))
+    mixed = labelled.groupBy("band").agg(F.min("ball").alias("_x"), F.max("ball").alias("_y")).filter("_x != _y").select("band")
+    open_ = cut(labelled.join(mixed, "band").select("band", "key"), "mixed")
+    more = block_pairs(open_, "band", "key").select(F.col("x").alias("key_a"), F.col("y").alias("key_b")).distinct().join(tried, ["key_a", "key_b"], "left_anti")
+    apart = lambda df: (
+        df.join(ball("key_a", "_p"), "key_a", "left").join(ball("key_b", "_q"), "key_b", "left")
+        .filter(F.coalesce("_p", "key_a") != F.coalesce("_q", "key_b")).select(*df.columns)
+    )
+    links = apart(star).unionByName(verified(likely_of(apart(more))))
+    centres = held.select("ball").distinct().join(held.select(F.col("key").alias("ball")), "ball", "left_anti").select("ball", F.col("ball").alias("key"))
+    return links, copies, held.select("ball", "key").unionByName(centres)
 
 
 def pair_similarity(row: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -204,23 +244,31 @@ def pair_similarity(row: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np
     return np.where(whole > 0, both / np.maximum(whole - both, 1e-9), 0.0)
 
 
-def expand(links: DataFrame, copies: DataFrame) -> DataFrame:
-    """Document pairs (doc_id_a < doc_id_b, similarity) of links between texts and of equal texts."""
+def expand(links: DataFrame, copies: DataFrame, balls: DataFrame) -> DataFrame:
+    """Document pairs (doc_id_a < doc_id_b, similarity) of links between texts, of the texts of one ball and of equal texts.
+
+    The similarity of two texts of one ball is not computed where neither is its centre: NULL.  This writes every pair; :func:`duplicate_classes` doesn't.
+    """
+    inside = block_pairs(balls, "ball", "key").select(F.col("x").alias("key_a"), F.col("y").alias("key_b"), F.lit(None).cast("double").alias("similarity"))
+    texts = links.unionByName(inside)
     c = copies.select(F.col("rep").alias("key_a"), F.col("key").alias("x"))
     d = copies.select(F.col("rep").alias("key_b"), F.col("key").alias("y"))
-    across = links.join(c, "key_a").join(d, "key_b").select("x", "y", "similarity")
-    same = c.join(d.withColumnRenamed("key_b", "key_a"), "key_a").filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    across = texts.join(c, "key_a").join(d, "key_b").select("x", "y", "similarity")
+    same = block_pairs(copies, "rep", "key").select("x", "y", F.lit(1.0).alias("similarity"))
     return across.unionByName(same).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "similarity")
 
 
-def duplicate_classes(links: DataFrame, copies: DataFrame, docs: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+def duplicate_classes(links: DataFrame, copies: DataFrame, balls: DataFrame, docs: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, class_id (smallest document joined by links), n_links of its text, n_copies.
 
-    Those of ``docs`` that are in no copies (NULL, empty, blank or below min_words) are a class of their own.
+    The links of a text are those listed and one to every other text of its ball.  Those of ``docs`` that are in no copies (NULL, empty, blank or below
+    min_words) are a class of their own.
     """
-    ends = links.select("key_a", "key_b").union(links.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
-    n_links = ends.groupBy(F.col("key_a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
-    labels = components(links.select(F.col("key_a").alias("src"), F.col("key_b").alias("dst")))
+    ends = links.select(F.col("key_a").alias("rep")).unionByName(links.select(F.col("key_b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    size = balls.groupBy("ball").agg((F.count(F.lit(1)) - 1).alias("n"))
+    n_links = ends.unionByName(balls.join(size, "ball").select(F.col("key").alias("rep"), "n")).groupBy("rep").agg(F.sum("n").alias("n_links"))
+    edges = links.select(F.col("key_a").alias("src"), F.col("key_b").alias("dst")).unionByName(balls.select(F.col("ball").alias("src"), F.col("key").alias("dst")))
+    labels = components(edges)
     size = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n_copies"))
     classes = (
         copies.join(size, "rep")

@@ -73,7 +73,7 @@ def p3_found(spark, d):
 
 def p3_classes(spark, d):
     docs = _read(spark, d, "documents")
-    return neardups.duplicate_classes(*neardups.near_duplicates(docs), docs)
+    return neardups.duplicate_classes(*neardups.near_duplicates(docs), docs=docs)
 
 
 def p4_found(spark, d):

@@ -15,8 +15,11 @@ from corpusmill.shared import arrow_rows, cut
 
 #: rows that fit the partition and the codebooks; a bound, whatever the size of the table
 FIT_ROWS = 12_288
+#: of these, rows that fit the codebooks
+CODE_ROWS = 3072
 SUB = 2  # dimensions per subspace, coded in four bits
-BLOCK = 4096  # most rows of a cell that one task takes from either side
+SHELF = 8192  # rows that cells are grouped by
+BLOCK = 12_288  # rows at home in a shelf that one task takes
 
 
 def dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,55 +82,61 @@ def best(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """centroids: first-level cells x dim.  sub: second-level directions x dim, shared by all cells, for what a centroid leaves of a row.
-    codebook: subspaces x 16 x SUB.  eta: weight of error parallel to the vector.
+    """Two levels of cells and the codebooks.  centroids: cells x dim.  planes: directions x dim that halve every cell.  shelf: shelf of a centroid.
+    low: planes below a shelf.  codebook: subspaces x 16 x SUB.  eta: weight of error parallel to the vector.
 
-    A cell is a centroid together with a direction, numbered centroid * len(sub) + direction, so two bounded tables address as
-    many cells as their product.
+    A cell is a centroid with one side of every plane through it; a shelf is a group of cells that one task takes, of about SHELF rows.  The
+    number of centroids is bounded and that of planes follows the rows, so bounded tables address any number of cells.
     """
 
     dim: int
     centroids: np.ndarray
+    planes: np.ndarray
+    shelf: np.ndarray
+    low: int
     codebook: np.ndarray
     eta: float
-    sub: np.ndarray
+
+    @property
+    def n_cells(self) -> int:
+        return len(self.centroids) << len(self.planes)
+
+    def shelves(self, cells: np.ndarray) -> np.ndarray:
+        """Shelf of every cell."""
+        bits = len(self.planes)
+        return self.shelf[cells >> bits] << (bits - self.low) | (cells & ((1 << bits) - 1)) >> self.low
 
     def cells(self, u: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest cells of each row, nearest first.
+        """The n nearest cells of each row, nearest first: the first is its own.
 
-        With directions, centroids are expanded by the most that any of their cells can score, until none left can reach the n best.
+        A cell's distance is that of its centroid and of the planes between the row and the cell; per centroid up to 8 planes nearest to
+        the row are crossed, in any combination.
         """
-        s = u @ self.centroids.T
-        k = len(self.sub)
-        if k == 1:
-            return best(s, n)[0]
-        n = min(n, s.shape[1] * k)
-        t = u @ self.sub.T
-        apart = self.centroids @ self.sub.T
-        most = s + t.max(axis=1, keepdims=True) - apart.min(axis=1) + 1e-5
-        order = np.argsort(-most, axis=1)
+        n, bits = min(n, self.n_cells), len(self.planes)
+        free = min(bits, 8)
+        wide = min(len(self.centroids), max(n, 8))
         out = np.empty((len(u), n), np.int64)
-        for i in range(len(u)):
-            cells, score, done, step = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, -(-n // k) + 7
-            while done < len(order[i]) and (len(cells) < n or most[i, order[i, done]] > score[-1]):
-                c = order[i, done : done + step]
-                cells = np.concatenate([cells, (c[:, None] * k + np.arange(k)).ravel()])
-                score = np.concatenate([score, (s[i, c, None] + t[i] - apart[c]).ravel()])
-                top = best(score[None, :], n)[0][0]
-                cells, score = cells[top], score[top]
-                done, step = done + step, step * 2
-            out[i] = cells
+        crossed = ((np.arange(1 << free)[:, None] >> np.arange(free)) & 1).astype(np.float32)
+        apart = self.centroids @ self.planes.T
+        step = max(1, (1 << 22) // (wide << free))
+        for i in range(0, len(u), step):
+            x = u[i : i + step]
+            near, score = best(x @ self.centroids.T, wide)
+            side = (x @ self.planes.T)[:, None, :] - apart[near]
+            code = ((side > 0) << np.arange(bits)).sum(2)
+            flip = np.argsort(np.abs(side), axis=2)[:, :, :free]
+            cost = np.take_along_axis(np.abs(side), flip, 2) @ crossed.T
+            mask = ((1 << flip) @ crossed.T.astype(np.int64)) if free else np.zeros((*near.shape, 1), np.int64)
+            cells = ((near[:, :, None] << bits) | (code[:, :, None] ^ mask)).reshape(len(x), -1)
+            top, _ = best((score[:, :, None] - cost).reshape(len(x), -1), n)
+            out[i : i + step, : top.shape[1]] = np.take_along_axis(cells, top, 1)
         return out
 
-    def base(self, cell: np.ndarray) -> np.ndarray:
-        return self.centroids[cell // len(self.sub)]
+    def encode(self, u: np.ndarray) -> np.ndarray:
+        return assign(u, self.codebook, self.eta)
 
-    def encode(self, u: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        return assign(u - self.base(cell), self.codebook, self.eta)
-
-    def decode(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        m = self.codebook.shape[0]
-        return self.base(cell) + self.codebook[np.arange(m)[None, :], codes].reshape(len(codes), self.dim)
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.codebook[np.arange(len(self.codebook))[None, :], codes].reshape(len(codes), self.dim)
 
 
 def pack_codes(codes: np.ndarray) -> np.ndarray:
@@ -225,32 +234,71 @@ def fit_cells(u: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def fit_index(vectors: DataFrame, key: str, vec: str, dim: int, seed: int = 42, rows_per_cell: int = 300, most_cells: int = 1024, t: float = 0.1) -> Index | None:
-    """Fits on at most FIT_ROWS rows, taken by a hash of the key; None if there is no valid vector.
+def fit_index(vectors: DataFrame, key: str, vec: str, dim: int, seed: int = 42, rows_per_cell: int = 200, most_centroids: int = 1024, t: float = 0.1) -> tuple[Index, np.ndarray] | None:
+    """(index, unit rows it was fitted on); None if there is no valid vector.
 
-    eta follows from the threshold t of the inner products that matter: (dim - 1) t^2 / (1 - t^2).
+    The rows, at most FIT_ROWS, are those with the smallest of evenly spread hashes of their key; it is an error if none is valid while the table
+    has valid ones.  The cells asked for are rows / rows_per_cell: centroids take about the fourth root less than all of them, at most most_centroids,
+    planes the rest.  eta follows from the inner products t that matter: (dim - 1) t^2 / (1 - t^2).
     """
     n = vectors.count()
     share = min(1.0, FIT_ROWS / max(n, 1))
-    picked = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20))).select(vec).limit(FIT_ROWS * 2)
-    _, x = dense(picked.toArrow().column(0), dim)
+    mark = F.xxhash64(F.lit(seed), F.col(key)).cast("double")  # even over the 64-bit numbers, whatever the number of rows
+    picked = vectors.filter(mark < (2 * share - 1) * 2.0**63) if share < 1 else vectors
+    _, x = dense(picked.select(vec).limit(FIT_ROWS * 2).toArrow().column(0), dim)
     if not len(x):
+        if share < 1 and vectors.select(F.size(vec).alias("n")).filter(F.col("n") == dim).limit(1).count():
+            raise RuntimeError("no valid vector among the rows to fit on: the sample is too small for this table")
         return None
     u = unit(x[:FIT_ROWS])
     del x
-    cells = int(max(1, min(n // rows_per_cell, most_cells, len(u) // 8)))
+    wanted = max(1.0, n / rows_per_cell)
+    bits = max(1, round(math.log2(wanted) / 4), math.ceil(math.log2(wanted / most_centroids)))
+    cells = int(max(1, min(round(wanted / 2**bits), most_centroids, len(u) // 8)))
     c = fit_cells(u, cells, seed)
+    rng = np.random.default_rng(seed)
+    planes = np.linalg.qr(rng.standard_normal((dim, min(bits, dim))))[0].T.astype(np.float32)
+    groups = int(max(1, min(round(n / SHELF), cells)))
+    shelf = (c @ fit_cells(c, groups, seed).T).argmax(1)
+    low = len(planes) - max(0, math.ceil(math.log2(max(1.0, n / SHELF / groups)))) if groups == cells else len(planes)
     eta = max(1.0, (dim - 1) * t * t / (1 - t * t))
-    near = np.concatenate([(u[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(u), 2048)])
-    # where the rows ask for more cells than a bounded sample can fit, directions of the residuals split every cell
-    subs = min(n // (rows_per_cell * cells), most_cells, len(u) // 8)
-    sub = fit_cells(_direction(u - c[near]), subs, seed) if subs >= 2 else np.zeros((1, dim), np.float32)
-    part = slice(0, FIT_ROWS // 4)
-    return Index(dim, c, fit_codebook(u[part] - c[near[part]], eta, seed), eta, sub)
+    return Index(dim, c, planes, shelf, max(0, low), fit_codebook(u[:CODE_ROWS], eta, seed), eta), u
+
+
+def measured_probes(index: Index, a: np.ndarray, b: np.ndarray, target: float, both: bool) -> int:
+    """The fewest nearest cells such that for the share ``target`` of the pairs (a, b) those of a hold b's own (or, with ``both``, those of b a's).
+
+    It is measured on the given pairs, so it follows the number of cells and how mixed the data are.
+    """
+    n = min(index.n_cells, 64)
+    while True:
+        near = index.cells(a, n)
+        rank = _place(near, index.cells(b, 1)[:, 0])
+        if both:
+            rank = np.minimum(rank, _place(index.cells(b, n), near[:, 0]))
+        need = int(np.sort(rank)[min(len(rank) - 1, math.ceil(target * len(rank)) - 1)]) + 1
+        if need <= n or n == index.n_cells:
+            return min(need, n)
+        n = min(index.n_cells, n * 4)
+
 
+def _place(lists: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    hit = lists == wanted[:, None]
+    return np.where(hit.any(1), hit.argmax(1), lists.shape[1])
 
-def index_rows(vectors: DataFrame, key: str, vec: str, index: Index, n_cells: int) -> DataFrame:
-    """Every valid row: key, same (64-bit id of the exact vector), cells, code (four bits a subspace), err (length of the code's error)."""
+
+def pairs_at(u: np.ndarray, t: float, seed: int = 0, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit rows of similarity t: rows, and the same turned towards another row."""
+    rng = np.random.default_rng(seed)
+    a = u[rng.permutation(len(u))[:most]]
+    w = u[rng.integers(0, len(u), len(a))] + 1e-3 * rng.standard_normal(a.shape).astype(np.float32)
+    w = w - (w * a).sum(1, keepdims=True) * a
+    return a, (t * a + math.sqrt(max(0.0, 1 - t * t)) * w / np.linalg.norm(w, axis=1, keepdims=True)).astype(np.float32)
+
+
+def index_rows(vectors: DataFrame, key: str, vec: str, index: Index, n_cells: int, whole: bool = False) -> DataFrame:
+    """Every valid row: key, same (64-bit id of the exact vector), home (its cell), visits (shelf and the cells of it among the n_cells
+    nearest), code (four bits a subspace), err (length of the code's error) and, if ``whole``, vec (lossless)."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def code(batches):
@@ -261,40 +309,71 @@ def index_rows(vectors: DataFrame, key: str, vec: str, index: Index, n_cells: in
                 at, x = dense(p.column(1), ix.dim)
                 u = unit(x)
                 cells = ix.cells(u, n_cells) if len(u) else np.zeros((0, 1), np.int64)
-                codes = ix.encode(u, cells[:, 0])
-                err = np.linalg.norm(u - ix.decode(codes, cells[:, 0]), axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        p.column(0).take(pa.array(at)).cast(pa.int64()),
-                        pa.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "big", signed=True) for r in x], pa.int64()),
-                        pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32())),
-                        pa.array([r.tobytes() for r in pack_codes(codes)], pa.binary()),
-                        pa.array(err.astype(np.float32), pa.float32()),
-                    ],
-                    names=["key", "same", "cells", "code", "err"],
-                )
+                codes = ix.encode(u) if len(u) else np.zeros((0, len(ix.codebook)), np.uint8)
+                err = np.linalg.norm(u - ix.decode(codes), axis=1)
+                columns = [
+                    p.column(0).take(pa.array(at)).cast(pa.int64()),
+                    pa.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "big", signed=True) for r in x], pa.int64()),
+                    pa.array(cells[:, 0], pa.int64()),
+                    _by_shelf(ix, cells),
+                    pa.array([r.tobytes() for r in pack_codes(codes)], pa.binary()),
+                    pa.array(err.astype(np.float32), pa.float32()),
+                ]
+                names = ["key", "same", "home", "visits", "code", "err"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pack(x), pa.binary())] if whole else columns, names=[*names, "vec"] if whole else names)
 
     rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), vec)
+    schema = "key long, same long, home long, visits array<struct<shelf: long, cells: array<long>>>, code binary, err float" + (", vec binary" if whole else "")
     with arrow_rows(vectors.sparkSession, 1024):
-        return cut(rows.mapInArrow(code, "key long, same long, cells array<int>, code binary, err float"), "index")
+        return cut(rows.mapInArrow(code, schema), "index")
+
 
+def _by_shelf(ix: Index, cells: np.ndarray) -> pa.Array:
+    """Per row the cells of each shelf together."""
+    n, width = cells.shape
+    shelf = ix.shelves(cells)
+    order = np.argsort(shelf, axis=1, kind="stable")
+    shelf, cells = np.take_along_axis(shelf, order, 1), np.take_along_axis(cells, order, 1)
+    first = np.ones((n, width), bool)
+    first[:, 1:] = shelf[:, 1:] != shelf[:, :-1]
+    inner = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(first.ravel()), n * width], pa.int32()), pa.array(cells.ravel(), pa.int64()))
+    parts = pa.StructArray.from_arrays([pa.array(shelf[first], pa.int64()), inner], names=["shelf", "cells"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first.sum(1))], pa.int32()), parts)
 
-def in_blocks(rows: DataFrame, columns: list[str], n_cells: int, whole: bool = False) -> DataFrame:
-    """Rows by the tasks that compare them: (cell, lo, hi) for every pair of blocks of a cell.
 
-    A cell of more than BLOCK rows is split by a hash of the key, so no task gets more than about two blocks whatever the
-    share of rows in one cell; the pairs of a cell are all compared.  With ``whole``, tasks compare all rows they get, so a
-    split cell needs no task for one block alone.  The number of cells is bounded, so their sizes are small.
+def in_tasks(homes: DataFrame, visitors: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows by the tasks that compare the rows at home in a shelf with its visitors: shelf, block, guests, cell (NULL for a visitor), cells, columns.
+
+    ``homes``: shelf, key, home, columns; ``visitors``: shelf, key, cells, columns.  A shelf with more than BLOCK rows at home is split by a
+    hash of the key, and so are its visitors, so no task gets more than about BLOCK of the one and 8 BLOCK of the other, whatever the
+    share of rows in one shelf; every visitor meets every row at home once.
     """
-    each = rows.select(*columns, F.slice("cells", 1, n_cells).alias("_near")).select(*columns, F.col("_near")[0].alias("own"), F.explode("_near").alias("cell"))
-    sizes = rows.select(F.explode(F.slice("cells", 1, n_cells)).alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
-    return (
-        each.join(F.broadcast(sizes), "cell")
-        .withColumn("_b", F.pmod(F.xxhash64("key"), F.col("_k")).cast("int"))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .filter((F.col("_j") != F.col("_b")) | (F.col("_k") == 1) if whole else F.lit(True))
-        .select("cell", F.least("_b", "_j").alias("lo"), F.greatest("_b", "_j").alias("hi"), F.col("_b").alias("block"), "own", *columns)
-    )
+    parts = lambda df, most, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    sizes = cut(parts(homes, BLOCK, "_k").join(parts(visitors, 8 * BLOCK, "_g"), "shelf"), "shelves")
+    of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = F.lit(None)
+    here = homes.join(sizes, "shelf").withColumn("guests", every("_g")).select("shelf", of("_k").alias("block"), "guests", F.col("home").alias("cell"), none.cast("array<long>").alias("cells"), *columns)
+    there = visitors.join(sizes, "shelf").withColumn("block", every("_k")).select("shelf", "block", of("_g").alias("guests"), none.cast("long").alias("cell"), "cells", *columns)
+    return here.unionByName(there)
+
+
+def by_cell(t: pa.Table):
+    """(rows at home, visitors) of every cell of a task's table that has both, as row numbers."""
+    cell = t.column("cell").combine_chunks()
+    home = np.flatnonzero(cell.is_valid().to_numpy(zero_copy_only=False))
+    at = cell.take(pa.array(home)).to_numpy(zero_copy_only=False)
+    lists = t.column("cells").combine_chunks()
+    guest = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+    lists = lists.take(pa.array(guest))
+    size = np.diff(lists.offsets.to_numpy())
+    who, seen = np.repeat(guest, size), lists.flatten().to_numpy(zero_copy_only=False)
+    order, again = np.argsort(at, kind="stable"), np.argsort(seen, kind="stable")
+    home, at, who, seen = home[order], at[order], who[again], seen[again]
+    for c in np.unique(at):
+        q = who[np.searchsorted(seen, c) : np.searchsorted(seen, c, "right")]
+        if len(q):
+            yield home[np.searchsorted(at, c) : np.searchsorted(at, c, "right")], q
 
 
 def distinct_vectors(index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -305,40 +384,76 @@ def distinct_vectors(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firsts, members
 
 
-def close_pairs(rows: DataFrame, index: Index, least: float, n_cells: int, z: float = 3.0) -> DataFrame:
-    """Candidate pairs (a < b) of rows that share a cell and may have a similarity of ``least``.
+#: tables and their sums are whole numbers of this many steps to 1
+SCALE = 8192
+
+
+def scan_tables(tables, codes: np.ndarray, subspaces, out: np.ndarray, buffer: np.ndarray) -> None:
+    """Sums of 16-entry tables looked up by four-bit codes, for all rows and queries: out[row, query] = sum of tables(j)[codes[j, row], query].
+
+    ``tables(j)`` gives the 16 x queries table of a subspace in 16-bit whole numbers; a row's code picks one line of it, so a look-up
+    is a copy of neighbouring numbers for all queries together.
+    """
+    out[:] = 0
+    for j in subspaces:
+        np.take(tables(j), codes[j], axis=0, out=buffer, mode="clip")
+        out += buffer
+
+
+def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 4.0) -> DataFrame:
+    """Candidate pairs (a < b) of which one visits the other's cell and which may have a similarity of ``least``.
 
-    Both sides are four-bit codes.  The tables of all subspaces, looked up and summed for all pairs of a block, are the
-    inner products of the decoded rows, so one matrix product sums them.  A pair stays if its score is within z standard
-    deviations of its own quantisation error of ``least``; there is no limit on a row's candidates.
+    Both sides are four-bit codes, so a subspace's table holds the products of its 16 codewords with the visitor's.  Tables of every third
+    subspace are scanned for all pairs; a pair whose estimate from them, a sample of all subspaces, is more than z standard
+    deviations below ``least`` is left.  For the others the tables of all subspaces are summed, and a pair stays if that is within z
+    standard deviations of its codes' error.  There is no limit on a row's candidates.
     """
     shared = rows.sparkSession.sparkContext.broadcast(index)
-    schema = "a long, b long"
 
     def scan(t: pa.Table) -> pa.Table:
         ix = shared.value
+        m = len(ix.codebook)
         key = t.column("key").to_numpy()
-        block, lo, hi = t.column("block").to_numpy(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         packed = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(key), -1)
-        x = ix.decode(unpack_codes(packed), t.column("own").to_numpy())
+        codes = np.ascontiguousarray(unpack_codes(packed).T)  # subspace x row
         err = t.column("err").to_numpy().astype(np.float32) ** 2
-        left, right = (np.flatnonzero(block == lo), np.flatnonzero(block == hi)) if lo < hi else (np.arange(len(key)),) * 2
+        product = np.rint(np.einsum("jad,jbd->jab", ix.codebook, ix.codebook) * SCALE).astype(np.int16)
+        flat = product.ravel()
+        some = np.arange(0, m, 3)
+        share = len(some) / m
+        sampling = math.sqrt(share * (1 - share) * (1 + least * least) / ix.dim)
+        start = np.arange(m, dtype=np.int32)[:, None] * 256
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(0, len(left) if len(right) else 0, 512):
-            l, r = left[i : i + 512], right[i:] if lo == hi else right  # within a block each pair once
-            s = x[l] @ x[r].T
-            widest = least - z * np.sqrt((err[l].max() + err[r].max()) / ix.dim)
-            p, q = np.nonzero(s >= widest)
-            keep = s[p, q] >= least - z * np.sqrt((err[l[p]] + err[r[q]]) / ix.dim)
-            if lo == hi:
-                keep &= p < q
-            found_a.append(key[l[p[keep]]])
-            found_b.append(key[r[q[keep]]])
+        for home, guests in by_cell(t):
+            wide = np.float32(np.sqrt((err[home].max() + err[guests].max()) / ix.dim))
+            edge = int((share * (least - z * wide) - z * sampling) * SCALE)
+            at = codes[:, home].astype(np.intp)
+            for i in range(0, len(guests), 2048):
+                q = guests[i : i + 2048]
+                sums, buffer = np.empty((2, len(home), len(q)), np.int16)
+                theirs = codes[:, q]
+                scan_tables(lambda j, theirs=theirs: product[j].take(theirs[j], axis=1), at, some, sums, buffer)
+                x, y = np.nonzero(sums > edge)
+                for k in range(0, len(x), 4096):
+                    a, b = home[x[k : k + 4096]], q[y[k : k + 4096]]
+                    score = flat[start + (codes[:, a].astype(np.int32) << 4 | codes[:, b])].sum(0, dtype=np.int32) / SCALE
+                    keep = (score >= least - z * np.sqrt((err[a] + err[b]) / ix.dim)) & (key[a] != key[b])
+                    found_a.append(key[a[keep]])
+                    found_b.append(key[b[keep]])
         a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pair[0], "b": pair[1]})
 
-    tasks = in_blocks(rows, ["key", "code", "err"], n_cells)
-    return tasks.groupBy("cell", "lo", "hi").applyInArrow(scan, schema).distinct()
+    columns = ["key", "code", "err"]
+    tasks = in_tasks(_at_home(rows.select("home", *columns), index), rows.select(F.inline("visits"), *columns), columns)
+    return tasks.groupBy("shelf", "block", "guests").applyInArrow(scan, "a long, b long").distinct()
+
+
+def _at_home(rows: DataFrame, index: Index) -> DataFrame:
+    """With the shelf of the home cell."""
+    bits = len(index.planes)
+    of = F.element_at(F.array(*[F.lit(int(s)) for s in index.shelf]), (F.shiftright("home", bits) + 1).cast("int"))
+    return rows.withColumn("shelf", F.shiftleft(of.cast("long"), bits - index.low).bitwiseOR(F.shiftright(F.col("home").bitwiseAND(F.lit((1 << bits) - 1)), index.low)))
 
 
 #: bits of the filter that keeps most rows without a candidate out of the shuffle; its size never grows
@@ -398,23 +513,25 @@ def exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def close_neighbours(
-    vectors: DataFrame, k: int = 5, least: float = 0.7, key: str = "row_id", vec: str = "delta", dim: int = 768, n_cells: int = 8, rows_per_cell: int = 200, seed: int = 42
+    vectors: DataFrame, k: int = 5, least: float = 0.7, key: str = "row_id", vec: str = "delta", dim: int = 768, rows_per_cell: int = 200, recall: float = 0.99, seed: int = 42
 ) -> DataFrame:
     """For every row its at most k most similar rows of similarity ``least`` or more: key, neighbour, similarity, rank.
 
-    Rows are indexed in their n_cells nearest cells (all rows, by codes fitted on FIT_ROWS of them), compared where they share
-    one, and candidates are ranked by exact similarity; ties go to the smaller key.  Rows of one key are one vector; invalid vectors
+    Every row is at home in one cell and visits its nearest ones: as many as are needed so that of pairs of similarity ``least``, made from
+    the rows the index was fitted on, the share ``recall`` meets; more similar pairs meet more often.  Rows that meet are compared by their codes and
+    candidates are ranked by exact similarity; ties go to the smaller key.  Rows of one key are one vector; invalid vectors
     (see :func:`dense`) take no part.  Equal vectors of different keys are compared once: each brings its class's first k + 1 keys, which is all that k places can hold.
     No valid vector: no rows.
     """
     spark = vectors.sparkSession
     out = "key long, neighbour long, similarity double, rank int"
-    index = fit_index(vectors, key, vec, dim, seed, rows_per_cell)
-    if index is None:
+    fitted = fit_index(vectors, key, vec, dim, seed, rows_per_cell)
+    if fitted is None:
         return spark.createDataFrame([], out)
-    rows = index_rows(vectors, key, vec, index, n_cells)
+    index, sample = fitted
+    rows = index_rows(vectors, key, vec, index, measured_probes(index, *pairs_at(sample, least), recall, True))
     firsts, members = distinct_vectors(rows)
-    pairs = cut(close_pairs(firsts, index, least, n_cells), "close")
+    pairs = cut(close_pairs(cut(firsts, "firsts"), index, least), "close")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     needed = vectors_of(vectors, key, vec, ends, dim)
     sims = exact(pairs, needed, dim).filter(F.col("similarity") >= least)
@@ -429,80 +546,78 @@ def close_neighbours(
     return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-#: least share of all cells that a query of :func:`search` visits
-PROBED = 0.2
-
-
-def probes(index: Index, n_probe: int) -> int:
-    return max(n_probe, math.ceil(PROBED * len(index.centroids) * len(index.sub)))
-
-
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "row_id", vec: str = "delta", dim: int = 768, n_probe: int = 96, rerank: int = 0, seed: int = 42, z: float = 3.0
+    vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "row_id", vec: str = "delta", dim: int = 768, rows_per_cell: int = 200, recall: float = 0.97, seed: int = 42, z: float = 2.5
 ) -> DataFrame:
     """The k rows most similar to each query row, exactly reranked: key, neighbour, similarity, rank.
 
-    Rows are indexed in their 2 nearest cells; a query visits its n_probe nearest ones, or the share
-    PROBED of all cells where that is more, and scans their codes by tables (one of 16
-    entries per subspace and query).  A candidate is ranked by exact similarity if its score is within z standard deviations of its
-    quantisation error of what the k + 1 surest ones (``rerank`` if that is more) reach; there is no limit on a query's candidates.  Equal
-    vectors are indexed once, by their smallest key, and bring their first k + 1 keys, which is all that k places can hold; ties go to the smaller key.
+    Every row is at home in one cell; a query visits as many of its nearest cells as are needed so that the share ``recall`` of the true
+    neighbours of fitted rows among fitted rows is met, and sees all rows of their shelves.  In each task the four-bit
+    codes of the rows at home are scanned by tables of 16 entries per subspace and query; a row is ranked by its exact similarity, in the
+    same task, if its score is within z standard deviations of its code's error of what the k + 1 surest rows of the task reach.  There is no limit
+    on a query's candidates, and a task gives k + 1 rows a query.  Equal vectors are indexed once, by their smallest key, and bring their first k + 1 keys,
+    which is all that k places can hold; ties go to the smaller key.
     """
-    sure = max(k + 1, rerank)
     spark = vectors.sparkSession
-    index = fit_index(vectors, key, vec, dim, seed)
-    if index is None:
+    fitted = fit_index(vectors, key, vec, dim, seed, rows_per_cell)
+    if fitted is None:
         return spark.createDataFrame([], "key long, neighbour long, similarity double, rank int")
-    rows, members = distinct_vectors(index_rows(vectors, key, vec, index, 2))
-    asked = index_rows(queries, key, vec, index, probes(index, n_probe)).dropDuplicates(["key"])
-    asked = asked.join(vectors_of(queries, key, vec, asked.select("key"), dim), "key")
+    index, sample = fitted
+    some = sample[: min(256, len(sample) // 2)]
+    n_cells = 1
+    if len(some):
+        rest = sample[len(some) :]
+        near, _ = best(some @ rest.T, k)
+        n_cells = measured_probes(index, np.repeat(some, near.shape[1], 0), rest[near.ravel()], recall, False)
+    firsts, members = distinct_vectors(index_rows(vectors, key, vec, index, 1, True))
+    asked = index_rows(queries, key, vec, index, n_cells, True).dropDuplicates(["key"])
     shared = spark.sparkContext.broadcast(index)
-    split = F.pmod(F.xxhash64("key"), F.col("_k")).cast("int")
-    data = rows.select("key", "code", "err", F.col("cells")[0].alias("own"), F.explode("cells").alias("cell"))
-    sizes = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
-    data = data.join(F.broadcast(sizes), "cell").select("cell", split.alias("block"), "key", "code", "err", "own", F.lit(None).cast("binary").alias("vec"))
-    visits = asked.select("key", "vec", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
-    visits = visits.select("cell", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("block"), "key", F.lit(None).cast("binary").alias("code"), F.lit(0.0).cast("float").alias("err"), F.lit(0).alias("own"), "vec")
+    columns = ["key", "code", "err", "vec"]
 
     def scan(t: pa.Table) -> pa.Table:
         ix = shared.value
-        key_, vec_, code = t.column("key").to_numpy(), t.column("vec").to_pylist(), t.column("code").to_pylist()
-        q = np.array([i for i, v in enumerate(vec_) if v is not None], np.int64)
-        d = np.array([i for i, c in enumerate(code) if c is not None], np.int64)
-        a, b, low, high = [], [], [], []
-        if len(q) and len(d):
-            u = unit(unpack([vec_[i] for i in q], ix.dim))
-            packed = np.frombuffer(b"".join([code[i] for i in d]), np.uint8).reshape(len(d), -1)
-            own = t.column("own").to_numpy()[d]
-            base = u @ ix.centroids.T
-            own = own // len(ix.sub)
-            slack = z * t.column("err").to_numpy()[d] / np.sqrt(ix.dim)
-            m = ix.codebook.shape[0]
-            for i in range(len(q)):
-                tables = np.einsum("jcd,jd->jc", ix.codebook, u[i].reshape(m, SUB))
-                # two four-bit codes share a byte: one table of 256 sums a pair of subspaces
-                pairs = (tables[1::2, :, None] + tables[0::2, None, :]).reshape(m // 2, 256)
-                score = base[i][own] + pairs[np.arange(m // 2)[None, :], packed].sum(1)
-                least = np.partition(score - slack, len(d) - sure)[len(d) - sure] if len(d) >= sure else -np.inf
-                top = np.flatnonzero(score + slack >= least)
-                a.append(np.full(len(top), key_[q[i]]))
-                b.append(key_[d[top]])
-                low.append((score - slack)[top])
-                high.append((score + slack)[top])
-        cat = lambda x, ty: np.concatenate(x).astype(ty) if x else np.zeros(0, ty)
-        return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "low": cat(low, np.float64), "high": cat(high, np.float64)})
-
-    found = data.unionByName(visits).groupBy("cell", "block").applyInArrow(scan, "a long, b long, low double, high double")
-    found = found.groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high"))
-    whole = Window.partitionBy("a").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = found.withColumn("_least", F.nth_value("low", sure).over(whole)).filter("_least is null or high >= _least")
-    near = cut(near.select("a", "b"), "best")
-    ends = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-    needed = vectors_of(vectors, key, vec, ends, dim)
+        m = len(ix.codebook)
+        key_, vec_, valid = t.column("key").to_numpy(), t.column("vec"), t.column("cell").is_valid().to_numpy()
+        d, q = np.flatnonzero(valid), np.flatnonzero(~valid)
+        a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(d) and len(q):
+            x = unpack(vec_.take(pa.array(d)).to_pylist(), ix.dim)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            codes = np.ascontiguousarray(unpack_codes(np.frombuffer(b"".join(t.column("code").take(pa.array(d)).to_pylist()), np.uint8).reshape(len(d), -1)).T).astype(np.intp)
+            slack = (z * t.column("err").to_numpy()[d] / math.sqrt(ix.dim))[None, :]
+            keep = min(k + 1, len(d))
+            for i in range(0, len(q), 256):
+                u = unit(unpack(vec_.take(pa.array(q[i : i + 256])).to_pylist(), ix.dim))
+                parts = np.ascontiguousarray(u.reshape(len(u), m, SUB).transpose(1, 2, 0))
+                tables = np.rint(ix.codebook @ parts * SCALE).astype(np.int16)
+                score = np.empty((len(d), len(u)), np.float32)
+                for lo in range(0, len(d), 1024):
+                    sums, buffer = np.empty((2, len(d[lo : lo + 1024]), len(u)), np.int16)
+                    scan_tables(tables.__getitem__, codes[:, lo : lo + 1024], range(m), sums, buffer)
+                    score[lo : lo + 1024] = sums
+                score = score.T / SCALE
+                least = -np.partition(slack - score, keep - 1, axis=1)[:, keep - 1]
+                for j in range(len(u)):
+                    c = np.flatnonzero(score[j] + slack[0] >= least[j])
+                    true = x[c] @ u[j]
+                    c = c[np.argsort(-true, kind="stable")]
+                    true = np.sort(true)[::-1]
+                    # ties with the last place stay, so that the smaller keys win in the end
+                    n = np.searchsorted(-true, -true[keep - 1] + 1e-6, "right") if len(true) >= keep else len(true)
+                    a.append(np.full(n, key_[q[i + j]]))
+                    b.append(key_[d[c[:n]]])
+                    # what is ranked is exact: double precision of the whole vectors
+                    y = x[c[:n]].astype(np.float64)
+                    s.append(y @ u[j].astype(np.float64) / (np.linalg.norm(y, axis=1) * np.linalg.norm(u[j].astype(np.float64))))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "similarity": np.concatenate(s)})
+
+    homes = _at_home(firsts.select("home", *columns), index)
+    visitors = asked.select(F.inline("visits"), *columns)
+    found = in_tasks(cut(homes, "homes"), cut(visitors, "visitors"), columns).groupBy("shelf", "block", "guests").applyInArrow(scan, "a long, b long, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    ranked = exact(near, needed, dim).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+    ranked = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1).drop("_n")
     few = members.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).filter(F.col("_n") <= k + 1)
-    full = ranked.drop("_n").join(few.select(F.col("rep").alias("b"), F.col("key").alias("neighbour")), "b").filter("a != neighbour")
+    full = ranked.join(few.select(F.col("rep").alias("b"), F.col("key").alias("neighbour")), "b").filter("a != neighbour")
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "neighbour")
     full = full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return full.select(F.col("a").alias("key"), "neighbour", "similarity", "rank")
