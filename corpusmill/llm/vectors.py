@@ -18,7 +18,7 @@ FIT_ROWS = 12_288
 #: of these, rows that fit the codebooks
 CODE_ROWS = 3072
 SUB = 2  # dimensions per subspace, coded in four bits
-SHELF = 8192  # rows that cells are grouped by
+SHELF = 16_384  # rows that cells are grouped by
 BLOCK = 12_288  # rows at home in a shelf that one task takes
 
 
@@ -238,8 +238,8 @@ def fit_index(vectors: DataFrame, key: str, vec: str, dim: int, seed: int = 42,
     """(index, unit rows it was fitted on); None if there is no valid vector.
 
     The rows, at most FIT_ROWS, are those with the smallest of evenly spread hashes of their key; it is an error if none is valid while the table
-    has valid ones.  The cells asked for are rows / rows_per_cell: centroids take about the fourth root less than all of them, at most most_centroids,
-    planes the rest.  eta follows from the inner products t that matter: (dim - 1) t^2 / (1 - t^2).
+    has valid ones.  The cells asked for are rows / rows_per_cell: one plane halves all, further planes follow once half of them would be more than
+    most_centroids.  eta follows from the inner products t that matter: (dim - 1) t^2 / (1 - t^2).
     """
     n = vectors.count()
     share = min(1.0, FIT_ROWS / max(n, 1))
@@ -253,7 +253,7 @@ def fit_index(vectors: DataFrame, key: str, vec: str, dim: int, seed: int = 42,
     u = unit(x[:FIT_ROWS])
     del x
     wanted = max(1.0, n / rows_per_cell)
-    bits = max(1, round(math.log2(wanted) / 4), math.ceil(math.log2(wanted / most_centroids)))
+    bits = max(1, math.ceil(math.log2(wanted / most_centroids)))
     cells = int(max(1, min(round(wanted / 2**bits), most_centroids, len(u) // 8)))
     c = fit_cells(u, cells, seed)
     rng = np.random.default_rng(seed)
@@ -323,7 +323,7 @@ def index_rows(vectors: DataFrame, key: str, vec: str, index: Index, n_cells: in
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pack(x), pa.binary())] if whole else columns, names=[*names, "vec"] if whole else names)
 
     rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), vec)
-    schema = "key long, same long, home long, visits array<struct<shelf: long, cells: array<long>>>, code binary, err float" + (", vec binary" if whole else "")
+    schema = "key long, same long, home long, visits array<struct<shelf: long, cells: array<int>>>, code binary, err float" + (", vec binary" if whole else "")
     with arrow_rows(vectors.sparkSession, 1024):
         return cut(rows.mapInArrow(code, schema), "index")
 
@@ -336,7 +336,7 @@ def _by_shelf(ix: Index, cells: np.ndarray) -> pa.Array:
     shelf, cells = np.take_along_axis(shelf, order, 1), np.take_along_axis(cells, order, 1)
     first = np.ones((n, width), bool)
     first[:, 1:] = shelf[:, 1:] != shelf[:, :-1]
-    inner = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(first.ravel()), n * width], pa.int32()), pa.array(cells.ravel(), pa.int64()))
+    inner = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(first.ravel()), n * width], pa.int32()), pa.array(cells.ravel(), pa.int32()))
     parts = pa.StructArray.from_arrays([pa.array(shelf[first], pa.int64()), inner], names=["shelf", "cells"])
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first.sum(1))], pa.int32()), parts)
 
@@ -345,15 +345,15 @@ def in_tasks(homes: DataFrame, visitors: DataFrame, columns: list[str]) -> DataF
     """Rows by the tasks that compare the rows at home in a shelf with its visitors: shelf, block, guests, cell (NULL for a visitor), cells, columns.
 
     ``homes``: shelf, key, home, columns; ``visitors``: shelf, key, cells, columns.  A shelf with more than BLOCK rows at home is split by a
-    hash of the key, and so are its visitors, so no task gets more than about BLOCK of the one and 8 BLOCK of the other, whatever the
+    hash of the key, and so are its visitors, so no task gets more than about BLOCK of the one and 16 BLOCK of the other, whatever the
     share of rows in one shelf; every visitor meets every row at home once.
     """
     parts = lambda df, most, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    sizes = cut(parts(homes, BLOCK, "_k").join(parts(visitors, 8 * BLOCK, "_g"), "shelf"), "shelves")
+    sizes = cut(parts(homes, BLOCK, "_k").join(parts(visitors, 16 * BLOCK, "_g"), "shelf"), "shelves")
     of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = F.lit(None)
-    here = homes.join(sizes, "shelf").withColumn("guests", every("_g")).select("shelf", of("_k").alias("block"), "guests", F.col("home").alias("cell"), none.cast("array<long>").alias("cells"), *columns)
+    here = homes.join(sizes, "shelf").withColumn("guests", every("_g")).select("shelf", of("_k").alias("block"), "guests", F.col("home").alias("cell"), none.cast("array<int>").alias("cells"), *columns)
     there = visitors.join(sizes, "shelf").withColumn("block", every("_k")).select("shelf", "block", of("_g").alias("guests"), none.cast("long").alias("cell"), "cells", *columns)
     return here.unionByName(there)
 
@@ -403,9 +403,9 @@ def scan_tables(tables, codes: np.ndarray, subspaces, out: np.ndarray, buffer: n
 def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 4.0) -> DataFrame:
     """Candidate pairs (a < b) of which one visits the other's cell and which may have a similarity of ``least``.
 
-    Both sides are four-bit codes, so a subspace's table holds the products of its 16 codewords with the visitor's.  Tables of every third
-    subspace are scanned for all pairs; a pair whose estimate from them, a sample of all subspaces, is more than z standard
-    deviations below ``least`` is left.  For the others the tables of all subspaces are summed, and a pair stays if that is within z
+    Both sides are four-bit codes, so a subspace's table holds the products of its 16 codewords with the visitor's.  The tables of every fourth
+    subspace are scanned for all pairs; a visitor none of whose estimates from them, a sample of all subspaces, comes within z standard
+    deviations of ``least`` is left.  For the others all codewords' products are summed, and a pair stays if that is within z
     standard deviations of its codes' error.  There is no limit on a row's candidates.
     """
     shared = rows.sparkSession.sparkContext.broadcast(index)
@@ -418,25 +418,24 @@ def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 4.0) ->
         codes = np.ascontiguousarray(unpack_codes(packed).T)  # subspace x row
         err = t.column("err").to_numpy().astype(np.float32) ** 2
         product = np.rint(np.einsum("jad,jbd->jab", ix.codebook, ix.codebook) * SCALE).astype(np.int16)
-        flat = product.ravel()
-        some = np.arange(0, m, 3)
+        some = np.arange(0, m, 4)
         share = len(some) / m
         sampling = math.sqrt(share * (1 - share) * (1 + least * least) / ix.dim)
-        start = np.arange(m, dtype=np.int32)[:, None] * 256
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for home, guests in by_cell(t):
-            wide = np.float32(np.sqrt((err[home].max() + err[guests].max()) / ix.dim))
-            edge = int((share * (least - z * wide) - z * sampling) * SCALE)
-            at = codes[:, home].astype(np.intp)
+            edge = int((share * (least - z * np.sqrt((err[home].max() + err[guests].max()) / ix.dim)) - z * sampling) * SCALE)
+            at, x = codes[:, home].astype(np.intp), ix.decode(codes[:, home].T)
             for i in range(0, len(guests), 2048):
                 q = guests[i : i + 2048]
                 sums, buffer = np.empty((2, len(home), len(q)), np.int16)
                 theirs = codes[:, q]
                 scan_tables(lambda j, theirs=theirs: product[j].take(theirs[j], axis=1), at, some, sums, buffer)
-                x, y = np.nonzero(sums > edge)
-                for k in range(0, len(x), 4096):
-                    a, b = home[x[k : k + 4096]], q[y[k : k + 4096]]
-                    score = flat[start + (codes[:, a].astype(np.int32) << 4 | codes[:, b])].sum(0, dtype=np.int32) / SCALE
+                near = np.flatnonzero(sums.max(axis=0) > edge)
+                if len(near):
+                    q = q[near]
+                    score = x @ ix.decode(theirs[:, near].T).T
+                    a, b = np.nonzero(score >= least - z * np.sqrt((err[home].max() + err[q].max()) / ix.dim))
+                    score, a, b = score[a, b], home[a], q[b]
                     keep = (score >= least - z * np.sqrt((err[a] + err[b]) / ix.dim)) & (key[a] != key[b])
                     found_a.append(key[a[keep]])
                     found_b.append(key[b[keep]])
@@ -513,7 +512,7 @@ def exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def close_neighbours(
-    vectors: DataFrame, k: int = 5, least: float = 0.7, key: str = "row_id", vec: str = "delta", dim: int = 768, rows_per_cell: int = 200, recall: float = 0.99, seed: int = 42
+    vectors: DataFrame, k: int = 5, least: float = 0.7, key: str = "row_id", vec: str = "delta", dim: int = 768, rows_per_cell: int = 100, recall: float = 0.96, seed: int = 42
 ) -> DataFrame:
     """For every row its at most k most similar rows of similarity ``least`` or more: key, neighbour, similarity, rank.
 
