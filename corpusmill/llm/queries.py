@@ -50,6 +50,11 @@ def p1_report(spark, d):
     return report
 
 
+def p1_targets(spark, d):
+    """What the report says of every category but the draw itself."""
+    return p1_report(spark, d).select("plan_id", "category", F.round("required", 6).alias("required"), "available", "unmet")
+
+
 def p2_found(spark, d):
     return clusters.linked_clusters(_read(spark, d, "pilot_deltas"), 0.33, 10).select(F.col("key").alias("row_id"), "cluster_id")
 
@@ -150,6 +155,13 @@ def p7_found(spark, d):
     return report.filter("unmet").select("mix_id", "source")
 
 
+def p7_targets(spark, d):
+    """Targets and sizes by white-space tokens, and whether the plan's tokens come within one token of what can be reached."""
+    r = mixing.mix_report(mixing.length_histogram(_white_sized(spark, d)), _read(spark, d, "source_mix"))
+    near = F.col("tokens") >= F.least(F.floor("target"), F.col("capacity")) - 1
+    return r.select("mix_id", "source", F.round("target", 4).alias("target"), "size", F.col("capacity").cast("long").alias("capacity"), "unmet", (near & (F.col("tokens") <= F.col("target") + 1e-6)).alias("fitted"))
+
+
 def _bpe_sized(spark, d):
     import public_tokenizers
 
@@ -190,7 +202,35 @@ def _terms_sql() -> str:
     return "select field, term, sum(count)::bigint as total, count(*) as n_rows from (" + " union all ".join(parts) + ") where term <> '' group by field, term"
 
 
+_WORDS = r"regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+')"
+_VECTORS = (
+    "v as (select row_id, any_value(delta)::double[] as x from pilot_deltas where len(delta) = 768 and len(list_filter(delta, lambda x: x is null or isnan(x))) = 0"
+    " and len(list_filter(delta, lambda x: x <> 0)) > 0 and row_id is not null group by row_id)"
+)
+_REACH = "reach as (select key, key as root from nodes union select e.b, r.root from reach r join edges e on e.a = r.key), label as (select key, min(root) as root from reach group by key)"
+
+
+def _runs(n: int) -> str:
+    return f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
 def oracle_sql() -> dict[str, str]:
+    found = {
+        "p2_found": f"with recursive {_VECTORS}, nodes as (select row_id as key from v), edges as (select x.row_id as a, y.row_id as b from v x join v y on x.row_id <> y.row_id where list_cosine_similarity(x.x, y.x) >= 0.33), {_REACH}"
+        " select key as row_id, root as cluster_id from (select *, count(*) over (partition by root) as n from label) where n >= 10",
+        "p3_found": f"with t as (select doc_id, {_WORDS} as w from documents), s as (select doc_id, list_distinct({_runs(3)}) as r from t where len(w) >= 20), u as (select doc_id, len(r) as n, unnest(r) as run from s)"
+        " select x.doc_id as doc_id_a, y.doc_id as doc_id_b from u x join u y on x.run = y.run and x.doc_id < y.doc_id group by all having count(*) >= 0.5 * (any_value(x.n) + any_value(y.n) - count(*))",
+        "p3_classes": f"with recursive t as (select text, min(doc_id) as rep, count(distinct doc_id) as n_copies, any_value({_WORDS}) as w from documents where text <> '' group by text), k as (select * from t where len(w) >= 1),"
+        f" u as (select rep, run, count(*) as c from (select rep, unnest({_runs(5)}) as run from k where len(w) >= 5) group by all), z as (select rep, sum(c) as n from u group by rep),"
+        " j as (select x.rep as a, y.rep as b, sum(least(x.c, y.c)) as i from u x join u y on x.run = y.run and x.rep < y.rep group by all), l as (select a, b from j join z p on p.rep = a join z q on q.rep = b where i >= 0.8 * (p.n + q.n - i) - 1e-9),"
+        f" edges as (select a, b from l union all select b, a from l), nodes as (select rep as key from k), {_REACH}, n as (select a as key, count(*) as n_links from edges group by a),"
+        " c as (select doc_id, root as class_id, coalesce(n_links, 0) as n_links, n_copies from documents join k using (text) join label on rep = label.key left join n on n.key = rep)"
+        " select * from c union all select doc_id, doc_id, 0, 1 from documents where doc_id not in (select doc_id from c)",
+        "p4_found": f"with {_VECTORS}, p as (select x.row_id as a, y.row_id as b, list_cosine_similarity(x.x, y.x) as s from v x join v y on x.row_id <> y.row_id)"
+        " select distinct least(a, b) as row_id_a, greatest(a, b) as row_id_b from (select *, row_number() over (partition by a order by s desc, b) as n from p) where n <= 5 and s >= 0.7",
+        "p6_found": f"with d as (select doc_id, {_WORDS} as w from documents), r as (select doc_id, unnest({_runs(12)}) as run from d where len(w) >= 12), e as (select item_id, {_WORDS} as w from eval_items),"
+        f" q as (select item_id, unnest({_runs(12)}) as run from e where len(w) >= 12) select distinct doc_id, item_id from r join q using (run)",
+    }
     terms = _terms_sql()
     records = (
         "select 'overall' as field, printf('%.1f', overall) as category from (select *, row_number() over (partition by text_id_kaggle order by loaded_at desc, overall desc) as rn"
@@ -202,14 +242,25 @@ def oracle_sql() -> dict[str, str]:
         " select p.plan_id, p.category from sample_plans p left join n using (field) left join c using (field, category)"
         " where coalesce(k, 0) < greatest(p.min_rows, p.target_share * p.sample_fraction * coalesce(n, 0))"
     )
+    targets = plans.split(" select p.plan_id, p.category from")[0] + (
+        ", q as (select p.plan_id, p.category, greatest(p.min_rows, p.target_share * p.sample_fraction * coalesce(n, 0)) as required, coalesce(k, 0) as available from sample_plans p left join n using (field) left join c using (field, category))"
+        " select plan_id, category, round(required, 6) as required, available, available < required as unmet from q"
+    )
     mix = (
         "with s as (select lower(trim(source, chr(9) || chr(10) || chr(13) || ' ' || chr(160))) as source, sum(coalesce(len(list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\x{a0}\\x{1c}-\\x{1f}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '')), 0)) as size from documents group by 1),"
         " m as (select m.*, coalesce(s.size, 0) as size from source_mix m left join s using (source)),"
         " t as (select mix_id, sum(size) as whole from m group by mix_id)"
         " select mix_id, source from m join t using (mix_id) where size * max_repeats < target_share * total_factor * whole"
     )
+    mixes = mix.split(" select mix_id, source from m join t")[0] + (
+        ", q as (select mix_id, source, target_share * total_factor * whole as target, size::bigint as size, (size * max_repeats)::bigint as capacity from m join t using (mix_id))"
+        " select mix_id, source, round(target, 4) as target, size, capacity, capacity < target as unmet, true as fitted from q"
+    )
     return {
+        **found,
         "p1_found": plans,
+        "p1_targets": targets,
+        "p7_targets": mixes,
         "p5_counts": terms,
         "p5_increments": terms,
         "p5_incremental": f"select * from ({terms}) where field = 'trigrams.token_2'",

@@ -20,6 +20,7 @@ CODE_ROWS = 3072
 SUB = 2  # dimensions per subspace, coded in four bits
 SHELF = 16_384  # rows that cells are grouped by
 BLOCK = 12_288  # rows at home in a shelf that one task takes
+GUESTS = 32_768  # visitors that are decoded at a time
 
 
 def dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +154,6 @@ def _direction(r: np.ndarray) -> np.ndarray:
     return r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-9)
 
 
-def _least(loss: np.ndarray) -> np.ndarray:
-    """argmin over the first axis, a few vector operations per row of it."""
-    best, at = loss[0].copy(), np.zeros(loss.shape[1], np.uint8)
-    for k in range(1, len(loss)):
-        less = loss[k] < best
-        np.copyto(best, loss[k], where=less)
-        at[less] = k
-    return at
-
-
 def assign(r: np.ndarray, codebook: np.ndarray, eta: float, sweeps: int = 1) -> np.ndarray:
     """Codes of residuals that make |e|^2 + (eta - 1) (e.d)^2 small, e being the error and d the residual's direction.
 
@@ -170,23 +161,30 @@ def assign(r: np.ndarray, codebook: np.ndarray, eta: float, sweeps: int = 1) ->
     across.  Starts from the nearest codewords and goes over the subspaces by coordinate descent.
     """
     m, n = codebook.shape[0], len(r)
-    x = np.ascontiguousarray(r.T.reshape(m, SUB, n))
-    d = np.ascontiguousarray(_direction(r).T.reshape(m, SUB, n))
-    size = (codebook**2).sum(2)[:, :, None]
+    x, d = (np.ascontiguousarray(y.reshape(n, m, SUB).transpose(1, 0, 2)) for y in (r, _direction(r)))
+    words = np.ascontiguousarray(codebook.transpose(0, 2, 1))
+    size, along = (codebook**2).sum(2), (x * d).sum(2)
     codes = np.empty((m, n), np.uint8)
     par = np.empty((m, n), np.float32)
-    along = (x * d).sum(1)
+    plain = []  # |codeword|^2 - 2 codeword.x of every subspace
     for j in range(m):
-        codes[j] = _least(size[j] - 2 * codebook[j] @ x[j])
-        par[j] = along[j] - (codebook[j][codes[j]].T * d[j]).sum(0)
-    total = par.sum(0)
-    cols = np.arange(n)
+        loss = x[j] @ words[j]
+        loss *= -2
+        loss += size[j]
+        plain.append(loss)
+        codes[j] = loss.argmin(1)
+        par[j] = along[j] - (codebook[j][codes[j]] * d[j]).sum(1)
+    total, rows = par.sum(0), np.arange(n)
     for _ in range(sweeps):
         for j in range(m):
-            p = along[j] - codebook[j] @ d[j]
+            p = along[j][:, None] - d[j] @ words[j]
             others = total - par[j]
-            codes[j] = _least(size[j] - 2 * codebook[j] @ x[j] + (eta - 1) * (others + p) ** 2)
-            par[j] = p[codes[j], cols]
+            loss = p + others[:, None]
+            loss *= loss
+            loss *= eta - 1
+            loss += plain[j]
+            codes[j] = loss.argmin(1)
+            par[j] = p[rows, codes[j]]
             total = others + par[j]
     return np.ascontiguousarray(codes.T)
 
@@ -345,11 +343,11 @@ def in_tasks(homes: DataFrame, visitors: DataFrame, columns: list[str]) -> DataF
     """Rows by the tasks that compare the rows at home in a shelf with its visitors: shelf, block, guests, cell (NULL for a visitor), cells, columns.
 
     ``homes``: shelf, key, home, columns; ``visitors``: shelf, key, cells, columns.  A shelf with more than BLOCK rows at home is split by a
-    hash of the key, and so are its visitors, so no task gets more than about BLOCK of the one and 16 BLOCK of the other, whatever the
+    hash of the key, and so are its visitors, so no task gets more than about BLOCK of the one and 4 BLOCK of the other, whatever the
     share of rows in one shelf; every visitor meets every row at home once.
     """
     parts = lambda df, most, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    sizes = cut(parts(homes, BLOCK, "_k").join(parts(visitors, 16 * BLOCK, "_g"), "shelf"), "shelves")
+    sizes = cut(parts(homes, BLOCK, "_k").join(parts(visitors, 4 * BLOCK, "_g"), "shelf"), "shelves")
     of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = F.lit(None)
@@ -414,28 +412,36 @@ def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 4.0) ->
         ix = shared.value
         m = len(ix.codebook)
         key = t.column("key").to_numpy()
-        packed = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(key), -1)
-        codes = np.ascontiguousarray(unpack_codes(packed).T)  # subspace x row
+        codes = unpack_codes(np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(key), -1))
         err = t.column("err").to_numpy().astype(np.float32) ** 2
-        product = np.rint(np.einsum("jad,jbd->jab", ix.codebook, ix.codebook) * SCALE).astype(np.int16)
         some = np.arange(0, m, 4)
+        product = np.rint(np.einsum("jad,jbd->jab", ix.codebook[some], ix.codebook[some]) * SCALE).astype(np.int16)
+        part = np.ascontiguousarray(codes[:, some])
         share = len(some) / m
         sampling = math.sqrt(share * (1 - share) * (1 + least * least) / ix.dim)
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for home, guests in by_cell(t):
-            edge = int((share * (least - z * np.sqrt((err[home].max() + err[guests].max()) / ix.dim)) - z * sampling) * SCALE)
-            at, x = codes[:, home].astype(np.intp), ix.decode(codes[:, home].T)
-            for i in range(0, len(guests), 2048):
-                q = guests[i : i + 2048]
-                sums, buffer = np.empty((2, len(home), len(q)), np.int16)
-                theirs = codes[:, q]
-                scan_tables(lambda j, theirs=theirs: product[j].take(theirs[j], axis=1), at, some, sums, buffer)
-                near = np.flatnonzero(sums.max(axis=0) > edge)
-                if len(near):
+        meetings = list(by_cell(t))
+        for lo in range(0, len(key), GUESTS):  # visitors are decoded once for all cells of the task
+            whole = ix.decode(codes[lo : lo + GUESTS])
+            for home, guests in meetings:
+                guests = guests[(guests >= lo) & (guests < lo + GUESTS)]
+                if not len(guests):
+                    continue
+                edge = int((share * (least - z * np.sqrt((err[home].max() + err[guests].max()) / ix.dim)) - z * sampling) * SCALE)
+                at = np.ascontiguousarray(part[home].T).astype(np.intp)
+                for i in range(0, len(guests), 2048):
+                    q = guests[i : i + 2048]
+                    sums, buffer = np.empty((2, len(home), len(q)), np.int16)
+                    theirs = np.ascontiguousarray(part[q].T)
+                    scan_tables(lambda j, theirs=theirs: product[j].take(theirs[j], axis=1), at, range(len(some)), sums, buffer)
+                    near = np.flatnonzero(sums.max(axis=0) > edge)
+                    if not len(near):
+                        continue
                     q = q[near]
-                    score = x @ ix.decode(theirs[:, near].T).T
-                    a, b = np.nonzero(score >= least - z * np.sqrt((err[home].max() + err[q].max()) / ix.dim))
-                    score, a, b = score[a, b], home[a], q[b]
+                    mine = home[sums[:, near].max(axis=1) > edge]
+                    score = ix.decode(codes[mine]) @ whole[q - lo].T
+                    a, b = np.nonzero(score >= least - z * np.sqrt((err[mine].max() + err[q].max()) / ix.dim))
+                    score, a, b = score[a, b], mine[a], q[b]
                     keep = (score >= least - z * np.sqrt((err[a] + err[b]) / ix.dim)) & (key[a] != key[b])
                     found_a.append(key[a[keep]])
                     found_b.append(key[b[keep]])
