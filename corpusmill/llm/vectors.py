@@ -18,8 +18,8 @@ FIT_ROWS = 12_288
 #: of these, rows that fit the codebooks
 CODE_ROWS = 3072
 SUB = 2  # dimensions per subspace, coded in four bits
-SHELF = 16_384  # rows that cells are grouped by
-BLOCK = 12_288  # rows at home in a shelf that one task takes
+SHELF = 32_768  # rows that cells are grouped by
+BLOCK = 32_768  # rows at home in a shelf that one task takes
 GUESTS = 32_768  # visitors that are decoded at a time
 
 
@@ -343,11 +343,11 @@ def in_tasks(homes: DataFrame, visitors: DataFrame, columns: list[str]) -> DataF
     """Rows by the tasks that compare the rows at home in a shelf with its visitors: shelf, block, guests, cell (NULL for a visitor), cells, columns.
 
     ``homes``: shelf, key, home, columns; ``visitors``: shelf, key, cells, columns.  A shelf with more than BLOCK rows at home is split by a
-    hash of the key, and so are its visitors, so no task gets more than about BLOCK of the one and 4 BLOCK of the other, whatever the
+    hash of the key, and so are its visitors, so no task gets more than about BLOCK of the one and half as many again of the other, whatever the
     share of rows in one shelf; every visitor meets every row at home once.
     """
     parts = lambda df, most, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    sizes = cut(parts(homes, BLOCK, "_k").join(parts(visitors, 4 * BLOCK, "_g"), "shelf"), "shelves")
+    sizes = cut(parts(homes, BLOCK, "_k").join(parts(visitors, 3 * BLOCK // 2, "_g"), "shelf"), "shelves")
     of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = F.lit(None)
@@ -420,7 +420,7 @@ def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 4.0) ->
         share = len(some) / m
         sampling = math.sqrt(share * (1 - share) * (1 + least * least) / ix.dim)
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        meetings = list(by_cell(t))
+        meetings = [(home[i : i + 256], guests) for home, guests in by_cell(t) for i in range(0, len(home), 256)]  # sums that fit a core's cache
         for lo in range(0, len(key), GUESTS):  # visitors are decoded once for all cells of the task
             whole = ix.decode(codes[lo : lo + GUESTS])
             for home, guests in meetings:
@@ -429,8 +429,8 @@ def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 4.0) ->
                     continue
                 edge = int((share * (least - z * np.sqrt((err[home].max() + err[guests].max()) / ix.dim)) - z * sampling) * SCALE)
                 at = np.ascontiguousarray(part[home].T).astype(np.intp)
-                for i in range(0, len(guests), 2048):
-                    q = guests[i : i + 2048]
+                for i in range(0, len(guests), 1024):
+                    q = guests[i : i + 1024]
                     sums, buffer = np.empty((2, len(home), len(q)), np.int16)
                     theirs = np.ascontiguousarray(part[q].T)
                     scan_tables(lambda j, theirs=theirs: product[j].take(theirs[j], axis=1), at, range(len(some)), sums, buffer)
@@ -518,7 +518,7 @@ def exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def close_neighbours(
-    vectors: DataFrame, k: int = 5, least: float = 0.7, key: str = "row_id", vec: str = "delta", dim: int = 768, rows_per_cell: int = 100, recall: float = 0.96, seed: int = 42
+    vectors: DataFrame, k: int = 5, least: float = 0.7, key: str = "row_id", vec: str = "delta", dim: int = 768, rows_per_cell: int = 72, recall: float = 0.94, seed: int = 42
 ) -> DataFrame:
     """For every row its at most k most similar rows of similarity ``least`` or more: key, neighbour, similarity, rank.
 
