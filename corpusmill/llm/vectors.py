@@ -398,7 +398,7 @@ def scan_tables(tables, codes: np.ndarray, subspaces, out: np.ndarray, buffer: n
         out += buffer
 
 
-def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 4.0) -> DataFrame:
+def close_pairs(rows: DataFrame, index: Index, least: float, z: float = 3.0) -> DataFrame:
     """Candidate pairs (a < b) of which one visits the other's cell and which may have a similarity of ``least``.
 
     Both sides are four-bit codes, so a subspace's table holds the products of its 16 codewords with the visitor's.  The tables of every fourth
