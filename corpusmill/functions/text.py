@@ -84,6 +84,35 @@ def centred(c: Column, n: int) -> Column:
     return F.rpad(F.concat(F.repeat(F.lit(" "), ((F.lit(n) - F.length(t)) / 2).cast("int")), t), n, " ")
 
 
+# Widths of the columns of a concordance line.
+KWIC_CONTEXT, KWIC_WORD, KWIC_SURPRISAL, KWIC_POS, KWIC_DEP, KWIC_LEVEL, KWIC_PREDICTION = 35, 16, 5, 5, 7, 5, 16
+
+
+def at_least(c: Column, n: int) -> Column:
+    """Padded on the right to n; longer texts stay whole."""
+    return F.when(F.length(c) >= n, c).otherwise(F.rpad(c, n, " "))
+
+
+def kwic_line(number: Column) -> Column:
+    """A concordance line: number, left context, [word], right context, surprisal, tag, relation, level and three predictions with their chances.
+
+    From the columns left_context, token_text, right_context, surprisal, pos_tag, dep_rel, prof_tertile, top3_predicted, top3_probs; what is NULL is blank.
+    """
+    say = lambda c: F.coalesce(F.col(c), F.lit(""))
+    n = number.cast("string")
+
+    def guess(k: int) -> Column:
+        word, p = F.get("top3_predicted", F.lit(k)), F.floor(F.get("top3_probs", F.lit(k)) * 100 + 0.5).cast("long")
+        said = F.concat(strip_ws(word), F.lit("("), F.floor(p / 100).cast("string"), F.lit("."), F.lpad((p % 100).cast("string"), 2, "0"), F.lit(")"))
+        return at_least(F.coalesce(said, F.lit("")), KWIC_PREDICTION)
+
+    return F.concat(
+        F.when(F.length(n) >= 3, n).otherwise(F.lpad(n, 3, " ")), F.lit("  "), truncate_left(say("left_context"), KWIC_CONTEXT), F.lit("  ["), centred(say("token_text"), KWIC_WORD - 2), F.lit("]  "),
+        truncate_right(say("right_context"), KWIC_CONTEXT), F.lit("  "), F.coalesce(F.when(F.col("surprisal").isNotNull(), F.format_string("%5.2f", "surprisal")), F.lit(" " * KWIC_SURPRISAL)), F.lit("  "),
+        at_least(say("pos_tag"), KWIC_POS), F.lit(" "), at_least(say("dep_rel"), KWIC_DEP), F.lit(" "), at_least(say("prof_tertile"), KWIC_LEVEL), F.lit(" "), guess(0), guess(1), guess(2),
+    )
+
+
 def before_references(c: Column) -> Column:
     """Text up to a line that only says References, Bibliography or Works cited."""
     return F.regexp_replace(c, r"(?is)\n[ \t]*(references|bibliography|works cited)[ \t]*:?[ \t]*(\n.*)?$", "")

@@ -14,9 +14,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.shared import cut
+
 TOKEN_SCHEMA = (
     "doc_id long, sent_i int, i int, char_start int, text string, lemma string, pos string, tag string, dep string, head_i int,"
-    " is_alpha boolean, is_punct boolean"
+    " is_alpha boolean, is_punct boolean, head_lemma string, head_tag string, head_pos string"
 )
 
 #: closed classes of the rules
@@ -99,9 +101,13 @@ class RuleAnnotator:
 
 
 def annotate(docs: DataFrame, annotator: Annotator | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The token table of a collection, one pass without shuffle; NULL and blank texts have no tokens."""
+    """The token table of a collection, one pass without shuffle; NULL and blank texts have no tokens.
+
+    The annotator holds a document's whole tree, so every token brings its head's lemma, tag and part of speech: no self-join later.  A text
+    that the annotator fails on has no tokens and no part in the run's failure; :func:`rejects` lists such texts.
+    """
     engine = annotator or RuleAnnotator()
-    types = [pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 5, pa.int32(), pa.bool_(), pa.bool_()]
+    types = [pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 5, pa.int32(), pa.bool_(), pa.bool_(), *[pa.string()] * 3]
     names = [x.split()[0] for x in TOKEN_SCHEMA.split(", ")]
 
     def run(batches):
@@ -109,7 +115,11 @@ def annotate(docs: DataFrame, annotator: Annotator | None = None, key: str = "do
             rows: list[tuple] = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
-                    rows += [(k, *r) for r in engine.annotate(t)]
+                    try:
+                        got = engine.annotate(t)
+                    except Exception:  # noqa: BLE001 - whatever a plug-in raises, see rejects()
+                        continue
+                    rows += [(k, *r, got[r[8]][4], got[r[8]][6], got[r[8]][5]) for r in got]
                 if len(rows) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), types)], names=names)
                     rows = []
@@ -119,6 +129,65 @@ def annotate(docs: DataFrame, annotator: Annotator | None = None, key: str = "do
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, TOKEN_SCHEMA)
 
 
+def rejects(docs: DataFrame, annotator: Annotator | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, error of the texts that the annotator fails on."""
+    engine = annotator or RuleAnnotator()
+
+    def run(batches):
+        for b in batches:
+            ids, errors = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    engine.annotate(t or "")
+                except Exception as e:  # noqa: BLE001
+                    ids.append(k)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(errors, pa.string())], names=["doc_id", "error"])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, error string")
+
+
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The token table of documents read from files, as a table that is written once.
+
+    With ``path`` it is written there and read from there ever after; else it is kept in the shared folder for the session, by the files
+    that the documents come from, their lengths and their times.
+    """
+    spark = docs.sparkSession
+    if path:
+        disk = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not disk.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            annotate(docs).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return spark.read.parquet(path)
+    files = docs.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("file_time")).distinct()
+    mark = files.agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()[0]
+    at = (spark.sparkContext.applicationId, mark, docs.schema.simpleString())
+    if at not in _stored:
+        _stored[at] = cut(annotate(docs), "tokens", keep=True)
+    return _stored[at]
+
+
+def concordance(docs: DataFrame, word: str, width: int = 10, annotator: Annotator | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, i, text, left_context, right_context of every token whose lemma is ``word``: ``width`` tokens on each side, joined by blanks."""
+    engine = annotator or RuleAnnotator()
+    types, names = [pa.int64(), pa.int32(), *[pa.string()] * 3], ["doc_id", "i", "text", "left_context", "right_context"]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = engine.annotate(t) if t else []
+                said = [r[3] for r in got]
+                rows += [(k, r[1], r[3], " ".join(said[max(0, r[1] - width) : r[1]]), " ".join(said[r[1] + 1 : r[1] + 1 + width])) for r in got if r[4] == word]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, i int, text string, left_context string, right_context string")
+
+
 def dependency_pairs(docs: DataFrame, annotator: Annotator | None = None, text: str = "text") -> DataFrame:
     """head_lemma, head_tag, relation, dependent_lemma, dependent_tag, count: partial counts of each batch of documents.
 

@@ -28,10 +28,18 @@ def ngram_counts(docs: DataFrame, n: int, min_count: int = 1) -> DataFrame:
 
 
 def depgrams(tokens: DataFrame) -> DataFrame:
-    """(head, relation, dependent) of every token but roots and punctuation."""
-    head = tokens.select("doc_id", F.col("i").alias("head_i"), F.col("lemma").alias("head_lemma"), F.col("tag").alias("head_tag"))
+    """(head, relation, dependent) of every token but roots and punctuation; the head is in the token's row."""
     dep = tokens.filter(~F.col("dep").isin("ROOT", "punct"))
-    return dep.join(head, ["doc_id", "head_i"]).select("doc_id", "head_lemma", "head_tag", F.col("dep").alias("relation"), F.col("lemma").alias("dependent_lemma"), F.col("tag").alias("dependent_tag"))
+    return dep.select("doc_id", "head_lemma", "head_tag", F.col("dep").alias("relation"), F.col("lemma").alias("dependent_lemma"), F.col("tag").alias("dependent_tag"))
+
+
+def approximate_top(grams: DataFrame, keys: Sequence[str], k: int = 20, kept: int = 1000) -> DataFrame:
+    """The k most frequent by a sketch of ``kept`` counters a task instead of exact counts: item, count.
+
+    Counts are never above the true ones by more than rows / kept; memory doesn't grow with the number of distinct grams.
+    """
+    item = F.array_join(F.array(*keys), "\t")
+    return grams.agg(F.call_function("approx_top_k", item, F.lit(k), F.lit(kept)).alias("t")).select(F.inline("t"))
 
 
 def count_by(df: DataFrame, keys: Sequence[str], min_count: int = 1) -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.operators.annotate import Annotator, RuleAnnotator
 from corpusmill.operators.collate import depgrams
 from corpusmill.shared import with_one
 
 # The list of connectives.
 CONNECTIVES = (
-    "also although and because besides but consequently conversely finally first firstly for furthermore hence however if indeed instead"
-    " lastly likewise meanwhile moreover nevertheless next nonetheless nor once or otherwise overall second secondly similarly since so still"
-    " subsequently then therefore third thirdly though thus unless whereas while yet"
-).split()
+    "also", "although", "and", "because", "besides", "but", "consequently", "conversely", "finally", "first", "firstly", "for", "furthermore",
+    "hence", "however", "if", "indeed", "instead", "lastly", "likewise", "meanwhile", "moreover", "nevertheless", "next", "nonetheless", "nor",
+    "once", "or", "otherwise", "overall", "second", "secondly", "similarly", "since", "so", "still", "subsequently", "then", "therefore", "third",
+    "thirdly", "though", "thus", "unless", "whereas", "while", "yet",
+)
 
 CONTENT = ("NOUN", "VERB", "ADJ", "ADV")
 MODIFIERS = ("amod", "det", "nummod", "compound")
@@ -27,27 +32,32 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
-def basic_features(tokens: DataFrame) -> DataFrame:
-    """One aggregate per document for all features that need no neighbour: undefined ones are NULL."""
+def _basic() -> list[Column]:
     alpha = F.col("is_alpha")
     root = F.col("dep") == "ROOT"
     sents = F.max("sent_i") + 1
-    return tokens.groupBy("doc_id").agg(
+    return [
         _ratio(F.count_if(alpha & F.col("pos").isin(*CONTENT)), F.count_if(alpha)).alias("lexical_density"),
         F.avg(F.when(alpha, F.length("text"))).alias("mean_word_length"),
         (F.count_if(~F.col("is_punct")) / sents).alias("words_per_sentence"),
         _ratio(sents, F.count_if(root)).alias("clauses_per_tunit"),
         F.avg(F.when(~root, F.abs(F.col("i") - F.col("head_i")))).alias("mean_dep_distance"),
         (F.count_if(F.lower("text").isin(*CONNECTIVES)) / sents).alias("connective_density"),
-    )
+    ]
+
+
+def _modifiers() -> Column:
+    return _ratio(F.count_if(F.col("dep").isin(*MODIFIERS) & (F.col("head_pos") == "NOUN")), F.count_if(F.col("pos") == "NOUN")).alias("mod_per_nom")
+
+
+def basic_features(tokens: DataFrame) -> DataFrame:
+    """One aggregate per document for all features that need no other row: undefined ones are NULL."""
+    return tokens.groupBy("doc_id").agg(*_basic())
 
 
 def modifiers_per_nominal(tokens: DataFrame) -> DataFrame:
     """Children of nouns that are modifiers, per noun; no noun: NULL."""
-    nouns = tokens.filter("pos = 'NOUN'").select("doc_id", F.col("i").alias("head_i"))
-    mods = tokens.filter(F.col("dep").isin(*MODIFIERS)).join(nouns, ["doc_id", "head_i"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_m"))
-    per = tokens.groupBy("doc_id").agg(F.count_if(F.col("pos") == "NOUN").alias("_n"))
-    return per.join(mods, "doc_id", "left").select("doc_id", _ratio(F.coalesce("_m", F.lit(0)), F.col("_n")).alias("mod_per_nom"))
+    return tokens.groupBy("doc_id").agg(_modifiers())
 
 
 def log_frequency(tokens: DataFrame, freq: DataFrame) -> DataFrame:
@@ -82,10 +92,10 @@ def association(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 def content_overlap(tokens: DataFrame) -> DataFrame:
     """Mean Jaccard overlap of the content lemmas of adjacent sentences; two empty ones give 0, one sentence NULL."""
     content = F.col("is_alpha") & F.col("pos").isin(*CONTENT)
-    sents = tokens.groupBy("doc_id", "sent_i").agg(F.collect_set(F.when(content, F.col("lemma"))).alias("_s"))
+    sents = tokens.repartition("doc_id").groupBy("doc_id", "sent_i").agg(F.collect_set(F.when(content, F.xxhash64("lemma"))).alias("_s"))
     pair = sents.withColumn("_next", F.lead("_s").over(Window.partitionBy("doc_id").orderBy("sent_i")))
-    both, either = F.size(F.array_intersect("_s", "_next")), F.size(F.array_union("_s", "_next"))
-    j = F.when(F.col("_next").isNotNull(), F.when(either > 0, both / either).otherwise(0.0))
+    both, either = F.size(F.array_intersect("_s", "_next")), F.size("_s") + F.size("_next")
+    j = F.when(F.col("_next").isNotNull(), F.when(either > 0, both / (either - both)).otherwise(0.0))
     return pair.groupBy("doc_id").agg(F.avg(j).alias("content_word_overlap"))
 
 
@@ -147,13 +157,67 @@ def mtld(tokens: DataFrame) -> DataFrame:
     return words.select("doc_id", F.nanvl(_mtld(F.col("_w.lemma")), F.lit(None).cast("double")).alias("mtld"))
 
 
-def all_features(tokens: DataFrame, freq: DataFrame, grams: DataFrame) -> DataFrame:
-    """The 14 features of every document: one row per document, NULL where undefined.
+def document_features(docs: DataFrame, annotator: Annotator | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The features that need no other document (all but the frequency and the three associations): one pass, no shuffle.
 
-    ``tokens`` is read by seven aggregates: give it as a written table (shared.cut), not as a lazy annotation.
+    Documents without tokens have no row; NULL where undefined.  The formulas are those of the aggregates above.
+    """
+    engine = annotator or RuleAnnotator()
+    connectives, content, modifiers = frozenset(CONNECTIVES), frozenset(CONTENT), frozenset(MODIFIERS)
+    vectors: dict[str, np.ndarray] = {}
+
+    def vector(lemma: str) -> np.ndarray:
+        if (v := vectors.get(lemma)) is None:
+            if len(vectors) > 200_000:  # a memo; without an entry the vector is computed again
+                vectors.clear()
+            v = vectors[lemma] = np.frombuffer(hashlib.md5(lemma.encode("utf-8", "surrogatepass")).digest()[:8], np.uint8).astype(np.float64) - 128
+        return v
+
+    def of(rows: list[tuple]) -> tuple:
+        alpha = [r for r in rows if r[9]]
+        sents = rows[-1][0] + 1
+        roots = sum(r[7] == "ROOT" for r in rows)
+        away = [abs(r[1] - r[8]) for r in rows if r[7] != "ROOT"]
+        nouns = sum(r[5] == "NOUN" for r in rows)
+        mods = sum(r[7] in modifiers and rows[r[8]][5] == "NOUN" for r in rows)
+        sets: list[set] = [set() for _ in range(sents)]
+        sums = np.zeros((sents, 8))
+        for r in rows:
+            if r[9] and r[5] in content:
+                sets[r[0]].add(r[4])
+        np.add.at(sums, [r[0] for r in rows], [vector(r[4]) for r in rows])
+        overlap = [len(a & b) / len(a | b) if a or b else 0.0 for a, b in zip(sets, sets[1:])]
+        size = np.sqrt((sums**2).sum(1))
+        near = [float(a @ b / (x * y)) for a, b, x, y in zip(sums, sums[1:], size, size[1:]) if x * y > 0]
+        mean = lambda x: sum(x) / len(x) if x else None
+        return (
+            sum(r[5] in content for r in alpha) / len(alpha) if alpha else None, mean([len(r[3]) for r in alpha]), sum(not r[10] for r in rows) / sents, sents / roots if roots else None,
+            mean(away), sum(r[3].lower() in connectives for r in rows) / sents, mods / nouns if nouns else None, mean(overlap), mean(near), mtld_of([r[4] for r in alpha]) if alpha else None,
+        )
+
+    names = ["lexical_density", "mean_word_length", "words_per_sentence", "clauses_per_tunit", "mean_dep_distance", "connective_density", "mod_per_nom", "content_word_overlap", "sentence_similarity", "mtld"]
+
+    def run(batches):
+        for b in batches:
+            ids, out = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t and (rows := engine.annotate(t)):
+                    ids.append(k)
+                    out.append(of(rows))
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, pa.float64()) for c in columns]], names=["doc_id", *names])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def all_features(docs: DataFrame, tokens: DataFrame, freq: DataFrame, grams: DataFrame) -> DataFrame:
+    """The 14 features of every document: one row per document with tokens, NULL where undefined.
+
+    Ten of them come from one pass over the documents; frequency and associations join what a document has with the collection's
+    tables, from ``tokens`` (a stored token table).
     """
-    out = basic_features(tokens)
-    for f in (modifiers_per_nominal(tokens), log_frequency(tokens, freq), association(depgrams(tokens), grams), content_overlap(tokens), sentence_similarity(tokens), mtld(tokens)):
+    out = document_features(docs)
+    for f in (log_frequency(tokens, freq), association(depgrams(tokens), grams)):
         out = out.join(f, "doc_id", "left")
     return out
 

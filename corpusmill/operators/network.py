@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.stats import complete
@@ -104,11 +104,7 @@ def moments(df: DataFrame, columns: Sequence[str], key: str, replicates: int, we
             for i in range(0, len(t), 4096):
                 q = t.iloc[i : i + 4096]
                 x = q[cols].to_numpy(float)
-                h = q["_k"].to_numpy().view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
-                w = weight(u, np.arange(replicates), q["_g"] if group else None)
+                w = weight(_uniform(q["_k"].to_numpy(), replicates), np.arange(replicates), q["_g"] if group else None)
                 total += w.T @ np.hstack([np.ones((len(x), 1)), x, x[:, iu[0]] * x[:, iu[1]]])
                 some = True
         if some:
@@ -322,29 +318,103 @@ def parametric_communities(net_r: np.ndarray, n: float, columns: Sequence[str],
 
 
 def item_stability(communities: DataFrame, final: DataFrame) -> DataFrame:
-    """node, stability: how often a replicate puts the node where the final solution has it (communities are numbered alike)."""
-    j = communities.join(F.broadcast(final.select("node", F.col("community").alias("_c"))), "node")
-    return j.groupBy("node").agg(F.avg((F.col("community") == F.col("_c")).cast("int")).alias("stability"))
+    """node, stability: how often a replicate puts the node where the final solution has it.
+
+    A replicate's communities are first named after the final ones by their overlap, largest first, each name once: numbers alone would shift
+    when one node moves.  One group holds the nodes of one replicate.
+    """
+    last = {r["node"]: r["community"] for r in final.select("node", "community").collect()}  # one row per variable
+
+    def align(pdf: pd.DataFrame) -> pd.DataFrame:
+        overlap = pd.crosstab(pdf["community"], pdf["node"].map(last))
+        name: dict = {}
+        for _, a, b in sorted(((-overlap.loc[a, b], a, b) for a in overlap.index for b in overlap.columns)):
+            if a not in name and b not in name.values():
+                name[a] = b
+        same = [float(name.get(c) == last[x]) for c, x in zip(pdf["community"], pdf["node"])]
+        return pd.DataFrame({"node": pdf["node"], "same": same})
+
+    return communities.groupBy("replicate").applyInPandas(align, "node string, same double").groupBy("node").agg(F.avg("same").alias("stability"))
+
+
+def community_counts(communities: DataFrame) -> DataFrame:
+    """n_communities, n_replicates, share, modal: how often the replicates have how many communities; the mode (ties to fewer) is marked."""
+    per = communities.groupBy("replicate").agg(F.count_distinct("community").alias("n_communities")).groupBy("n_communities").agg(F.count(F.lit(1)).alias("n_replicates"))
+    whole = Window.partitionBy(F.lit(0))  # a handful of rows
+    return per.withColumn("share", F.col("n_replicates") / F.sum("n_replicates").over(whole)).withColumn("modal", F.row_number().over(whole.orderBy(F.desc("n_replicates"), "n_communities")) == 1)
+
+
+def bridge_groups(found: DataFrame, theory: DataFrame) -> DataFrame:
+    """The communities found, or the groups of the theory (node, community) where only one was found."""
+    return found if found.select("community").distinct().count() > 1 else theory
+
+
+def _uniform(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Uniform numbers (rows x replicates) that depend on row key and replicate only."""
+    h = keys.view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+def thresholds(df: DataFrame, columns: Sequence[str], key: str, replicates: int, size: int, seed: int = 42, passes: int = 5, bins: int = 256) -> np.ndarray:
+    """For every replicate the number below which exactly ``size`` of the rows' uniform numbers lie.
+
+    Each pass counts the numbers in ``bins`` parts of the interval still open, so what is shuffled are counts; after five passes the interval is
+    2^-40 wide and two numbers rarely share it.
+    """
+    d = complete(df, columns).select(F.xxhash64(F.lit(seed), F.col(key)).alias("_k"))
+    low, width, left = np.zeros(replicates), np.ones(replicates), np.full(replicates, size, np.int64)
+    for _ in range(passes):
+
+        def count(batches, low=low, width=width):
+            total = np.zeros((replicates, bins), np.int64)
+            for b in batches:
+                keys = b.column(0).to_numpy()
+                for i in range(0, len(keys), 2048):
+                    part = (_uniform(keys[i : i + 2048], replicates) - low) / width
+                    at = np.floor(part * bins).astype(np.int64)
+                    r = np.broadcast_to(np.arange(replicates), at.shape)
+                    ok = (at >= 0) & (at < bins)
+                    np.add.at(total, (r[ok], at[ok]), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([0], pa.int32())], names=["v", "g"])
+
+        def add(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v, np.int64) for v in t.column("v").to_pylist())
+            return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
+
+        got = d.mapInArrow(count, "v binary, g int").groupBy("g").applyInArrow(add, "v binary").first()
+        if got is None:
+            break
+        counts = np.frombuffer(got["v"], np.int64).reshape(replicates, bins)
+        upto = np.cumsum(counts, axis=1)
+        at = np.minimum((upto < left[:, None]).sum(1), bins - 1)
+        left = left - np.where(at > 0, upto[np.arange(replicates), at - 1], 0)
+        width = width / bins
+        low = low + at * width
+    return low + width
 
 
 def comparison_test(df: DataFrame, columns: Sequence[str], key: str, group: str, a: str, b: str, permutations: int = 1000, seed: int = 42) -> DataFrame:
     """Two groups' networks against permuted labels: statistic, observed, p_value.
 
-    Statistics: ``max_difference`` over edges, ``strength_difference`` of global strength, and ``edge src-dst`` each.  A permutation
-    gives each row to the first group with that group's share, by its own uniform number; replicate 0 has the true labels.
+    Statistics: ``max_difference`` over edges, ``strength_difference`` of global strength, ``edge src-dst`` each, and strength, betweenness and
+    closeness of each node.  A permutation gives the first group as many rows as it has, those with the smallest uniform numbers; replicate 0
+    has the true labels.
     """
-    d = df.filter(F.col(group).isin(a, b))
-    share = d.agg(F.avg((F.col(group) == a).cast("double")).alias("s")).first()["s"] or 0.0
+    cols = list(columns)
+    d = complete(df.filter(F.col(group).isin(a, b)), cols)
+    size = d.filter(F.col(group) == a).count()
+    edge = thresholds(d, cols, key, permutations + 1, size, seed)
 
     def first(u, reps, g):
-        w = (u < share).astype(float)
+        w = (u < edge[None, :]).astype(float)
         w[:, 0] = (g == a).to_numpy(float)
         return w
 
-    one = moments(d, columns, key, permutations + 1, first, seed, group)
-    whole = moments(d, columns, key, 1, once, seed).first()
+    one = moments(d, cols, key, permutations + 1, first, seed, group)
+    whole = moments(d, cols, key, 1, once, seed).first()
     total = np.array(whole["m"]) if whole else None
-    cols = list(columns)
     p = len(cols)
 
     def fit(pdfs):
@@ -357,11 +427,22 @@ def comparison_test(df: DataFrame, columns: Sequence[str], key: str, group: str,
                 diff = np.abs(x - y)[i, j]
                 rows += [(k, "max_difference", diff.max()), (k, "strength_difference", abs(np.abs(x[i, j]).sum() - np.abs(y[i, j]).sum()))]
                 rows += [(k, f"edge {cols[s]}-{cols[t]}", v) for s, t, v in zip(i, j, diff)]
+                for name, s, t in zip(("strength", "betweenness", "closeness"), (np.abs(x).sum(0), *paths(x)), (np.abs(y).sum(0), *paths(y))):
+                    rows += [(k, f"{name} {c}", float(v)) for c, v in zip(cols, np.abs(s - t))]
             yield pd.DataFrame(rows, columns=["replicate", "statistic", "value"])
 
     v = spread(one).mapInPandas(fit, "replicate long, statistic string, value double")
-    seen = v.filter("replicate = 0").select("statistic", F.col("value").alias("observed"))
-    return v.filter("replicate > 0").join(F.broadcast(seen), "statistic").groupBy("statistic").agg(F.first("observed").alias("observed"), ((F.count_if(F.col("value") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    return v.groupBy("statistic").agg(F.max(F.when(F.col("replicate") == 0, F.col("value"))).alias("observed"), F.collect_list(F.when(F.col("replicate") > 0, F.col("value"))).alias("_v")).select(
+        "statistic", "observed", ((F.size(F.filter("_v", lambda x: x >= F.col("observed"))) + 1) / (F.size("_v") + 1)).alias("p_value")
+    )
+
+
+def significant(test: DataFrame, node: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """Edges of a comparison whose p_value is below alpha, of one node if given: src, dst, observed, p_value."""
+    e = test.filter(F.col("statistic").startswith("edge ") & (F.col("p_value") < alpha))
+    ends = F.split(F.substring("statistic", 6, 1000), "-")
+    out = e.select(ends[0].alias("src"), ends[1].alias("dst"), "observed", "p_value").filter("src != dst")
+    return out if node is None else out.filter((F.col("src") == node) | (F.col("dst") == node))
 
 
 def sparsity(e: DataFrame, n_nodes: int) -> DataFrame:

@@ -17,7 +17,7 @@ from corpusmill.shared import cut, with_one
 
 class LanguageModel(Protocol):
     def score(self, tokens: DataFrame) -> DataFrame:
-        """doc_id, i, token, loss (natural log), entropy for every token."""
+        """doc_id, i, token, loss (natural log) for every token."""
 
 
 def sequences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -36,10 +36,10 @@ class NgramModel:
         # written once: all marginals are sums over it
         self.grams = cut(sequences(docs).groupBy("prev2", "prev", "token").agg(F.count(F.lit(1)).alias("c3")), "grams")
 
-    def score(self, tokens: DataFrame, left_only: bool = True) -> DataFrame:
-        """doc_id, i, token, loss.  The tokens are joined as distinct trigrams, so each join is as large as the vocabulary in use.
+    def score(self, tokens: DataFrame) -> DataFrame:
+        """doc_id, i, token, loss of every token after its two predecessors (scoring from both sides: operators.scoring).
 
-        With left_only a token is scored from its two predecessors; else from its predecessor and the token after it.
+        The tokens are joined as a document's distinct trigrams, so each join is as large as the vocabulary in use and a frequent trigram is one row a document.
         """
         l3, l2, l1 = self.weights
         g = self.grams
@@ -55,7 +55,9 @@ class NgramModel:
             .join(bi, ["prev", "token"], "left").join(ctx, ["prev"], "left").join(uni, ["token"], "left")
         )
         p = with_one(counted, size).withColumn("p", l3 * F.coalesce(F.col("c3") / F.col("c12"), F.lit(0.0)) + l2 * F.coalesce(F.col("c2") / F.col("c1"), F.lit(0.0)) + l1 * (zero("c0") + 1) / (F.col("n") + F.col("v") + 1))
-        return tokens.join(p.select("prev2", "prev", "token", (-F.log("p")).alias("loss")), ["prev2", "prev", "token"]).select("doc_id", "i", "token", "loss")
+        places = tokens.groupBy("doc_id", "prev2", "prev", "token").agg(F.collect_list("i").alias("_at"))
+        lost = places.join(p.select("prev2", "prev", "token", (-F.log("p")).alias("loss")), ["prev2", "prev", "token"])
+        return lost.select("doc_id", F.explode("_at").alias("i"), "token", "loss")
 
     def entropy(self) -> DataFrame:
         """Entropy of the next token after each single context: prev, entropy (natural log)."""
@@ -71,20 +73,38 @@ def subword_summary(df: DataFrame, losses: str) -> DataFrame:
     return df.withColumn("num_subwords", n).withColumn("mean_loss", F.when(n > 0, mean(F.col(losses))).otherwise(F.lit(float("inf")))).withColumn("mean_prob", F.when(n > 0, mean(F.transform(losses, lambda x: F.exp(-x)))).otherwise(0.0))
 
 
-def doc_predictability(scores: DataFrame) -> DataFrame:
-    """Means over tokens with finite loss, and the sample variance (0 below two tokens)."""
+def doc_predictability(scores: DataFrame, docs: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Means of loss, probability and entropy over tokens with finite loss, and the sample variance of the loss (0 below two tokens).
+
+    With ``docs`` every one of them has a row: without tokens the mean loss is infinite and the rest 0.  Scores without a probability or an entropy
+    column get exp(-loss) and NULL.
+    """
     fine = scores.filter(F.col("loss").isNotNull() & ~F.isnan("loss") & (F.abs("loss") < float("inf")))
-    return fine.groupBy("doc_id").agg(
-        F.avg("loss").alias("mean_loss"), F.avg(F.exp(-F.col("loss"))).alias("mean_prob"), F.coalesce(F.var_samp("loss"), F.lit(0.0)).alias("var_loss"), F.count(F.lit(1)).alias("n_tokens")
-    )
+    prob = F.col("prob") if "prob" in scores.columns else F.exp(-F.col("loss"))
+    entropy = F.col("entropy") if "entropy" in scores.columns else F.lit(None).cast("double")
+    per = fine.groupBy("doc_id").agg(
+        F.avg("loss").alias("mean_loss"), F.avg(prob).alias("mean_prob"), F.avg(entropy).alias("mean_entropy"), F.coalesce(F.var_samp("loss"), F.lit(0.0)).alias("var_loss"), F.count(F.lit(1)).alias("n_tokens")
+    )
+    if docs is None:
+        return per
+    out = docs.select(F.col(key).alias("doc_id")).distinct().join(per, "doc_id", "left")
+    return out.fillna({"mean_loss": float("inf"), "mean_prob": 0.0, "mean_entropy": 0.0, "var_loss": 0.0, "n_tokens": 0})
+
+
+def token_at(scores: DataFrame, doc_id: int, i: int) -> DataFrame:
+    """The scores of one token; no row if there is none."""
+    return scores.filter((F.col("doc_id") == doc_id) & (F.col("i") == i))
 
 
 def centred_window(n: Column, centre: Column, size: int) -> tuple[Column, Column]:
-    """[start, end) of size // 2 on both sides of a position, shifted inwards at the ends of a sequence of n."""
-    half = size // 2
-    start = F.when(n <= size, 0).when(centre - half < 0, 0).when(centre + half > n, n - size).otherwise(centre - half)
-    end = F.when(n <= size, n).when(centre - half < 0, size).when(centre + half > n, n).otherwise(centre + half)
-    return start, end
+    """[start, end) of size // 2 on both sides of a position and at least the position, shifted inwards at the ends of a sequence of n.
+
+    An odd size gives size - 1 positions inside a sequence and size at its ends; a size below 1 counts as 1.
+    """
+    size = max(1, size)
+    start, end = centre - size // 2, F.greatest(centre + size // 2, centre - size // 2 + 1)
+    left, right = start < 0, end > n
+    return F.when(left, 0).when(right, F.greatest(n - size, F.lit(0))).otherwise(start), F.when(left, F.least(F.lit(size), n)).when(right, n).otherwise(end)
 
 
 def align(words: DataFrame, parts: DataFrame) -> DataFrame:
@@ -103,17 +123,3 @@ def causal_context(tokens: Column, i: Column, window: int) -> Column:
     """At most ``window`` tokens before position i."""
     start = F.greatest(i - window, F.lit(0))
     return F.slice(tokens, start + 1, i - start)
-
-
-def transformation_vectors(distribution: DataFrame, embedding: DataFrame, dim: int, top: int = 50) -> DataFrame:
-    """Expected minus observed embedding: key, delta.
-
-    ``distribution``: key, token, p, observed (is it the observed token); the ``top`` most probable are renormalised.
-    ``embedding``: token, vec.  Weighted sums are taken per dimension in one aggregate; vectors aren't shuffled twice.
-    """
-    order = Window.partitionBy("key").orderBy(F.desc("p"), "token")
-    best = distribution.withColumn("_n", F.row_number().over(order))
-    total = F.sum(F.when(F.col("_n") <= top, F.col("p"))).over(Window.partitionBy("key"))
-    weight = F.coalesce(F.when(F.col("_n") <= top, F.try_divide(F.col("p"), total)), F.lit(0.0)) - F.col("observed").cast("double")
-    used = best.withColumn("w", weight).filter("w != 0").join(embedding, "token")
-    return used.groupBy("key").agg(F.array(*[F.sum(F.col("w") * F.get("vec", F.lit(k))) for k in range(dim)]).alias("delta"))

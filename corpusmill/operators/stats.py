@@ -93,6 +93,19 @@ def spearman(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return both.agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def spearman_by(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """Rank correlation inside every group over rows where both are defined: group, rho, n; ties have their average rank.
+
+    Ranks are running sums over each group's histogram of values, so a group of any size is spread.
+    """
+    d = df.select(group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    for c in (x, y):
+        h = d.groupBy(group, c).agg(F.count(F.lit(1)).alias("_n"))
+        h = ranked(h, [group], [c], "_before", "_n").select(group, c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
+        d = d.join(h, [group, c])
+    return d.groupBy(group).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """bin (0 to bins + 1), n: values clipped at the upper end count in the last bin."""
     return df.filter(F.col(value).isNotNull()).groupBy(F.width_bucket(F.least(F.col(value), F.lit(high)), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -114,6 +127,20 @@ def shares(df: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group)))
 
 
+def top_shares(df: DataFrame, group: Sequence[str], column: str, n: int = 3) -> DataFrame:
+    """The n most frequent values of each group as one text, value(percent) by frequency, ties to the smaller value: group, column.
+
+    Percentages are of all rows of the group.
+    """
+    size = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
+    c = df.filter(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*group).orderBy(F.desc("_n"), column)
+    best = c.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).join(size, list(group))
+    pct = F.floor(100 * F.col("_n") / F.col("_all") + 0.5).cast("string")
+    said = best.select(*group, F.struct("_k", F.concat(column, F.lit("("), pct, F.lit("%)")).alias("s")).alias("_v"))
+    return said.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list("_v")), lambda x: x["s"]), ",").alias(column))
+
+
 def modes(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
     """The most frequent value of each group, ties to the smaller value."""
     n = df.filter(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
@@ -121,5 +148,7 @@ def modes(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    one = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
-    return one.unpivot([], list(columns), "variable", "n_distinct").withColumn("constant", F.col("n_distinct") <= 1)
+    """variable, n_distinct, sd and whether it is constant."""
+    one = df.agg(*[F.struct(F.count_distinct(c).alias("n_distinct"), F.stddev_samp(c).alias("sd")).alias(c) for c in columns])
+    long = one.unpivot([], list(columns), "variable", "_s")
+    return long.select("variable", "_s.n_distinct", "_s.sd", (F.col("_s.n_distinct") <= 1).alias("constant"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.graph import condensed_clusters, spanning_forest
-from corpusmill.operators.stats import modes
+from corpusmill.operators.stats import modes, spearman_by, top_shares
 from corpusmill.shared import cut
 
 
@@ -37,12 +37,17 @@ def centroids(df: DataFrame, group: Sequence[str], vec: str, dim: int) -> DataFr
 def centroid_distance(df: DataFrame, group: str, vec: str, dim: int) -> DataFrame:
     """Rows with the cosine distance to their group's centroid."""
     c = centroids(df, [group], vec, dim)
-    return df.join(F.broadcast(c) if c.limit(10_001).count() <= 10_000 else c, group).withColumn("distance", 1 - cosine(F.col(vec), F.col("centroid"))).drop("centroid")
+    few = (8 << 20) // (8 * dim)  # centroids of at most 8 MB are sent to all tasks
+    return df.join(F.broadcast(c) if c.limit(few + 1).count() <= few else c, group).withColumn("distance", 1 - cosine(F.col(vec), F.col("centroid"))).drop("centroid")
 
 
 # --- non-negative matrix factorisation ------------------------------------------------------------------------------
 
 
+#: groups of tasks whose sums reach the driver
+SUMS = 16
+
+
 def _batches(t: pa.RecordBatch, key: str, vec: str):
     x = np.array(t.column(vec).to_pylist(), np.float64)
     return t.column(key).to_numpy(zero_copy_only=False), x
@@ -65,43 +70,59 @@ def nmf(df: DataFrame, key: str, vec: str, dim: int, k: int = 50, rounds: int =
     """(W: key, loadings; H: k x 2 dim; relative error) of the sign-split vectors, Frobenius loss.
 
     Rows are independent given H, so each round is one pass that returns only W'W and W'X, k x (k + 2 dim) numbers a task; H
-    is updated by hierarchical coordinate steps.  Starts from the leading directions of X'X with their signs split and zeros
-    filled by the mean.  NULL vectors take no part.
+    is updated by hierarchical coordinate steps.  Starts from the leading directions of X'X, found by a randomised range finder, with their signs
+    split and zeros filled by the mean.  NULL vectors take no part.
     """
+    spark = df.sparkSession
     data = cut(df.filter(F.col(vec).isNotNull()).select(key, posneg(F.col(vec)).alias(vec)), "split")
     d2 = 2 * dim
 
-    def reduce(fn, width: int) -> np.ndarray:
+    def reduce(fn, shape: tuple[int, ...]) -> np.ndarray:
+        """Sum of fn over all batches: one array a task, added up by groups of tasks, at most SUMS arrays at the driver."""
+
         def run(batches):
-            total = np.zeros(width)
+            total, some = np.zeros(shape), False
             for b in batches:
                 if b.num_rows:
                     total += fn(_batches(b, key, vec)[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], names=["i", "v"])
-
-        s = data.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        out = np.zeros(width)
-        out[s["i"]] = s["v"]
+                    some = True
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+        def add(t: pa.Table) -> pa.Table:
+            total = np.zeros(shape)
+            for v in t.column("v").to_pylist():
+                total += np.frombuffer(v).reshape(shape)
+            return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
+
+        parts = data.mapInArrow(run, "v binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(SUMS)))
+        out = np.zeros(shape)
+        for r in parts.groupBy("g").applyInArrow(add, "v binary").toLocalIterator():
+            out += np.frombuffer(r["v"]).reshape(shape)
         return out
 
-    g = reduce(lambda x: np.r_[(x.T @ x).ravel(), x.sum(0), len(x)], d2 * d2 + d2 + 1)
-    gram, mean, n = g[: d2 * d2].reshape(d2, d2), g[d2 * d2 : -1], g[-1]
+    n, whole, mean = (lambda x: (x[0], x[1], x[2:]))(reduce(lambda x: np.r_[len(x), (x * x).sum(), x.sum(0)], (d2 + 2,)))
     if not n:
-        return df.sparkSession.createDataFrame([], f"{key} long, loadings array<double>"), np.zeros((k, d2)), 0.0
+        return spark.createDataFrame([], f"{key} long, loadings array<double>"), np.zeros((k, d2)), 0.0
     k = min(k, d2)
-    value, vector = np.linalg.eigh(gram)
+    # leading directions of X'X: its product with a few random directions spans them, and a small matrix separates them
+    omega = np.random.default_rng(0).standard_normal((d2, min(d2, k + 10)))
+    q, _ = np.linalg.qr(reduce(lambda x: x.T @ (x @ omega), omega.shape))
+    q, _ = np.linalg.qr(reduce(lambda x: x.T @ (x @ q), q.shape))
+    value, small = np.linalg.eigh(reduce(lambda x: (lambda y: y.T @ y)(x @ q), (q.shape[1],) * 2))
+    vector = q @ small
     h = []
     for v, s in zip(vector[:, ::-1].T, np.sqrt(np.maximum(value[::-1], 0))):
         for part in (np.maximum(v, 0), np.maximum(-v, 0)):
             if len(h) < k and part.any():
                 h.append(part * s)
     h = np.array(h)
+    k = len(h)
     h = np.where(h > 0, h, mean.mean() / n / 10 + 1e-9)
-    whole = np.trace(gram)
     last, error, still = np.inf, 1.0, 0
     for _ in range(rounds):
-        s = reduce(lambda x, h=h: (lambda w: np.r_[(w.T @ w).ravel(), (w.T @ x).ravel()])(_weights(x, h)), k * k + k * d2)
-        a, b = s[: k * k].reshape(k, k), s[k * k :].reshape(k, d2)
+        s = reduce(lambda x, h=h: (lambda w: np.hstack([w.T @ w, w.T @ x]))(_weights(x, h)), (k, k + d2))
+        a, b = s[:, :k], s[:, k:]
         error = np.sqrt(max(whole - 2 * (b * h).sum() + (a * (h @ h.T)).sum(), 0) / whole)
         still = still + 1 if last - error < tol * error else 0
         if still > 2:
@@ -130,16 +151,62 @@ def top_per_component(long: DataFrame, key: str, n: int) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def component_summary(long: DataFrame, meta: DataFrame, key: str, n: int = 100) -> DataFrame:
-    """Per component, over its top n rows: mean loading and surprisal, proficiency shares, top tag and word; sparsity over all rows."""
+def component_summary(long: DataFrame, meta: DataFrame, key: str, n: int = 50) -> DataFrame:
+    """Per component, over its top n rows: mean loading and surprisal, proficiency shares, three top tags and the top word; over all rows:
+    sparsity and the rank correlation of loading and proficiency (low 1, mid 2, high 3)."""
     t = top_per_component(long, key, n).join(meta, key, "left")
     per = t.groupBy("component").agg(
-        F.avg("loading").alias("top_load"), F.avg("surprisal").alias("surprisal"), *[(F.count_if(F.col("prof") == p) / F.count("prof")).alias(f"{p}_share") for p in ("low", "mid", "high")]
+        F.avg("loading").alias("top_load"), F.avg("surprisal").alias("surprisal"), *[F.try_divide(F.count_if(F.col("prof") == p), F.count("prof")).alias(f"{p}_share") for p in ("low", "mid", "high")]
     )
-    tag = modes(t, ["component"], "pos_tag").select("component", F.col("pos_tag").alias("top_pos"), (F.col("n") / n).alias("top_pos_share"))
+    tag = top_shares(t, ["component"], "pos_tag").withColumnRenamed("pos_tag", "top_pos")
     word = modes(t, ["component"], "token_text").select("component", F.col("token_text").alias("top_token"))
     sparse = long.groupBy("component").agg(F.avg((F.col("loading") < 1e-6).cast("int")).alias("sparsity"))
-    return per.join(tag, "component", "left").join(word, "component", "left").join(sparse, "component")
+    level = F.when(F.col("prof") == "low", 1).when(F.col("prof") == "mid", 2).when(F.col("prof") == "high", 3)
+    rho = spearman_by(long.join(meta.select(key, level.alias("level")), key), "component", "loading", "level").select("component", "rho")
+    return per.join(tag, "component", "left").join(word, "component", "left").join(sparse, "component").join(rho, "component", "left")
+
+
+def filtered(rows: DataFrame, pos: Sequence[str] = (), dep: Sequence[str] = (), prof: Sequence[str] = ()) -> DataFrame:
+    """Rows that have one of the values of every filter given."""
+    for column, values in (("pos_tag", pos), ("dep_rel", dep), ("prof", prof)):
+        if values:
+            rows = rows.filter(F.col(column).isin(*values))
+    return rows
+
+
+def component_show(long: DataFrame, meta: DataFrame, key: str, component: int, n: int = 50, **filters: Sequence[str]) -> DataFrame:
+    """The n rows that load most on one component, then the filters (so fewer may come out): number, key, loading and the rows' columns."""
+    t = top_per_component(long.filter(F.col("component") == component), key, n).select(key, "loading")
+    order = Window.orderBy(F.desc("loading"), key)  # at most n rows
+    return filtered(t.join(meta, key), **filters).withColumn("number", F.row_number().over(order))
+
+
+def valid_labels(labels: DataFrame, label: str = "label", shown: int = 20) -> DataFrame:
+    """n_clusters and the first ids of the clusters, in order; noise (-1) is none."""
+    ids = labels.filter(F.col(label) >= 0).select(label).distinct()
+    return ids.agg(F.count(F.lit(1)).alias("n_clusters")).withColumn("first_ids", ids.orderBy(label).limit(shown).agg(F.sort_array(F.collect_list(label)).alias("_l")).scalar())
+
+
+def cluster_show(rows: DataFrame, cluster: int, sort: str = "centroid", n: int = 50, key: str = "row_id", label: str = "label", vec: str = "vec", dim: int = 768, seed: int = 42, **filters: Sequence[str]) -> DataFrame:
+    """The first n rows of a cluster that pass the filters: number, key and the rows' columns, by distance to the whole cluster's centroid, by surprisal or at random.
+
+    An id that is no cluster's is an error that names the first valid ones.
+    """
+    mine = rows.filter(F.col(label) == cluster)
+    if cluster < 0 or mine.isEmpty():
+        valid = valid_labels(rows, label).first()
+        raise ValueError(f"no cluster {cluster}; valid: {valid['first_ids']}{'...' if valid['n_clusters'] > 20 else ''} ({valid['n_clusters']} in all)")
+    if sort == "centroid":
+        mine = centroid_distance(mine, label, vec, dim)
+        order = [F.round("distance", 9), key]
+    elif sort == "surprisal":
+        order = [F.desc_nulls_last("surprisal"), key]
+    elif sort == "random":
+        order = [F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key]
+    else:
+        raise ValueError("sort is centroid, surprisal or random")
+    best = filtered(mine, **filters).orderBy(*order).limit(n)
+    return best.withColumn("number", F.row_number().over(Window.orderBy(*order)))  # at most n rows
 
 
 # --- neighbour graph, layout, clusters ------------------------------------------------------------------------------
@@ -239,8 +306,8 @@ def layout(graph: DataFrame, dim: int = 2, rounds: int = 10, seed: int = 42, a:
     return pos.select("node", F.array(*[F.col(f"y{d}") for d in range(dim)]).alias("y"))
 
 
-def density_labels(knn: DataFrame, min_rows: int = 10, min_samples: int = 5) -> DataFrame:
-    """Labels of a density clustering of the neighbour graph: key, label (-1: noise), by excess of mass.
+def density_labels(knn: DataFrame, min_rows: int = 10, min_samples: int = 5, method: str = "eom") -> DataFrame:
+    """Labels of a density clustering of the neighbour graph: key, label (-1: noise), by excess of mass (``eom``) or of the leaves (``leaf``).
 
     Core similarity is that of the min_samples-th neighbour; links carry the least of their similarity and both core
     similarities; the maximum spanning forest is condensed (see graph.condensed_clusters).
@@ -249,7 +316,7 @@ def density_labels(knn: DataFrame, min_rows: int = 10, min_samples: int = 5) ->
     w = F.least("similarity", "core", "_core")
     links = knn.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("_core")), "dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w"))
     forest, labels = spanning_forest(links)
-    members, clusters = condensed_clusters(forest, min_rows)
+    members, clusters = condensed_clusters(forest, min_rows, method)
     names = clusters.select("cluster_id", "n_rows")
     ranked_names = names.withColumn("label", F.row_number().over(Window.orderBy(F.desc("n_rows"), "cluster_id")) - 1)  # one row per cluster
     named = members.join(ranked_names.select("cluster_id", "label"), "cluster_id").select("key", "label")

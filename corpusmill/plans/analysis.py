@@ -11,11 +11,14 @@ from corpusmill.operators import network as N
 from corpusmill.operators import stats as S
 from corpusmill.operators import vectorops as V
 from corpusmill.plans.corpus import table
-from corpusmill.plans.essays import _PILOT, _PROF, ESSAYS, _SCORES, clean_essays, pilot, prof
+from corpusmill.functions.text import kwic_line
+from corpusmill.plans.essays import _PILOT, _PROF, ESSAYS, _SCORES, clean_essays, kwic_sql, pilot, prof
 
 Q_: dict = {}
 SQL: dict[str, str] = {}
 ALL = ["overall", *_SCORES]
+#: replicates of the resampling queries, components and most rounds of the factorisation
+SIZES = {"edges": 1000, "cases": 1000, "communities": 500, "permutations": 1000, "k": 50, "rounds": 500}
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -139,9 +142,9 @@ def top_tag_by_level(spark, d):
     return S.modes(pilot(spark, d).withColumn("prof", prof()).filter(F.col("prof").isin("low", "mid", "high")), ["prof"], "pos_tag")
 
 
-@query(" union all ".join(f"select '{c}' as variable, count(distinct {c}) as n_distinct, count(distinct {c}) <= 1 as constant from {_CLEAN}" for c in ALL))
+@query(" union all ".join(f"select '{c}' as variable, count(distinct {c}) as n_distinct, round(stddev_samp({c}), 6) as sd, count(distinct {c}) <= 1 as constant from {_CLEAN}" for c in ALL))
 def constant_columns(spark, d):
-    return S.constant_columns(_e(spark, d), ALL)
+    return S.constant_columns(_e(spark, d), ALL).withColumn("sd", r("sd"))
 
 
 @query(f"select pos_tag, count(*) filter (where {_PROF} = 'low') as low, count(*) filter (where {_PROF} = 'mid') as mid, count(*) filter (where {_PROF} = 'high') as high from {_PILOT} group by 1")
@@ -202,27 +205,45 @@ def bridge_strength(spark, d):
 
 @query()
 def bootstrap_edges(spark, d):
-    return N.bootstrap_edges(_complete(spark, d), ALL, "text_id_kaggle", 100)
+    return N.bootstrap_edges(_complete(spark, d), ALL, "text_id_kaggle", SIZES["edges"])
 
 
 @query()
 def case_dropping(spark, d):
-    return N.stability_coefficient(N.case_dropping(_complete(spark, d), ALL, "text_id_kaggle", 70))
+    return N.stability_coefficient(N.case_dropping(_complete(spark, d), ALL, "text_id_kaggle", SIZES["cases"]))
 
 
-@query()
-def bootstrap_communities(spark, d):
-    df = _complete(spark, d)
-    m = N.moments(df, ALL, "text_id_kaggle", 1, N.once).first()["m"]
+def _replicated(spark, d):
+    m = N.moments(_complete(spark, d), ALL, "text_id_kaggle", 1, N.once).first()["m"]
     rmat, n = N.correlation_of(np.array(m), len(ALL))
     final = spark.createDataFrame([(c, int(g)) for c, g in zip(ALL, N.walktrap(N.partial_correlations(rmat, n)))], "node string, community int")
-    return N.item_stability(N.parametric_communities(rmat, n, ALL, spark, 100), final)
+    return N.parametric_communities(rmat, n, ALL, spark, SIZES["communities"]), final
 
 
 @query()
-def network_comparison(spark, d):
+def bootstrap_communities(spark, d):
+    return N.item_stability(*_replicated(spark, d))
+
+
+@query()
+def community_counts(spark, d):
+    return N.community_counts(_replicated(spark, d)[0])
+
+
+def _compared(spark, d):
     g = _complete(spark, d).withColumn("grp", S.proficiency(F.col("overall")))
-    return N.comparison_test(g, ALL[1:], "text_id_kaggle", "grp", "Low", "High", 100)
+    return N.comparison_test(g, ALL[1:], "text_id_kaggle", "grp", "Low", "High", SIZES["permutations"])
+
+
+@query()
+def network_comparison(spark, d):
+    return _compared(spark, d)
+
+
+@query()
+def significant_edges(spark, d):
+    """Edges of ``cohesion`` that differ between the groups at p < .05."""
+    return N.significant(_compared(spark, d), "cohesion")
 
 
 # vectors ------------------------------------------------------------------------------------------------------------
@@ -253,17 +274,21 @@ def cluster_show(spark, d):
     return s.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("label", "vec_id", "rank")
 
 
-_CS = f"(select *, case pos_tag when 'NOUN' then 0 when 'VERB' then 1 when 'ADJ' then 2 else -1 end as label, {_PROF} as prof from {_PILOT})"
+_CS = f"(select m.*, case when e.label < 2 then -1 else e.label end as label, {_PROF} as prof from {_PILOT} m join embeddings e on m.row_id = e.vec_id)"
 
 
-@query(f"with c as {_CS}, t as (select label, pos_tag as top_pos from c where label >= 0 group by label, pos_tag qualify row_number() over (partition by label order by count(*) desc, pos_tag) = 1), w as (select label, token_text as top_token from c where label >= 0 and token_text is not null group by label, token_text qualify row_number() over (partition by label order by count(*) desc, token_text) = 1) select label, count(*) as size, round(avg(surprisal), 6) as mean_surprisal, round(stddev_samp(surprisal), 6) as sd_surprisal, round(count_if(prof = 'low') / count(prof), 6) as low_share, any_value(top_pos) as top_pos, any_value(top_token) as top_token from c join t using (label) join w using (label) where label >= 0 group by label")
+@query(f"with c as {_CS}, t as (select label, pos_tag as top_pos from c where label >= 0 and pos_tag is not null group by label, pos_tag qualify row_number() over (partition by label order by count(*) desc, pos_tag) = 1), w as (select label, token_text as top_token from c where label >= 0 and token_text is not null group by label, token_text qualify row_number() over (partition by label order by count(*) desc, token_text) = 1) select label, count(*) as size, round(avg(surprisal), 6) as mean_surprisal, round(stddev_samp(surprisal), 6) as sd_surprisal, round(count_if(prof = 'low') / count(prof), 6) as low_share, any_value(top_pos) as top_pos, any_value(top_token) as top_token from c join t using (label) join w using (label) where label >= 0 group by label")
 def cluster_summary(spark, d):
-    tag = F.col("pos_tag")
-    c = pilot(spark, d).withColumn("label", F.when(tag == "NOUN", 0).when(tag == "VERB", 1).when(tag == "ADJ", 2).otherwise(-1)).withColumn("prof", prof())
-    s = V.cluster_summary(c)
+    """Clusters of the embeddings (two of them taken as noise), described by the pilot rows of the same number."""
+    s = V.cluster_summary(_clustered(spark, d))
     return s.select("label", "size", r("mean_surprisal").alias("mean_surprisal"), r("sd_surprisal").alias("sd_surprisal"), r("low_share").alias("low_share"), "top_pos", "top_token")
 
 
+def _clustered(spark, d):
+    e = _emb(spark, d).select(F.col("vec_id").alias("row_id"), F.when(F.col("label") < 2, -1).otherwise(F.col("label")).alias("label"))
+    return pilot(spark, d).join(e, "row_id").withColumn("prof", prof())
+
+
 @query("with u as (select vec_id, unnest(embedding)::double as loading, unnest(range(64)) as component from embeddings) select component::int as component, vec_id, rank::int as rank from (select *, row_number() over (partition by component order by loading desc, vec_id) as rank from u) where rank <= 10")
 def topn_per_component(spark, d):
     long = _emb(spark, d).select("vec_id", F.posexplode("embedding").alias("component", "loading"))
@@ -272,16 +297,88 @@ def topn_per_component(spark, d):
 
 @query()
 def nmf_fit(spark, d):
-    w, _, _ = V.nmf(_emb(spark, d), "vec_id", "embedding", 64, k=10, rounds=20)
+    w, _, _ = V.nmf(_emb(spark, d), "vec_id", "embedding", 64, k=SIZES["k"], rounds=SIZES["rounds"])
     return w
 
 
+@query("select count(*) as n_rows, 50 as k, true as fits, true as non_negative from embeddings")
+def nmf_error(spark, d):
+    """Rows, components, whether 50 components leave less than 40 % of the vectors' length, and whether nothing is negative."""
+    w, h, error = V.nmf(_emb(spark, d), "vec_id", "embedding", 64, k=SIZES["k"], rounds=SIZES["rounds"])
+    return w.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(h)).alias("k"), F.lit(bool(error < 0.4)).alias("fits"), (F.min(F.array_min("loadings")) >= 0).alias("non_negative"))
+
+
 @query()
 def nmf_summary(spark, d):
     """Components of the embeddings, described by the pilot rows of the same number."""
-    w, _, _ = V.nmf(_emb(spark, d), "vec_id", "embedding", 64, k=10, rounds=20)
-    meta = pilot(spark, d).select(F.col("row_id").alias("vec_id"), "surprisal", "pos_tag", "token_text", prof().alias("prof"))
-    return V.component_summary(V.loadings_long(w, "vec_id"), meta, "vec_id", 50)
+    w, _, _ = V.nmf(_emb(spark, d), "vec_id", "embedding", 64, k=SIZES["k"], rounds=SIZES["rounds"])
+    return V.component_summary(V.loadings_long(w, "vec_id"), _meta(spark, d), "vec_id", 50)
+
+
+def _meta(spark, d):
+    return pilot(spark, d).withColumn("vec_id", F.col("row_id")).withColumn("prof", prof())
+
+
+_LOAD = "(select vec_id, unnest(embedding)::double as loading, unnest(range(64)) as component from embeddings)"
+_TOP = f"(select * from (select *, row_number() over (partition by component order by loading desc, vec_id) as n from {_LOAD}) where n <= 50)"
+_META = f"(select *, row_id as vec_id, {_PROF} as prof from {_PILOT})"
+
+
+def _fixed_loadings(spark, d):
+    return _emb(spark, d).select("vec_id", F.posexplode("embedding").alias("component", "loading")).withColumn("loading", F.col("loading").cast("double"))
+
+
+@query(
+    f"with t as (select t.*, surprisal, pos_tag, token_text, prof from {_TOP} t left join {_META} m using (vec_id)), all_ as (select component, count(*) as n from t group by all),"
+    " tag as (select component, string_agg(pos_tag || '(' || floor(100 * c / n + 0.5)::bigint || '%)', ',' order by k) as top_pos from (select component, pos_tag, count(*) as c, row_number() over (partition by component order by count(*) desc, pos_tag) as k from t where pos_tag is not null group by all) join all_ using (component) where k <= 3 group by component),"
+    " word as (select component, token_text as top_token from t where token_text is not null group by component, token_text qualify row_number() over (partition by component order by count(*) desc, token_text) = 1),"
+    f" lev as (select component, loading, case prof when 'low' then 1 when 'mid' then 2 when 'high' then 3 end as y from {_LOAD} join {_META} using (vec_id)),"
+    " rk as (select component, rank() over (partition by component order by loading) + (count(*) over (partition by component, loading) - 1) / 2 as a, rank() over (partition by component order by y) + (count(*) over (partition by component, y) - 1) / 2 as b from lev where y is not null),"
+    f" sp as (select component, avg((loading < 1e-6)::int) as sparsity from {_LOAD} group by all)"
+    " select component::int as component, round(avg(loading), 6) as top_load, round(avg(surprisal), 6) as surprisal, " + ", ".join(f"round(count_if(prof = '{x}') / nullif(count(prof), 0), 6) as {x}_share" for x in ("low", "mid", "high"))
+    + ", any_value(top_pos) as top_pos, any_value(top_token) as top_token, any_value(round(sparsity, 6)) as sparsity, any_value(rho) as rho from t left join tag using (component) left join word using (component) join sp using (component) left join (select component, round(corr(a, b), 6) as rho from rk group by component) using (component) group by component"
+)
+def component_table(spark, d):
+    """The description of components, over loadings that SQL can state too: the embeddings' own dimensions."""
+    s = V.component_summary(_fixed_loadings(spark, d), _meta(spark, d), "vec_id", 50)
+    return s.select("component", *[r(c).alias(c) for c in ("top_load", "surprisal", "low_share", "mid_share", "high_share", "sparsity", "rho")], "top_pos", "top_token")
+
+
+@query(f"select number::int as number, vec_id, {kwic_sql('number')} as line from (select *, row_number() over (order by loading desc, vec_id) as number from {_TOP} join {_META} using (vec_id) where component = 3 and pos_tag in ('NOUN', 'VERB') and prof in ('low', 'mid'))")
+def component_show(spark, d):
+    """Of the 50 rows that load most on one component, those that pass the filters, as concordance lines."""
+    s = V.component_show(_fixed_loadings(spark, d), _meta(spark, d), "vec_id", 3, 50, pos=["NOUN", "VERB"], prof=["low", "mid"])
+    return s.select("number", "vec_id", kwic_line(F.col("number")).alias("line"))
+
+
+def _labelled(spark, d):
+    return _emb(spark, d).join(_meta(spark, d), "vec_id")
+
+
+_DIST = f"with u as {_UNNEST}, b as (select * from embeddings join {_META} using (vec_id)), m as (select u.* from u where vec_id in (select vec_id from b)), c as (select label, k, avg(x) as m from m group by all), s as (select vec_id, label, 1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) as distance from m join c using (label, k) where label = 3 group by all)"
+
+
+@query(f"{_DIST} select number::int as number, vec_id, {kwic_sql('number')} as line from (select b.*, row_number() over (order by round(distance, 9), vec_id) as number from s join b using (vec_id) where pos_tag in ('NOUN', 'VERB')) where number <= 20")
+def concordance_centroid(spark, d):
+    """Concordance lines of one cluster, nearest to its centroid first."""
+    s = V.cluster_show(_labelled(spark, d), 3, "centroid", 20, "vec_id", vec="embedding", dim=64, pos=["NOUN", "VERB"])
+    return s.select("number", "vec_id", kwic_line(F.col("number")).alias("line"))
+
+
+@query(f"select number::int as number, vec_id, {kwic_sql('number')} as line from (select *, row_number() over (order by surprisal desc nulls last, vec_id) as number from embeddings join {_META} using (vec_id) where label = 5) where number <= 20")
+def concordance_surprisal(spark, d):
+    s = V.cluster_show(_labelled(spark, d), 5, "surprisal", 20, "vec_id", vec="embedding", dim=64)
+    return s.select("number", "vec_id", kwic_line(F.col("number")).alias("line"))
+
+
+@query(f"select number::int as number, vec_id from (select vec_id, row_number() over (order by md5(vec_id::varchar || '42'), vec_id) as number from embeddings join {_META} using (vec_id) where label = 5) where number <= 20")
+def concordance_random(spark, d):
+    return V.cluster_show(_labelled(spark, d), 5, "random", 20, "vec_id", vec="embedding", dim=64).select("number", "vec_id")
+
+
+@query("select count(distinct label) as n_clusters, list_slice(list_sort(list(distinct label)), 1, 20) as first_ids from embeddings where label >= 0")
+def valid_clusters(spark, d):
+    return V.valid_labels(_emb(spark, d))
 
 
 @query("with p as (select a.vec_id as src, b.vec_id as dst, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id) select src, dst, rank::int as rank from (select *, row_number() over (partition by src order by s desc, dst) as rank from p) where rank <= 15")
@@ -380,6 +477,9 @@ def network_summary(spark, d):
 
 @query(f"select count(distinct label) filter (where label >= 0) as n_clusters, count(*) filter (where label < 0) as n_noise, round(100 * count(*) filter (where label >= 0) / count(*), 6) as pct_clustered from {_CS}")
 def cluster_noise(spark, d):
-    tag = F.col("pos_tag")
-    c = pilot(spark, d).select(F.when(tag == "NOUN", 0).when(tag == "VERB", 1).when(tag == "ADJ", 2).otherwise(-1).alias("label"))
-    return V.noise_share(c).select("n_clusters", "n_noise", r("pct_clustered").alias("pct_clustered"))
+    return V.noise_share(_clustered(spark, d)).select("n_clusters", "n_noise", r("pct_clustered").alias("pct_clustered"))
+
+
+@query()
+def leaf_labels(spark, d):
+    return V.density_labels(V.knn_graph(_emb(spark, d), "vec_id", "embedding", 64), method="leaf")

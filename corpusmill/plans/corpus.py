@@ -237,12 +237,11 @@ _DEP = "(select head_lemma, dependent_lemma, relation, sum(count)::bigint as cou
 def mi_marginals(spark, d):
     """All three marginals in one pass over grouping sets."""
     g = table(spark, d, "depgrams").filter("count >= 1")
-    g.createOrReplaceTempView("_depgrams")
-    return spark.sql(
-        "select case when grouping(head_lemma) = 0 then 'head' when grouping(dependent_lemma) = 0 then 'dependent' else 'total' end as side,"
-        " case when grouping(head_lemma) = 0 then head_lemma when grouping(dependent_lemma) = 0 then dependent_lemma end as lemma, sum(count) as count"
-        " from _depgrams group by grouping sets ((head_lemma), (dependent_lemma), ())"
-    )
+    sets = g.groupingSets([["head_lemma"], ["dependent_lemma"], []], "head_lemma", "dependent_lemma")
+    h, e = F.grouping("head_lemma") == 0, F.grouping("dependent_lemma") == 0
+    per = sets.agg(h.alias("_h"), e.alias("_e"), F.sum("count").alias("count"))
+    side = F.when(F.col("_h"), "head").when(F.col("_e"), "dependent").otherwise("total")
+    return per.select(side.alias("side"), F.when(F.col("_h"), F.col("head_lemma")).when(F.col("_e"), F.col("dependent_lemma")).alias("lemma"), "count")
 
 
 @query(f"select doc_id, floor((sum(n) over (order by doc_id rows unbounded preceding) - n) / 20000)::bigint as file from (select doc_id, {N_WS} as n from documents)")
@@ -327,29 +326,38 @@ full_ as (select doc_id, toks, row_number() over (partition by doc_id order by p
 raw as (select doc_id, sent_i, base, unnest(toks) as text, unnest(range(len(toks))) as k from full_),
 typed as (select *, lower(text) as lemma, regexp_matches(text, '^\p{{L}}') as is_alpha, not regexp_matches(text, '^[\p{{L}}\p{{N}}]') as is_punct from raw),
 tagged as (select *, case when is_punct then 'PUNCT' when not is_alpha then 'NUM' {_WORDS} {_ENDS} else 'NOUN' end as pos from typed),
-placed as (select *, case when pos = 'NOUN' and ends_with(lemma, 's') then 'NNS' when pos = 'VERB' and ends_with(lemma, 'ed') then 'VBD' else pos end as tag,
- last_value(case when not is_punct then k end ignore nulls) over (s rows between unbounded preceding and 1 preceding) as prev_k,
- first_value(case when not is_punct then k end ignore nulls) over (s rows between 1 following and unbounded following) as next_k
- from tagged window s as (partition by doc_id, sent_i order by k)),
-headed as (select *, case when is_punct then coalesce(prev_k, next_k, k) when prev_k is null then k when pos in ('DET', 'ADJ', 'NUM') and next_k is not null then next_k else prev_k end as head_k from placed),
-tokens as (select h.doc_id, h.sent_i, (h.base + h.k)::int as i, h.text, h.lemma, h.pos, h.tag, h.is_alpha, h.is_punct, (h.base + h.head_k)::int as head_i,
- case when h.is_punct then 'punct' when h.prev_k is null then 'ROOT' when h.pos = 'NOUN' then case o.pos when 'VERB' then 'dobj' when 'NOUN' then 'compound' else 'pobj' end
- when h.pos = 'DET' then 'det' when h.pos = 'ADJ' then 'amod' when h.pos = 'NUM' then 'nummod' when h.pos = 'ADV' then 'advmod' when h.pos = 'AUX' then 'aux' when h.pos = 'VERB' then 'conj' when h.pos = 'ADP' then 'prep' when h.pos = 'CCONJ' then 'cc' else 'nsubj' end as dep
- from headed h join headed o on h.doc_id = o.doc_id and h.sent_i = o.sent_i and h.head_k = o.k)"""
+placed as (select *, case when pos = 'NOUN' and ends_with(lemma, 's') then 'NNS' when pos = 'VERB' and ends_with(lemma, 'ed') then 'VBD' else pos end as tag from tagged),
+headed as (select *, case when not is_punct then struct_pack(k := k, lemma := lemma, tag := tag, pos := pos) end as word, struct_pack(k := k, lemma := lemma, tag := tag, pos := pos) as own from placed),
+sides as (select *, last_value(word ignore nulls) over (s rows between unbounded preceding and 1 preceding) as prev, first_value(word ignore nulls) over (s rows between 1 following and unbounded following) as next
+ from headed window s as (partition by doc_id, sent_i order by k)),
+linked as (select *, case when is_punct then coalesce(prev, next, own) when prev is null then own when pos in ('DET', 'ADJ', 'NUM') and next is not null then next else prev end as head from sides),
+tokens as (select doc_id, sent_i, (base + k)::int as i, text, lemma, pos, tag, is_alpha, is_punct, (base + head.k)::int as head_i, head.lemma as head_lemma, head.tag as head_tag, head.pos as head_pos,
+ case when is_punct then 'punct' when prev is null then 'ROOT' when pos = 'NOUN' then case head.pos when 'VERB' then 'dobj' when 'NOUN' then 'compound' else 'pobj' end
+ when pos = 'DET' then 'det' when pos = 'ADJ' then 'amod' when pos = 'NUM' then 'nummod' when pos = 'ADV' then 'advmod' when pos = 'AUX' then 'aux' when pos = 'VERB' then 'conj' when pos = 'ADP' then 'prep' when pos = 'CCONJ' then 'cc' else 'nsubj' end as dep
+ from linked)"""
 
 
 def tokens_of(spark: SparkSession, d: str) -> DataFrame:
-    return A.annotate(_docs(spark, d))
+    """The stored token table of the documents."""
+    return A.stored_tokens(_docs(spark, d))
 
 
-@query(f"with {TOKEN_CTE} select doc_id, sent_i::int as sent_i, i, text, lemma, pos, tag, dep, head_i, is_alpha, is_punct from tokens")
+_ROW = ["sent_i", "i", "text", "lemma", "pos", "tag", "dep", "head_i", "head_lemma", "head_tag", "head_pos"]
+
+
+@query(
+    f"with {TOKEN_CTE} select doc_id, count(*) as n_tokens, count_if(is_alpha) as n_alpha, count_if(is_punct) as n_punct,"
+    f" sum(('0x' || substr(md5({' || chr(9) || '.join(c + '::varchar' for c in _ROW)}), 1, 12))::bigint)::bigint as digest from tokens group by doc_id"
+)
 def token_table(spark, d):
-    return tokens_of(spark, d).drop("char_start")
+    """A digest of every document's token rows: the sum of the rows' hashes."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("\t", *[F.col(c).cast("string") for c in _ROW])), 1, 12), 16, 10).cast("long")
+    return tokens_of(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if("is_alpha").alias("n_alpha"), F.count_if("is_punct").alias("n_punct"), F.sum(h).alias("digest"))
 
 
 @query(
-    f"with {TOKEN_CTE} select h.lemma as head_lemma, h.tag as head_tag, t.dep as relation, t.lemma as dependent_lemma, t.tag as dependent_tag, count(*) as count"
-    " from tokens t join tokens h on t.doc_id = h.doc_id and t.head_i = h.i where t.dep not in ('ROOT', 'punct') group by all having count(*) >= 2"
+    f"with {TOKEN_CTE} select head_lemma, head_tag, dep as relation, lemma as dependent_lemma, tag as dependent_tag, count(*) as count"
+    " from tokens where dep not in ('ROOT', 'punct') group by all having count(*) >= 2"
 )
 def depgram_counts(spark, d):
     return C.merge_partials(A.dependency_pairs(_docs(spark, d)), C.DEPGRAM, 2)
@@ -374,8 +382,30 @@ def essay_pairs(spark, d):
 @query(_ngram_sql(2, 1))
 def streaming_ngram_counts(spark, d):
     """The bigram counts as a Structured Streaming query over the documents' files, run until they are used up."""
-    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = budget.documents(spark, f"{d}/documents.parque[t]", "text string")  # a pattern: the table may be a file or a folder
-    done = budget.running_ngrams(docs, 2).writeStream.outputMode("complete").option("checkpointLocation", f"{home}/state")
-    done.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{home}/counts")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{home}/counts")
+    return budget.collect_ngrams(docs, 2, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+
+_TARGET = 5_000
+
+
+@query(f"select source, doc_id, n as token_count, before as tokens_before from (select source, doc_id, {N_WS}::bigint as n, (sum({N_WS}) over (partition by source order by doc_id rows unbounded preceding) - {N_WS})::bigint as before from documents where source in ('wiki', 'reddit', 'pes2o')) where before < {int(_TARGET * 1.05)}")
+def streaming_token_budget(spark, d):
+    """The token budget as a stateful stream; all files are of one trigger, in which documents come by their key."""
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = budget.documents(spark, f"{d}/documents.parque[t]", "doc_id long, text string, source string", files_per_trigger=1_000_000)
+    kept = budget.running_budget(docs, dict.fromkeys(("wiki", "reddit", "pes2o"), _TARGET))
+    kept.writeStream.format("parquet").option("path", f"{home}/kept").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{home}/kept")
+
+
+@query(f"select count(*) as n_types, sum(count)::bigint as n_tokens from ({_ngram_sql(1, 1)})")
+def token_types(spark, d):
+    return C.table_report(C.ngram_counts(_docs(spark, d), 1)).select("n_types", "n_tokens")
+
+
+@query(f"select token_0, count from ({_ngram_sql(1, 1)}) order by count desc, token_0 limit 10")
+def approximate_top_words(spark, d):
+    """The ten most frequent words by a sketch of 20,000 counters a task, which is exact while a task sees fewer distinct words."""
+    t = C.approximate_top(C.ngrams(_docs(spark, d), 1), ["token_0"], 10, 20_000)
+    return t.select(F.col("item").alias("token_0"), "count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +11,11 @@ from corpusmill.operators import annotate as A
 from corpusmill.operators import features as L
 from corpusmill.operators import predict as P
 from corpusmill.operators import sampling as S
+from corpusmill.operators import scoring as G
 from corpusmill.operators.collate import count_by, depgrams
 from corpusmill.plans.corpus import TOKEN_CTE, TOKENS, WSC, table
 from corpusmill.plans.corpus import tokens_of as _tokens
-from corpusmill.shared import cut, with_one
+from corpusmill.shared import with_one
 
 Q_: dict = {}
 SQL: dict[str, str] = {}
@@ -52,10 +54,10 @@ def _basic(spark, d, name):
 for _k, _s in _BASIC.items():
     query(f"with {TOKEN_CTE} select doc_id, round({_s}, 6) as {_k} from tokens group by doc_id", _k)(lambda spark, d, n=_k: _basic(spark, d, n))
 
-_MODS = "(select t.doc_id, count(*) as m from tokens t join tokens h on t.doc_id = h.doc_id and t.head_i = h.i where h.pos = 'NOUN' and t.dep in ('amod', 'det', 'nummod', 'compound') group by t.doc_id)"
+_MOD = "count_if(dep in ('amod', 'det', 'nummod', 'compound') and head_pos = 'NOUN') / nullif(count_if(pos = 'NOUN'), 0)"
 
 
-@query(f"with {TOKEN_CTE} select doc_id, round(coalesce(any_value(m), 0) / nullif(count_if(pos = 'NOUN'), 0), 6) as mod_per_nom from tokens left join {_MODS} using (doc_id) group by doc_id")
+@query(f"with {TOKEN_CTE} select doc_id, round({_MOD}, 6) as mod_per_nom from tokens group by doc_id")
 def mod_per_nom(spark, d):
     return L.modifiers_per_nominal(_tokens(spark, d)).select("doc_id", r(F.col("mod_per_nom")).alias("mod_per_nom"))
 
@@ -72,18 +74,17 @@ def log_mean_token_freq(spark, d):
     return L.log_frequency(_tokens(spark, d), _freq(spark, d)).select("doc_id", r(F.col("log_mean_token_freq")).alias("log_mean_token_freq"))
 
 
-_G = "(select x.lemma as head_lemma, t.dep as relation, t.lemma as dependent_lemma, 1 as count from tokens t join tokens x on t.doc_id = x.doc_id and t.head_i = x.i where t.dep not in ('ROOT', 'punct'))"
 _ASSOC = (
-    f"j as (select relation, head_lemma, dependent_lemma, sum(count) as j from {_G} group by all), h as (select head_lemma, sum(count) as h from {_G} group by all),"
-    f" e as (select dependent_lemma, sum(count) as e from {_G} group by all), n as (select sum(count) as n from {_G}),"
-    " pairs as (select t.doc_id, t.dep as relation, x.lemma as head_lemma, t.lemma as dependent_lemma from tokens t join tokens x on t.doc_id = x.doc_id and t.head_i = x.i where t.dep in ('amod', 'dobj', 'advmod')),"
-    " scored as (select doc_id, relation, log2(j * n / (h * e)) as mi from pairs join j using (relation, head_lemma, dependent_lemma) join h using (head_lemma) join e using (dependent_lemma) cross join n)"
+    "g as (select doc_id, dep as relation, head_lemma, lemma as dependent_lemma from tokens where dep not in ('ROOT', 'punct')), j as (select relation, head_lemma, dependent_lemma, count(*) as j from g group by all),"
+    " h as (select head_lemma, count(*) as h from g group by all), e as (select dependent_lemma, count(*) as e from g group by all), n as (select count(*) as n from g),"
+    " scored as (select doc_id, relation, log2(j * n / (h * e)) as mi from g join j using (relation, head_lemma, dependent_lemma) join h using (head_lemma) join e using (dependent_lemma) cross join n where relation in ('amod', 'dobj', 'advmod'))"
 )
+_MI = ", ".join(f"round(avg(mi) filter (where relation = '{x}'), 6) as {x}_mi" for x in L.MI_RELATIONS)
 
 
-@query(f"with {TOKEN_CTE}, {_ASSOC} select doc_id, " + ", ".join(f"round(avg(mi) filter (where relation = '{x}'), 6) as {x}_mi" for x in L.MI_RELATIONS) + " from scored group by doc_id")
+@query(f"with {TOKEN_CTE}, {_ASSOC} select doc_id, {_MI} from scored group by doc_id")
 def relation_mi(spark, d):
-    g = depgrams(cut(_tokens(spark, d), "tokens"))
+    g = depgrams(_tokens(spark, d))
     m = L.association(g, count_by(g, ["head_lemma", "relation", "dependent_lemma"]))
     return m.select("doc_id", *[r(F.col(f"{x}_mi")).alias(f"{x}_mi") for x in L.MI_RELATIONS])
 
@@ -138,10 +139,29 @@ def clean_essays(spark, d):
     return _essays(spark, d).withColumn("overall", F.nanvl("overall", F.lit(None).cast("double")))
 
 
+def _all_features(spark, d):
+    t = _tokens(spark, d)
+    return L.all_features(table(spark, d, "documents"), t, _freq(spark, d), count_by(depgrams(t), ["head_lemma", "relation", "dependent_lemma"]))
+
+
 @query()
 def all_features(spark, d):
-    t = cut(_tokens(spark, d), "tokens")
-    return L.all_features(t, _freq(spark, d), count_by(depgrams(t), ["head_lemma", "relation", "dependent_lemma"]))
+    return _all_features(spark, d)
+
+
+_DOC = [*_BASIC, "mod_per_nom", "content_word_overlap", "sentence_similarity"]
+_ALL = [*_DOC, "log_mean_token_freq", *[f"{x}_mi" for x in L.MI_RELATIONS]]
+
+
+@query(
+    f"with {TOKEN_CTE}, {_ASSOC}, b as (select doc_id, {', '.join(f'round({s}, 6) as {k}' for k, s in _BASIC.items())}, round({_MOD}, 6) as mod_per_nom from tokens group by doc_id),"
+    f" m as (select doc_id, {_MI} from scored group by doc_id), o as ({SQL['content_word_overlap'].split(TOKEN_CTE)[1].strip(', ').join(['with ', ''])}),"
+    f" v as ({SQL['sentence_similarity'].split(TOKEN_CTE)[1].strip(', ').join(['with ', ''])}), l as ({SQL['log_mean_token_freq'].split(TOKEN_CTE)[1]})"
+    f" select doc_id, {', '.join(_ALL)} from b left join m using (doc_id) left join o using (doc_id) left join v using (doc_id) left join l using (doc_id)"
+)
+def features_table(spark, d):
+    """The 13 features that SQL can state (all but the diversity measure), from the one-pass operator."""
+    return _all_features(spark, d).select("doc_id", *[r(F.col(c)).alias(c) for c in _ALL])
 
 
 @query(
@@ -182,13 +202,70 @@ def token_surprisal(spark, d):
     return s.select("doc_id", "i", "token", r(F.col("loss")).alias("loss"))
 
 
-@query(f"with {_LM} select item_id as doc_id, round(avg(loss), 6) as mean_loss, round(avg(exp(-loss)), 6) as mean_prob, round(coalesce(var_samp(loss), 0), 6) as var_loss, count(*) as n_tokens from loss group by item_id")
+# scoring by logits over a bounded vocabulary
+_MODEL = (
+    f"{_SEQ}, {_ITEM}, voc as (select token, row_number() over (order by count(*) desc, token) + 4 as id from seq group by token order by count(*) desc, token limit 500),"
+    " coded as (select doc_id, i, coalesce(id, 0) as w from seq left join voc using (token)), pr as (select w, lag(w, 1, 1) over (partition by doc_id order by i) as v from coded), c as (select v, w, count(*) as n from pr group by all),"
+    " s as (select v, sum(n) as s from c group by v), u as (select w, sum(n) as k from c group by w), z as (select sum(n) as t from c), ids as (select id as w from voc union all select 0), size as (select count(*) as m from ids),"
+    " uni as (select w, (coalesce(k, 0) + 1) / (t + m) as q from ids left join u using (w), z, size), froms as (select w as v from ids union all select 1),"
+    " p as (select v, w, case when s is null then q else 0.7 * coalesce(n, 0) / s + 0.3 * q end as p from froms cross join uni left join s using (v) left join c using (v, w)),"
+    " it as (select item_id, i, token, coalesce(id, 0) as w from item left join voc using (token)),"
+    " near as (select *, lag(w, 1, 1) over (partition by item_id order by i) as l, lead(w, 1, -1) over (partition by item_id order by i) as r from it)"
+)
+_MASKED = (
+    f"{_MODEL}, ask as (select distinct l, r from near), joint as (select l, r, a.w, a.p * case when r = -1 then 1 else b.p end as q from ask join p a on a.v = l left join p b on b.v = a.w and b.w = r),"
+    " dist as (select l, r, w, q / sum(q) over (partition by l, r) as q from joint), hs as (select l, r, -sum(q * ln(q + 1e-10)) as h from dist group by all),"
+    " masked as (select item_id, i, token, l, r, near.w, -ln(q) as loss, q as prob, h from near join dist using (l, r, w) join hs using (l, r))"
+)
+
+
+def _counted(spark, d):
+    return G.count_model(table(spark, d, "documents"))
+
+
+@query(f"with {_MODEL}, h as (select v as l, -sum(p * ln(p + 1e-10)) as h from p group by v) select item_id as doc_id, i::int as i, token, round(-ln(p), 6) as loss, round(p, 6) as prob, round(h, 6) as entropy from near join p on v = l and p.w = near.w join h using (l)")
+def causal_surprisal(spark, d):
+    """Every token after those before it, in windows of 64."""
+    s = G.score(table(spark, d, "eval_items"), _counted(spark, d), "causal", 64, key="item_id")
+    return s.select("doc_id", "i", "token", *[r(F.col(c)).alias(c) for c in ("loss", "prob", "entropy")])
+
+
+@query(f"with {_MASKED} select item_id as doc_id, i::int as i, token, round(loss, 6) as loss, round(prob, 6) as prob, round(h, 6) as entropy from masked")
+def masked_surprisal(spark, d):
+    """Every token masked in its window of 64."""
+    s = G.score(table(spark, d, "eval_items"), _counted(spark, d), "masked", 64, key="item_id")
+    return s.select("doc_id", "i", "token", *[r(F.col(c)).alias(c) for c in ("loss", "prob", "entropy")])
+
+
+@query(f"with {_MODEL}, h as (select v as l, -sum(p * ln(p + 1e-10)) as h from p group by v) select item_id as doc_id, i::int as i, token, round(-ln(p), 6) as loss, round(h, 6) as entropy from near join p on v = l and p.w = near.w join h using (l) where i < 16")
+def first_window_surprisal(spark, d):
+    """The causal scores of the tokens that begin in the first window of 16, and no others."""
+    s = G.score(table(spark, d, "eval_items"), _counted(spark, d), "causal", 16, key="item_id", first_window_only=True)
+    return s.select("doc_id", "i", "token", r(F.col("loss")).alias("loss"), r(F.col("entropy")).alias("entropy"))
+
+
+@query(f"with {_MASKED} select item_id as doc_id, round(avg(loss), 6) as mean_loss, round(avg(prob), 6) as mean_prob, round(avg(h), 6) as mean_entropy, round(coalesce(var_samp(loss), 0), 6) as var_loss, count(*) as n_tokens from masked group by item_id")
 def doc_predictability(spark, d):
+    e = table(spark, d, "eval_items")
+    p = P.doc_predictability(G.score(e, _counted(spark, d), "masked", 64, key="item_id"), e, "item_id")
+    return p.select("doc_id", *[r(F.col(c)).alias(c) for c in ("mean_loss", "mean_prob", "mean_entropy", "var_loss")], "n_tokens")
+
+
+@query(f"with {_LM} select item_id as doc_id, round(avg(loss), 6) as mean_loss, round(avg(exp(-loss)), 6) as mean_prob, round(coalesce(var_samp(loss), 0), 6) as var_loss, count(*) as n_tokens from loss group by item_id")
+def trigram_predictability(spark, d):
     s, _ = _losses(spark, d)
     p = P.doc_predictability(s)
     return p.select("doc_id", *[r(F.col(c)).alias(c) for c in ("mean_loss", "mean_prob", "var_loss")], "n_tokens")
 
 
+@query(f"with {_MASKED} select item_id as doc_id, i::int as i, token, round(loss, 6) as loss from masked where item_id = (select min(item_id) from eval_items) and i = 3")
+def token_lookup(spark, d):
+    e = table(spark, d, "eval_items")
+    first = e.agg(F.min("item_id")).first()[0]
+    s = P.token_at(G.score(e.filter(F.col("item_id") == first), _counted(spark, d), "masked", 64, key="item_id"), first, 3)
+    return s.select("doc_id", "i", "token", r(F.col("loss")).alias("loss"))
+
+
 @query(f"with {_SEQ}, b as (select prev, token, count(*) as c from seq group by all) select prev, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) + 0.0 as entropy from b group by prev")
 def context_entropy(spark, d):
     return P.NgramModel(table(spark, d, "documents")).entropy().select("prev", r(F.col("entropy")).alias("entropy"))
@@ -201,13 +278,26 @@ def surprisal_threshold(spark, d):
     return with_one(s, edge).filter("loss >= _q").select("doc_id", "i", "token")
 
 
-@query("select doc_id, (case when n <= 64 then 0 when i - 32 < 0 then 0 when i + 32 > n then n - 64 else i - 32 end)::int as start, (case when n <= 64 then n when i - 32 < 0 then 64 when i + 32 > n then n else i + 32 end)::int as end_, i::int as i from (select doc_id, len(t) as n, unnest([0, len(t) // 2, len(t) - 1]) as i from (select doc_id, " + TOKENS + " as t from documents) where len(t) > 0)")
+_AT = "(select doc_id, len(t) as n, unnest([0, len(t) // 2, len(t) - 1]) as i from (select doc_id, " + TOKENS + " as t from documents) where len(t) > 0)"
+
+
+@query(
+    " union all ".join(
+        f"select doc_id, {k} as size, (case when i - {k // 2} < 0 then 0 when greatest(i + {k // 2}, i - {k // 2} + 1) > n then greatest(n - {k}, 0) else i - {k // 2} end)::int as start,"
+        f" (case when i - {k // 2} < 0 then least({k}, n) when greatest(i + {k // 2}, i - {k // 2} + 1) > n then n else greatest(i + {k // 2}, i - {k // 2} + 1) end)::int as end_, i::int as i from {_AT}"
+        for k in (1, 9, 64)
+    )
+)
 def centred_window(spark, d):
+    """Windows of 1, 9 and 64 around the first, the middle and the last token."""
     n = F.size(X.token_array(F.col("text")))
     t = table(spark, d, "documents").select("doc_id", n.alias("n")).filter("n > 0")
     t = t.select("doc_id", "n", F.explode(F.array(F.lit(0), F.floor(F.col("n") / 2).cast("int"), F.col("n") - 1)).alias("i"))
-    start, end = P.centred_window(F.col("n"), F.col("i"), 64)
-    return t.select("doc_id", start.cast("int").alias("start"), end.cast("int").alias("end_"), "i")
+    out = []
+    for k in (1, 9, 64):
+        start, end = P.centred_window(F.col("n"), F.col("i"), k)
+        out.append(F.struct(F.lit(k).alias("size"), start.cast("int").alias("start"), end.cast("int").alias("end_")))
+    return t.select("doc_id", "i", F.inline(F.array(*out)))
 
 
 @query("select doc_id, i, array_to_string(t[greatest(i - 8, 0) + 1:i], ' ') as context from (select doc_id, t, len(t) // 2 as i from (select doc_id, " + TOKENS + " as t from documents) where len(t) > 0)")
@@ -286,23 +376,30 @@ def high_surprisal_rows(spark, d):
     " string_agg(text, ' ') over (partition by doc_id order by i rows between 1 following and 10 following) as right_context, lemma from tokens) select doc_id, i, text, coalesce(left_context, '') as left_context, coalesce(right_context, '') as right_context from w where lemma = 'because'"
 )
 def kwic_concordance(spark, d):
-    """Ten tokens around each hit, cut from the document's own token array: no window over all tokens."""
+    """Ten tokens around each hit, cut from the document's own token array in the pass that makes it: no shuffle."""
     hits = table(spark, d, "documents").filter(F.lower("text").contains("because"))
-    a = A.annotate(hits).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("t"))
-    at = a.select("doc_id", "t", F.posexplode("t").alias("i", "text")).filter(F.lower("text") == "because")
-    left = F.array_join(F.slice("t", F.greatest(F.col("i") - 9, F.lit(1)), F.least(F.col("i"), F.lit(10))), " ")
-    return at.select("doc_id", "i", "text", left.alias("left_context"), F.array_join(F.slice("t", F.col("i") + 2, 10), " ").alias("right_context"))
+    return A.concordance(hits, "because", 10)
 
 
-@query(
-    f"select row_id, lpad(case when length(left_context) > 35 then '...' || right(left_context, 32) else coalesce(left_context, '') end, 35, ' ') || '  [' || rpad(repeat(' ', ((14 - length(left(token_text, 12))) // 2)::int) || left(token_text, 12), 14, ' ') || ']  '"
-    " || rpad(case when length(right_context) > 35 then left(right_context, 32) || '...' else coalesce(right_context, '') end, 35, ' ') || '  ' || printf('%5.2f', round(surprisal::decimal(12, 4), 2)::double) as line from "
-    f"{_PILOT}"
-)
+def kwic_sql(number: str = "1") -> str:
+    """One concordance line; cells wider than their column are not cut, as in the layout."""
+    wide = lambda c, n: f"case when length({c}) >= {n} then {c} else rpad({c}, {n}, ' ') end"
+    pct = lambda k: f"floor(top3_probs[{k}] * 100 + 0.5)::bigint"
+    guess = lambda k: wide(
+        f"(case when len(top3_predicted) >= {k} and top3_predicted[{k}] is not null and top3_probs[{k}] is not null then trim(top3_predicted[{k}], {WSC}) || '(' || ({pct(k)} // 100) || '.' || lpad(({pct(k)} % 100)::varchar, 2, '0') || ')' else '' end)", 16
+    )
+    say = lambda c: f"coalesce({c}, '')"
+    return (
+        f"case when length(({number})::varchar) >= 3 then ({number})::varchar else lpad(({number})::varchar, 3, ' ') end || '  '"
+        " || lpad(case when length(left_context) > 35 then '...' || right(left_context, 32) else coalesce(left_context, '') end, 35, ' ') || '  [' || rpad(repeat(' ', ((14 - length(left(coalesce(token_text, ''), 12))) // 2)::int) || left(coalesce(token_text, ''), 12), 14, ' ') || ']  '"
+        " || rpad(case when length(right_context) > 35 then left(right_context, 32) || '...' else coalesce(right_context, '') end, 35, ' ') || '  ' || coalesce(printf('%5.2f', round(surprisal::decimal(12, 4), 2)::double), '     ') || '  '"
+        f" || {wide(say('pos_tag'), 5)} || ' ' || {wide(say('dep_rel'), 7)} || ' ' || {wide(say('prof_tertile'), 5)} || ' ' || {guess(1)} || {guess(2)} || {guess(3)}"
+    )
+
+
+@query(f"select row_id, {kwic_sql('row_id')} as line from {_PILOT}")
 def kwic_format(spark, d):
-    left, right = X.truncate_left(F.coalesce("left_context", F.lit("")), 35), X.truncate_right(F.coalesce("right_context", F.lit("")), 35)
-    line = F.concat(left, F.lit("  ["), X.centred(F.left("token_text", F.lit(12)), 14), F.lit("]  "), right, F.lit("  "), F.format_string("%5.2f", "surprisal"))
-    return pilot(spark, d).select("row_id", line.alias("line"))
+    return pilot(spark, d).select("row_id", X.kwic_line(F.col("row_id")).alias("line"))
 
 
 @query(f"select row_id, surprisal from {_PILOT} where pos_tag in ('NOUN', 'VERB') and dep_rel in ('dobj', 'nsubj') and {_PROF} in ('low', 'mid') order by surprisal desc, row_id limit 50")
@@ -350,14 +447,27 @@ def surprisal_to_prob(spark, d):
     return pilot(spark, d).filter(F.col("surprisal").isNotNull() & ~F.isnan("surprisal") & (F.abs("surprisal") < float("inf"))).select("row_id", "surprisal", F.round(F.exp(-F.col("surprisal")), 9).alias("prob"))
 
 
-@query()
+_E = "(select vec_id, unnest(embedding)::double as x, unnest(range(64)) as k from embeddings)"
+
+
+@query(
+    f"with {_MASKED}, hit as (select * from masked where loss >= 8), cand as (select item_id, i, dist.w, q, row_number() over (partition by item_id, i order by round(q, 12) desc, dist.w) as n from hit join dist using (l, r)),"
+    " best as (select item_id, i, w, q / sum(q) over (partition by item_id, i) as q from cand where n <= 50), ne as (select count(*) as m from embeddings), "
+    f" e as (select row_number() over (partition by k order by vec_id) - 1 as pos, k, x from {_E}), exp_ as (select item_id, i, k, sum(q * x) as e from best cross join ne join e on pos = w % m group by all)"
+    " select item_id as doc_id, hit.i::int as i, token, round(loss, 6) as loss, k::int as k, round(exp_.e - e.x, 6) as x from hit join exp_ using (item_id, i) cross join ne join e using (k) where e.pos = hit.w % m"
+)
 def transformation_vectors(spark, d):
-    """Expected minus observed embedding of each pilot row's top predictions over the embeddings table (tokens mapped to rows by hash)."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vec"))
-    n = e.count()
-    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
-    p = pilot(spark, d).filter("top3_probs is not null and surprisal >= 5")
-    top = p.select("row_id", F.explode(F.arrays_zip("top3_predicted", "top3_probs")).alias("z"))
-    dist = top.groupBy(F.col("row_id").alias("key"), hashed(F.col("z.top3_predicted")).alias("token")).agg(F.sum("z.top3_probs").alias("p"), F.lit(False).alias("observed"))
-    seen = p.select(F.col("row_id").alias("key"), hashed(F.col("token_text")).alias("token"), F.lit(0.0).alias("p"), F.lit(True).alias("observed"))
-    return P.transformation_vectors(dist.unionByName(seen), e, 64)
+    """Expected minus observed embedding of the tokens of high masked surprisal; a word's embedding is the row of its number, going round."""
+    e = np.array([x["embedding"] for x in table(spark, d, "embeddings").orderBy("vec_id").limit(600).collect()])  # no more rows than words
+    m = _counted(spark, d)
+    t = G.transformation_vectors(table(spark, d, "eval_items"), m, e[np.arange(len(m.words)) % len(e)], 8.0, key="item_id")
+    return t.select("doc_id", "i", "token", r(F.col("loss")).alias("loss"), F.posexplode("delta").alias("k", "x")).withColumn("x", r(F.col("x")))
+
+
+@query(f"with {_MASKED}, hit as (select * from masked where loss >= 8), cand as (select item_id, i, dist.w, q, row_number() over (partition by item_id, i order by round(q, 12) desc, dist.w) as n from hit join dist using (l, r)) select item_id as doc_id, i::int as i, n::int as rank, coalesce(token, '<unk>') as word, round(q, 6) as p from cand left join voc on id = w where n <= 3")
+def predicted_words(spark, d):
+    """The three most probable words at the tokens of high masked surprisal."""
+    m = _counted(spark, d)
+    t = G.transformation_vectors(table(spark, d, "eval_items"), m, np.zeros((len(m.words), 1)), 8.0, key="item_id")
+    z = t.select("doc_id", "i", F.posexplode(F.arrays_zip("top_predicted", "top_probs")).alias("n", "z"))
+    return z.select("doc_id", "i", (F.col("n") + 1).alias("rank"), F.col("z.top_predicted").alias("word"), r(F.col("z.top_probs")).alias("p"))

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import io
+import json
+import time
+import urllib.request
 import zipfile
+import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the file formats.
 RAW_DOCUMENT = "id string, dolma_id string, text string, metadata string, url string"
 SAMPLED_DOCUMENT = "dolma_id string, source string, text string, token_count int, metadata string"
 CHECKPOINT = "source_name string, accumulated_tokens long, accumulated_docs long, completed_files array<string>, finished boolean"
@@ -22,6 +28,61 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str = RAW_DO
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
 
 
+def read_urls(urls: DataFrame, retries: int = 3, chunk: int = 1 << 18, wait: float = 1.0) -> DataFrame:
+    """Documents of gzip JSON-lines files behind HTTP(S) addresses (column url): url, id, dolma_id, text, metadata, source_url, error.
+
+    Every address is fetched by one task in chunks of 256 KiB, unpacked and parsed as it arrives.  A failed fetch starts again after 1, 2, 4, ... times
+    ``wait`` seconds; after ``retries`` failures the address gives one row with the error and its documents so far are dropped.  Broken
+    lines are left out; objects in string columns stay JSON text.
+    """
+    schema = "url string, id string, dolma_id string, text string, metadata string, source_url string, error string"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def documents(url: str) -> Iterator[tuple]:
+        with urllib.request.urlopen(url, timeout=60) as r:  # noqa: S310
+            unpack, rest = zlib.decompressobj(zlib.MAX_WBITS | 32), b""
+            while block := r.read(chunk):
+                *lines, rest = (rest + unpack.decompress(block)).split(b"\n")
+                yield from filter(None, map(parse, lines))
+            if not unpack.eof:
+                raise OSError("the file ends early")
+            yield from filter(None, map(parse, [rest]))
+
+    def parse(line: bytes) -> tuple | None:
+        try:
+            d = json.loads(line)
+        except ValueError:
+            return None
+        if not isinstance(d, dict):
+            return None
+        say = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        return tuple(say(d.get(k)) for k in ("id", "dolma_id", "text", "metadata", "url"))
+
+    def fetch(pdfs):
+        for pdf in pdfs:
+            for url in pdf["url"]:
+                for attempt in range(retries):
+                    rows: list[tuple] = []
+                    try:
+                        for d in documents(url):
+                            rows.append((url, *d, None))
+                    except (OSError, zlib.error) as e:
+                        if attempt + 1 == retries:
+                            rows = [(url, *[None] * 5, str(e))]
+                            break
+                        time.sleep(wait * 2**attempt)
+                    else:
+                        break
+                yield pd.DataFrame(rows, columns=names)
+
+    return urls.select("url").distinct().repartition("url").mapInPandas(fetch, schema)
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Rows by the name of the file they come from: with column ``file``, sorted by it."""
+    return df.withColumn("file", F.input_file_name()).sort("file")
+
+
 def document_id() -> F.Column:
     return F.coalesce("dolma_id", "id", F.lit(""))
 

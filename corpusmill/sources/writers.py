@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.shared import cut
+from corpusmill.sources.readers import pending
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("compression", "gzip").json(path)
@@ -24,6 +30,51 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.coalesce(1).write.mode(mode).json(path)
 
 
+def append_log(spark: SparkSession, path: str, record: dict) -> None:
+    """Append one record to a log that is one JSON list; the new list replaces the old one under its name when it is complete."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(path)
+    disk = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    past = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())) if disk.exists(at) else []
+    draft = fs.Path(f"{path}.draft")
+    out = disk.create(draft, True)
+    out.write(bytearray(json.dumps([*past, record], ensure_ascii=False, indent=2).encode()))
+    out.close()
+    disk.delete(at, False)
+    disk.rename(draft, at)
+
+
+def write_pending(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Write the rows whose key is not in the table at ``path`` yet, so that a job can be started again: what was written now is returned."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        df = pending(df, spark.read.parquet(path), key)
+    new = cut(df, "pending")
+    new.write.mode("append").option("compression", "zstd").parquet(path)
+    return new
+
+
+def write_npy(df: DataFrame, path: str, key: str, vec: str, dim: int) -> int:
+    """One local two-dimensional .npy file of the vectors in key order (for exchange); rows stream one by one, none but the current batch is held.
+
+    Large collections stay in parquet, as (key, ARRAY<FLOAT>): :func:`write_vectors`.  Returns the number of rows.
+    """
+    rows = df.filter(F.size(vec) == dim)
+    n = rows.count()
+    with open(path, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (n, dim)})
+        for r in rows.orderBy(key).select(vec).toLocalIterator():
+            f.write(np.asarray(r[0], "<f4").tobytes())
+    return n
+
+
+def write_vectors(df: DataFrame, path: str, key: str, vec: str, mode: str = "overwrite") -> None:
+    """A vectors table: row_id, vec ARRAY<FLOAT>, in key order inside each file."""
+    v = df.select(F.col(key).cast("long").alias("row_id"), F.col(vec).cast("array<float>").alias("vec"))
+    v.sortWithinPartitions("row_id").write.mode(mode).option("compression", "zstd").parquet(path)
+
+
 def write_by_bucket(df: DataFrame, buckets: DataFrame, key: str, path: str) -> None:
     """One folder per output file number, see collate.file_buckets."""
     df.join(buckets, key).repartition("file").write.mode("overwrite").partitionBy("file").option("compression", "zstd").parquet(path)

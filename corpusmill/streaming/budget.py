@@ -25,6 +25,21 @@ def running_ngrams(docs: DataFrame, n: int) -> DataFrame:
     return ngrams(docs, n).groupBy(*[f"token_{k}" for k in range(n)]).agg(F.count(F.lit(1)).alias("count"))
 
 
+def collect_ngrams(docs: DataFrame, n: int, home: str) -> DataFrame:
+    """Counts of all documents of a stream that has an end for now: (token_0, ..., count).
+
+    Each trigger writes the counts of its documents under its own number, so a trigger that is repeated replaces its own counts, and no state is
+    kept in memory; the counts so far are the sum over the triggers.
+    """
+    keys = [f"token_{k}" for k in range(n)]
+
+    def keep(df: DataFrame, batch: int) -> None:
+        ngrams(df, n).groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(f"{home}/counts/batch={batch}")
+
+    docs.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return docs.sparkSession.read.parquet(f"{home}/counts").groupBy(*keys).agg(F.sum("count").alias("count"))
+
+
 def running_budget(docs: DataFrame, targets: dict[str, int], overshoot: float = 1.05) -> DataFrame:
     """Documents in order of arrival until a source's target is reached: source, doc_id, token_count, tokens_before.
 

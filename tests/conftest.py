@@ -9,8 +9,8 @@ from corpusmill.session import make_session, ship
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = make_session("local[4]", "tests", 4, spark__driver__memory="3g")
+def spark(tmp_path_factory):
+    s = make_session("local[4]", "tests", 4, str(tmp_path_factory.mktemp("shared")), spark__driver__memory="3g")
     ship(s)
     yield s
     s.stop()

@@ -13,6 +13,7 @@ from corpusmill.operators import graph as G
 from corpusmill.operators import network as N
 from corpusmill.operators import predict as P
 from corpusmill.operators import sampling as S
+from corpusmill.operators import scoring as G2
 from corpusmill.operators import stats as T
 from corpusmill.operators import vectorops as V
 from corpusmill.shared import components, ranked
@@ -20,7 +21,9 @@ from corpusmill.shared import components, ranked
 
 def _tokens(spark, rows):
     """(doc, sent, i, text, pos, dep, head)."""
-    return spark.createDataFrame([(d, s, i, 0, t, t.lower(), p, p, dep, h, t.isalpha(), not t.isalnum()) for d, s, i, t, p, dep, h in rows], A.TOKEN_SCHEMA)
+    by = {(d, i): (t.lower(), p) for d, _, i, t, p, _, _ in rows}
+    full = [(d, s, i, 0, t, t.lower(), p, p, dep, h, t.isalpha(), not t.isalnum(), by[d, h][0], by[d, h][1], by[d, h][1]) if (d, h) in by else (d, s, i, 0, t, t.lower(), p, p, dep, h, t.isalpha(), not t.isalnum(), None, None, None) for d, s, i, t, p, dep, h in rows]
+    return spark.createDataFrame(full, A.TOKEN_SCHEMA)
 
 
 DOC = [
@@ -218,16 +221,18 @@ def test_frequency_default(spark):
     assert got == pytest.approx((math.log10(0.1) + math.log10(0.9) + math.log10(0.1)) / 3)
 
 
-@pytest.mark.parametrize(("centre", "want"), [(0, (0, 4)), (5, (3, 7)), (9, (6, 10))])
-def test_centred_window(spark, centre, want):
-    s, e = P.centred_window(F.lit(10), F.lit(centre), 4)
-    assert tuple(spark.range(1).select(s, e).first()) == want
+@pytest.mark.parametrize(("n", "centre", "size", "want"), [(10, 0, 4, (0, 4)), (10, 5, 4, (3, 7)), (10, 9, 4, (6, 10)), (10, 5, 1, (5, 6)), (9, 4, 9, (0, 8)), (9, 0, 9, (0, 9)), (10, 9, 3, (8, 10)), (3, 1, 0, (1, 2)), (5, 2, 64, (0, 5))])
+def test_centred_window(spark, n, centre, size, want):
+    s, e = P.centred_window(F.lit(n), F.lit(centre), size)
+    assert tuple(spark.range(1).select(s, e).first()) == want == G2.centred(n, centre, size)
 
 
 def test_predictability(spark):
     s = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0), (3, float("inf")), (2, float("nan")), (2, None)], "doc_id long, loss double")
     got = {r["doc_id"]: r for r in P.doc_predictability(s).collect()}
     assert got[1]["var_loss"] == 2.0 and got[1]["mean_loss"] == 2.0 and got[2]["var_loss"] == 0.0 and 3 not in got
+    every = {r["doc_id"]: r for r in P.doc_predictability(s, spark.createDataFrame([(1,), (3,), (4,)], "doc_id long")).collect()}
+    assert set(every) == {1, 3, 4} and every[4]["mean_loss"] == float("inf") and every[4]["mean_entropy"] == 0.0 and every[3]["n_tokens"] == 0
     sub = spark.createDataFrame([(1, [0.0, 2.0]), (2, [])], "i int, l array<double>")
     rows = {r["i"]: r for r in P.subword_summary(sub, "l").collect()}
     assert rows[1]["mean_loss"] == 1.0 and rows[2]["mean_loss"] == float("inf") and rows[2]["mean_prob"] == 0.0
@@ -248,10 +253,49 @@ def test_alignment(spark):
     assert P.align(w, p.limit(0)).count() == 0
 
 
+def _model():
+    words = [*G2.SPECIAL, "a", "b", "c"]
+    c = np.zeros((8, 8))
+    for x, y, n in ((1, 5, 4), (5, 6, 3), (6, 5, 2), (5, 7, 1)):
+        c[x, y] = n
+    return G2.CountModel(words, G2.follow_table(c, 0.7))
+
+
+def test_scores_are_those_of_the_model(spark):
+    m = _model()
+    assert np.allclose(np.exp(m.follow[[0, 1, 5, 6, 7]]).sum(1), 1)
+    docs = spark.createDataFrame([(1, "a b a x c"), (2, None), (3, " ")], "doc_id long, text string")
+    ids = [5, 6, 5, 0, 7]
+    got = {r["i"]: r for r in G2.score(docs, m, "causal", None).collect()}
+    assert len(got) == 5 and all(abs(got[i]["loss"] + m.follow[([1, *ids])[i], ids[i]]) < 1e-9 for i in range(5))
+    assert {r["i"]: round(r["loss"], 9) for r in G2.score(docs, m, "causal", 2, 2).collect()} == {i: round(r["loss"], 9) for i, r in got.items()}
+    assert [r["i"] for r in G2.score(docs, m, "causal", 2, first_window_only=True).collect()] == [0, 1]
+    masked = {r["i"]: r for r in G2.score(docs, m, "masked", 64, 2).collect()}
+    p = np.exp(m.follow[5]) * np.exp(m.follow[:, 5])
+    p[~np.isfinite(p)] = 0
+    p /= p.sum()
+    assert abs(masked[1]["prob"] - p[6]) < 1e-9 and abs(masked[1]["entropy"] + (p * np.log(p + 1e-10)).sum()) < 1e-9
+    with pytest.raises(ValueError):
+        G2.score(docs, m, "both")
+
+
+def test_windows_mask_whole_words_and_pad():
+    todo = list(G2.requests([5, 6, 7, 5, 6], [(0, 1), (1, 3), (3, 5)], 4, True))
+    assert [(r.word, r.target) for r in todo] == [(0, 5), (1, 6), (1, 7), (2, 5), (2, 6)]
+    assert todo[1].ids == [1, 5, 3, 3, 5, 2] and (todo[1].at, todo[2].at) == (2, 3)
+    part, ids, attention = next(G2.batches_of(iter(todo[:1] + [G2.Request([1, 2], 0, 5, 0)]), 32))
+    assert ids.shape == (2, 6) and list(ids[1, 2:]) == [G2.PADDING] * 4 and list(attention[1]) == [1, 1, 0, 0, 0, 0]
+
+
 def test_transformation_vectors(spark):
-    dist = spark.createDataFrame([(1, "a", 0.6, False), (1, "b", 0.2, False), (1, "c", 0.1, False), (1, "o", 0.0, True)], "key long, token string, p double, observed boolean")
-    emb = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [9.0, 9.0]), ("o", [1.0, 1.0])], "token string, vec array<double>")
-    assert P.transformation_vectors(dist, emb, 2, 2).first()["delta"] == pytest.approx([0.75 - 1, 0.25 - 1])
+    m, e = _model(), np.random.default_rng(0).standard_normal((8, 3))
+    docs = spark.createDataFrame([(1, "a b a c a b")], "doc_id long, text string")
+    got = {r["i"]: r for r in G2.transformation_vectors(docs, m, e, 0.0, top=2).collect()}
+    p = np.exp(m.follow[5]) * np.exp(m.follow[:, 5])
+    p[~np.isfinite(p)] = 0
+    best = np.argsort(-p)[:2]
+    assert got[1]["delta"] == pytest.approx(p[best] / p[best].sum() @ e[best] - e[6]) and got[1]["left_context"] == "a" and got[1]["top_predicted"][0] == m.words[best[0]]
+    assert G2.transformation_vectors(docs, m, e, 1e9).count() == 0
 
 
 def test_winsorize_and_residuals(spark):
@@ -351,3 +395,75 @@ def test_dependency_pairs_equal_the_join(spark):
     whole = C.count_by(C.depgrams(A.annotate(docs)), C.DEPGRAM)
     parts = C.merge_partials(A.dependency_pairs(docs), C.DEPGRAM)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and parts.count() > 3
+
+
+def test_one_pass_features_equal_the_aggregates(spark):
+    docs = spark.createDataFrame([(1, "The big dogs chased small cats. However, dogs ran quickly! The dogs and the cats saw red dogs."), (2, None), (3, "..."), (4, "One")], "doc_id long, text string")
+    t = A.annotate(docs)
+    one = {r["doc_id"]: r.asDict() for r in L.document_features(docs).collect()}
+    for part in (L.basic_features(t), L.modifiers_per_nominal(t), L.content_overlap(t), L.sentence_similarity(t), L.mtld(t)):
+        for r in part.collect():
+            for k, v in r.asDict().items():
+                assert one[r["doc_id"]][k] == (pytest.approx(v) if v is not None else None), k
+    assert set(one) == {1, 4}
+
+
+def test_annotator_failures_are_rejects(spark):
+    class Picky(A.RuleAnnotator):
+        def annotate(self, text):
+            if "bad" in text:
+                raise ValueError("can't")
+            return super().annotate(text)
+
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in A.annotate(docs, Picky()).collect()} == {1}
+    assert [tuple(r) for r in A.rejects(docs, Picky()).collect()] == [(2, "ValueError: can't")]
+
+
+def test_fixed_group_sizes(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(500)], "k int, a double")
+    edge = N.thresholds(df, ["a"], "k", 7, 123)
+    keys = np.array([r[0] for r in df.select(F.xxhash64(F.lit(42), "k")).collect()])
+    assert ((N._uniform(keys, 7) < edge).sum(0) == 123).all()
+
+
+def test_communities_of_replicates(spark):
+    rows = [(0, "a", 1), (0, "b", 1), (0, "c", 2), (1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "a", 1), (2, "b", 1), (2, "c", 1)]
+    c = spark.createDataFrame(rows, "replicate long, node string, community int")
+    final = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "node string, community int")
+    got = {r["node"]: r["stability"] for r in N.item_stability(c, final).collect()}
+    assert got["a"] == 1.0 and got["c"] == pytest.approx(1 / 3) or got["b"] == 1.0
+    n = {r["n_communities"]: (r["n_replicates"], r["modal"]) for r in N.community_counts(c).collect()}
+    assert n == {2: (2, True), 1: (1, False)}
+    one = spark.createDataFrame([("a", 1), ("b", 1)], "node string, community int")
+    assert N.bridge_groups(one, final).count() == 3 and N.bridge_groups(final, one).count() == 3
+
+
+def test_shows(spark):
+    rows = spark.createDataFrame([(i, i % 3, [1.0, float(i)], float(-i), "NOUN" if i % 2 else "VERB", "d", "low") for i in range(12)] + [(99, -1, [0.0, 1.0], 0.0, "X", "d", "low")], "row_id long, label int, vec array<double>, surprisal double, pos_tag string, dep_rel string, prof string")
+    assert [r["row_id"] for r in V.cluster_show(rows, 1, "surprisal", 3).orderBy("number").collect()] == [1, 4, 7]
+    assert [r["row_id"] for r in V.cluster_show(rows, 1, "surprisal", 3, pos=["NOUN"]).orderBy("number").collect()] == [1, 7]
+    assert V.cluster_show(rows, 0, "centroid", 2, dim=2).count() == 2 and V.cluster_show(rows, 0, "random", 9).count() == 4
+    for bad in (-1, 7):
+        with pytest.raises(ValueError, match=r"valid: \[0, 1, 2\] \(3 in all\)"):
+            V.cluster_show(rows, bad)
+    assert tuple(V.valid_labels(rows).first()) == (3, [0, 1, 2])
+    assert {r["g"]: r["x"] for r in T.top_shares(spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, None), (2, "c")], "g int, x string"), ["g"], "x", 2).collect()} == {1: "b(50%),a(25%)", 2: "c(100%)"}
+
+
+def test_rank_correlation_by_group(spark):
+    df = spark.createDataFrame([(g, float(x), float(y)) for g, pts in (("u", [(1, 2), (2, 4), (3, 9)]), ("v", [(1, 3), (2, 2), (3, 1), (3, None)])) for x, y in [(a, b if b is not None else float("nan")) for a, b in pts]], "g string, x double, y double").withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+    got = {r["g"]: (round(r["rho"], 9), r["n"]) for r in T.spearman_by(df, "g", "x", "y").collect()}
+    assert got == {"u": (1.0, 3), "v": (-1.0, 3)}
+
+
+def test_approximate_top(spark):
+    df = spark.createDataFrame([("a", "x")] * 9 + [("b", "x")] * 5 + [(str(i), "y") for i in range(30)], "token_0 string, token_1 string")
+    assert [tuple(r) for r in C.approximate_top(df, ["token_0", "token_1"], 2, 100).collect()] == [("a\tx", 9), ("b\tx", 5)]
+
+
+def test_tables_of_a_scope_are_deleted(spark):
+    with shared.scope(spark):
+        a, b = shared.cut(spark.range(3)), shared.cut(spark.range(4), keep=True)
+        files = a.inputFiles()
+    assert b.count() == 4 and not any(__import__("os").path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)

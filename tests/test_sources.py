@@ -83,3 +83,81 @@ def test_streaming(spark, tmp_path):
     q = B.running_ngrams(stream, 2).writeStream.format("memory").queryName("grams").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("grams").collect()} == {("#", "a", 8), ("a", "b", 8), ("b", "c", 8)}
+
+
+def test_urls_are_fetched_again_after_a_failure(spark, tmp_path):
+    import http.server
+    import threading
+
+    body = gzip.compress(b'{"id": "a", "text": "t", "metadata": {"k": 1}}\n[1]\n{broken\n{"dolma_id": "b", "text": "u"}')
+    seen: list[str] = []
+
+    class Serve(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            seen.append(self.path)
+            if self.path == "/gone" or (self.path == "/shaky" and seen.count("/shaky") < 2):
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body[:20] if self.path == "/short" else body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Serve)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    urls = spark.createDataFrame([(f"{at}/{x}",) for x in ("ok", "shaky", "gone", "short")], "url string")
+    got = R.read_urls(urls, retries=2, wait=0.01).collect()
+    server.shutdown()
+    by = {}
+    for r in got:
+        by.setdefault(r["url"].rsplit("/", 1)[1], []).append(r)
+    assert [(r["id"] or r["dolma_id"], r["text"]) for r in by["ok"]] == [("a", "t"), ("b", "u")] and by["ok"][0]["metadata"] == '{"k": 1}'
+    assert len(by["shaky"]) == 2 and len(by["gone"]) == len(by["short"]) == 1 and "503" in by["gone"][0]["error"] and by["short"][0]["error"]
+
+
+def test_logs_and_restarts(spark, tmp_path):
+    log = str(tmp_path / "log.json")
+    W.append_log(spark, log, {"a": 1})
+    W.append_log(spark, log, {"b": "é"})
+    assert json.loads((tmp_path / "log.json").read_text()) == [{"a": 1}, {"b": "é"}]
+    out = str(tmp_path / "done")
+    df = spark.range(10).withColumnRenamed("id", "k")
+    assert W.write_pending(df.filter("k < 4"), out, "k").count() == 4
+    assert sorted(r["k"] for r in W.write_pending(df, out, "k").collect()) == list(range(4, 10))
+    assert W.write_pending(df, out, "k").count() == 0 and spark.read.parquet(out).count() == 10
+    assert R.in_file_order(spark.read.parquet(out)).select("file").distinct().count() >= 2
+
+
+def test_npy_and_vectors(spark, tmp_path):
+    df = spark.createDataFrame([(2, [3.0, 4.0]), (1, [1.0, 2.0]), (3, None), (4, [1.0])], "k long, v array<double>")
+    assert W.write_npy(df, str(tmp_path / "x.npy"), "k", "v", 2) == 2
+    assert np.load(tmp_path / "x.npy").tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    W.write_vectors(df, str(tmp_path / "v"), "k", "v")
+    assert spark.read.parquet(str(tmp_path / "v")).columns == ["row_id", "vec"]
+
+
+def test_command_line(spark, data, tmp_path):
+    from corpusmill import cli
+
+    root = ["--root", str(tmp_path), "--corpus", "a"]
+    spec = ["--spec", f"{data}/source_spec.parquet"]
+    cli.main([*root, "sample", "--documents", f"{data}/documents.parquet", *spec], spark)
+    n = spark.read.parquet(f"{tmp_path}/a/sampled").count()
+    assert n > 0
+    cli.main([*root, "sample", "--documents", f"{data}/documents.parquet", *spec, "--resume"], spark)
+    assert spark.read.parquet(f"{tmp_path}/a/sampled").count() == n
+    for command in (["preprocess", "--min-tokens", "20"], ["verify", *spec], ["parse", "--tokens-per-file", "5000"], ["collate", "--n", "2", "--keep-partials"], ["features"]):
+        cli.main([*root, *command], spark)
+    assert spark.read.parquet(f"{tmp_path}/a/2grams").filter("count < 2").count() == 0 < spark.read.parquet(f"{tmp_path}/a/depgrams").count()
+    log = json.loads((tmp_path / "a" / "log.json").read_text())
+    assert [x["command"] for x in log] == ["sample", "sample", "preprocess", "verify", "parse", "collate", "features"] and all(x["elapsed"] > 0 for x in log)
+
+
+def test_stream_of_counts(spark, tmp_path):
+    for i, t in enumerate(("a b a", "a b", "c")):
+        spark.createDataFrame([(t,)], "text string").coalesce(1).write.parquet(str(tmp_path / "docs" / str(i)))
+    docs = B.documents(spark, str(tmp_path / "docs" / "*"), "text string", files_per_trigger=1)
+    assert {tuple(r) for r in B.collect_ngrams(docs, 1, str(tmp_path / "home")).collect()} == {("a", 3), ("b", 2), ("c", 1)}
