@@ -83,7 +83,7 @@ def _unique(t: pa.Table, dim: int, *more: str):
 
 
 def density_forest(
-    vectors: DataFrame, least: float, min_samples: int = 1, key: str = "row_id", vec: str = "delta", dim: int = 768, n_cells: int = 2, rows_per_cell: int = 300, seed: int = 42, block: int = BLOCK
+    vectors: DataFrame, least: float, min_samples: int = 1, key: str = "row_id", vec: str = "delta", dim: int = 768, n_cells: int = 2, rows_per_cell: int = 600, seed: int = 42, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame] | None:
     """Index all valid rows, link them inside their n_cells nearest cells, and span the links; None if there is no valid vector."""
     fitted = V.fit_index(vectors, key, vec, dim, seed, rows_per_cell)
