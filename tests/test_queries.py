@@ -35,7 +35,7 @@ def _rows(names, rows):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, data, duck, name, monkeypatch):
     if name == "nmf_error":
-        monkeypatch.setitem(analysis.SIZES, "rounds", 3)
+        monkeypatch.setitem(analysis.SIZES, "rounds", 60)
     df = QUERIES[name](spark, data)
     cur = duck.execute(SQL[name])
     names = [c[0] for c in cur.description]
