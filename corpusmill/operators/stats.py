@@ -96,14 +96,18 @@ def spearman(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 def spearman_by(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Rank correlation inside every group over rows where both are defined: group, rho, n; ties have their average rank.
 
-    Ranks are running sums over each group's histogram of values, so a group of any size is spread.
+    A group in which one side is constant has no correlation: rho is NaN, as in SQL, and no error of the division by zero.  Ranks are running sums over each group's histogram of values, so a group of any size is spread.
     """
     d = df.select(group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
         h = d.groupBy(group, c).agg(F.count(F.lit(1)).alias("_n"))
         h = ranked(h, [group], [c], "_before", "_n").select(group, c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
         d = d.join(h, [group, c])
-    return d.groupBy(group).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
+    a, b = f"_r_{x}", f"_r_{y}"
+    # constancy is asked of the ranks themselves: merged moments of equal ranks may differ from zero in their last bits
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    rho = F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+    return d.groupBy(group).agg(F.when(varies, rho).otherwise(F.lit(float("nan"))).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

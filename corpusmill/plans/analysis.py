@@ -310,9 +310,9 @@ def nmf_error(spark, d):
 
 @query()
 def nmf_summary(spark, d):
-    """Components of the embeddings, described by the pilot rows of the same number."""
+    """Components of the embeddings, described by the pilot rows of the same number; a component without any loading has no rho."""
     w, _, _ = V.nmf(_emb(spark, d), "vec_id", "embedding", 64, k=SIZES["k"], rounds=SIZES["rounds"])
-    return V.component_summary(V.loadings_long(w, "vec_id"), _meta(spark, d), "vec_id", 50)
+    return V.component_summary(V.loadings_long(w, "vec_id"), _meta(spark, d), "vec_id", 50).withColumn("rho", S.number("rho"))
 
 
 def _meta(spark, d):

@@ -457,6 +457,22 @@ def test_rank_correlation_by_group(spark):
     assert got == {"u": (1.0, 3), "v": (-1.0, 3)}
 
 
+def test_rank_correlation_of_constant_groups(spark):
+    """A component without any loading, equal levels, one row: NaN, whatever the partitions, and the other groups keep theirs."""
+    pts = [("dead", 0.0, 1 + i % 3) for i in range(150)] + [("level", i / 7, 2) for i in range(149)] + [("one", 1.0, 3)] + [("u", i / 7, i) for i in range(99)]
+    df = spark.createDataFrame([(g, float(x), int(y)) for g, x, y in pts], "g string, x double, y int")
+    for parts in (1, 7):
+        got = {r["g"]: (str(round(r["rho"], 9)), r["n"]) for r in T.spearman_by(df.repartition(parts), "g", "x", "y").collect()}
+        assert got == {"dead": ("nan", 150), "level": ("nan", 149), "one": ("nan", 1), "u": ("1.0", 99)}
+
+
+def test_summary_of_a_dead_component(spark):
+    long = spark.createDataFrame([(i, c, float(i * c)) for i in range(6) for c in (0, 1)], "k long, component int, loading double")
+    meta = spark.createDataFrame([(i, 1.0, p, "NOUN", "a") for i, p in enumerate(["low", "low", "mid", "mid", "high", "high"])], "k long, surprisal double, prof string, pos_tag string, token_text string")
+    got = {r["component"]: (r["sparsity"], r["top_load"], str(round(r["rho"], 6))) for r in V.component_summary(long, meta, "k", 3).collect()}
+    assert got == {0: (1.0, 0.0, "nan"), 1: (1 / 6, 4.0, "0.956183")}
+
+
 def test_approximate_top(spark):
     df = spark.createDataFrame([("a", "x")] * 9 + [("b", "x")] * 5 + [(str(i), "y") for i in range(30)], "token_0 string, token_1 string")
     assert [tuple(r) for r in C.approximate_top(df, ["token_0", "token_1"], 2, 100).collect()] == [("a\tx", 9), ("b\tx", 5)]
