@@ -193,6 +193,30 @@ def test_table_scan_is_the_product():
     assert np.abs(out / V.SCALE - whole).max() < 0.005
 
 
+def test_only_visitors_in_doubt_are_scanned(monkeypatch):
+    """Visitors like the rows at home pass by their mean estimate and only the others are looked up; what is found is what the codes' products say."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(DIM)
+    like = lambda n, c, e: V.unit(c + e * rng.standard_normal((n, DIM)))
+    u = np.vstack([like(40, centre, 0.6), like(30, centre, 0.6), like(50, -centre, 0.6)])
+    index = V.Index(DIM, u[:1], np.zeros((0, DIM), np.float32), np.zeros(1, int), 0, V.fit_codebook(u, 1.0, 0), 1.0)
+    codes = index.encode(u)
+    x = index.decode(codes)
+    err = np.linalg.norm(u - x, axis=1).astype(np.float32)
+    home = [0] * 40 + [None] * 80
+    t = pa.table({
+        "key": pa.array(np.arange(120)), "cell": pa.array(home, pa.int64()), "cells": pa.array([None if h == 0 else [0] for h in home], pa.list_(pa.int32())),
+        "code": pa.array([r.tobytes() for r in V.pack_codes(codes)], pa.binary()), "err": pa.array(err),
+    })
+    scanned, scan = [], V.scan_tables
+    monkeypatch.setattr(V, "scan_tables", lambda tables, codes, *a: scanned.append((codes.shape[1], tables(0).shape)) or scan(tables, codes, *a))
+    got = V.meetings(t, index, 0.7, 3.0)
+    bound = 0.7 - 3 * np.sqrt((err[:40, None] ** 2 + err[None, 40:] ** 2) / DIM)
+    a, b = np.nonzero(x[:40] @ x[40:].T >= bound)
+    assert set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == set(zip(a.tolist(), (b + 40).tolist())) and len(a) > 900
+    assert scanned == [(50, (16, 40))]
+
+
 def test_search_looks_past_any_number_of_copies(spark):
     """2,000 copies of the query's nearest vector are one candidate, and of them the smallest keys are given."""
     x = _data(1)
