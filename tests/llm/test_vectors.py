@@ -217,6 +217,32 @@ def test_only_visitors_in_doubt_are_scanned(monkeypatch):
     assert scanned == [(50, (16, 40))]
 
 
+def test_only_visitors_and_rows_at_home_are_decoded(monkeypatch):
+    """Visitors of a task are decoded once and the rows at home once a cell: nobody is decoded for a comparison that never comes."""
+    rng = np.random.default_rng(7)
+    u = V.unit(rng.standard_normal((90, DIM)))
+    index = V.Index(DIM, u[:2], np.zeros((0, DIM), np.float32), np.zeros(2, int), 0, V.fit_codebook(u, 1.0, 0), 1.0)
+    codes = index.encode(u)
+    home = [0] * 20 + [1] * 30 + [None] * 40
+    t = pa.table({
+        "key": pa.array(np.arange(90) // 2), "cell": pa.array(home, pa.int64()), "cells": pa.array([[0, 1] if h is None else None for h in home], pa.list_(pa.int32())),
+        "code": pa.array([r.tobytes() for r in V.pack_codes(codes)], pa.binary()), "err": pa.array(np.zeros(90, np.float32)),
+    })
+    decoded, decode = [], V.Index.decode
+    monkeypatch.setattr(V.Index, "decode", lambda self, codes: decoded.append(len(codes)) or decode(self, codes))
+    V.meetings(t, index, 0.7, 3.0)
+    assert sorted(decoded) == [20, 30, 40]
+    # no codeword is read from another subspace: in parts, too, what is found is what the codes' products say
+    monkeypatch.setattr(V, "GUESTS", 7)
+    monkeypatch.setattr(V, "AT_HOME", 8)
+    monkeypatch.setattr(V, "AT_ONCE", 3)
+    got = V.meetings(t, index, 0.2, 3.0)
+    x = decode(index, codes)
+    a, b = np.nonzero(x[:50] @ x[50:].T >= 0.2)
+    want = {(int(min(p, q)), int(max(p, q))) for p, q in zip(a // 2, (b + 50) // 2) if p != q}
+    assert set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want and len(want) > 20
+
+
 def test_search_looks_past_any_number_of_copies(spark):
     """2,000 copies of the query's nearest vector are one candidate, and of them the smallest keys are given."""
     x = _data(1)
