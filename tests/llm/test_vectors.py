@@ -243,6 +243,24 @@ def test_only_visitors_and_rows_at_home_are_decoded(monkeypatch):
     assert set(zip(got["a"].to_pylist(), got["b"].to_pylist())) == want and len(want) > 20
 
 
+def test_wider_shelves_are_two_neighbours():
+    rng = np.random.default_rng(8)
+    planes = np.linalg.qr(rng.standard_normal((DIM, 3)))[0].T
+    for low in range(4):
+        index = V.Index(DIM, V.unit(rng.standard_normal((10, DIM))), planes, np.arange(10) // 2, low, np.zeros((DIM // V.SUB, 16, V.SUB), np.float32), 1.0)
+        assert (index.wider().shelves(np.arange(80)) == index.shelves(np.arange(80)) >> 1).all()
+
+
+def test_distinct_vectors_need_no_sort_of_the_codes(spark):
+    x = _data()
+    df = _df(spark, x, [(500, [float(v) for v in x[3]], 1, "c"), (2, [float(v) for v in x[2]], 1, "c")])
+    index, _ = V.fit_index(df, "row_id", "delta", DIM)
+    firsts, members = V.distinct_vectors(V.index_rows(df, "row_id", "delta", index, 1))
+    assert sorted(r["key"] for r in firsts.select("key").collect()) == list(range(len(x)))
+    assert sorted(map(tuple, members.collect())) == sorted([*((i, i) for i in range(len(x))), (3, 500)])
+    assert "SortAggregate" not in firsts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_looks_past_any_number_of_copies(spark):
     """2,000 copies of the query's nearest vector are one candidate, and of them the smallest keys are given."""
     x = _data(1)
