@@ -251,6 +251,19 @@ def test_wider_shelves_are_two_neighbours():
         assert (index.wider().shelves(np.arange(80)) == index.shelves(np.arange(80)) >> 1).all()
 
 
+def test_a_shelf_is_split_only_beyond_its_tasks_share(spark, monkeypatch):
+    """40 rows at home are one task's for three blocks of 15 and three tasks' for one; every visitor meets every row at home once."""
+    monkeypatch.setattr(V, "BLOCK", 15)
+    homes = spark.createDataFrame([(0, i, 1) for i in range(40)], "shelf long, key long, home long")
+    visitors = spark.createDataFrame([(0, i, [1]) for i in range(50)], "shelf long, key long, cells array<int>")
+    for blocks, split in ((3, 1), (1, 3)):
+        rows = V.in_tasks(homes, visitors, ["key"], blocks).collect()
+        assert {r["block"] for r in rows} == set(range(split))
+        at = {(r["block"], r["guests"], r["key"]) for r in rows if r["cell"] is not None}
+        met = [(h, r["key"]) for r in rows if r["cell"] is None for b, g, h in at if (b, g) == (r["block"], r["guests"])]
+        assert sorted(met) == sorted((h, v) for h in range(40) for v in range(50))
+
+
 def test_distinct_vectors_need_no_sort_of_the_codes(spark):
     x = _data()
     df = _df(spark, x, [(500, [float(v) for v in x[3]], 1, "c"), (2, [float(v) for v in x[2]], 1, "c")])
